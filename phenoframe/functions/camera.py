@@ -97,26 +97,16 @@ def _trim(decimal_text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(decimal_text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def general_number(value: Column) -> Column:
+def _general_text(value: Column, power: Column, lead: Column) -> Column:
     """Six significant digits without trailing zeros; powers of ten outside 1e-4 .. 1e6."""
-    size = F.abs(value)
-    scale = F.floor(F.log10(size))
-    mantissa = F.round(size / F.pow(F.lit(10.0), scale), 5)
-    carry = mantissa >= 10
-    power = F.when(carry, scale + 1).otherwise(scale)
-    lead = F.when(carry, mantissa / 10.0).otherwise(mantissa)
-    sign = F.when(value < 0, "-").otherwise("")
-    plain = F.round(size * F.pow(F.lit(10.0), 5 - power)) / F.pow(F.lit(10.0), 5 - power)
-    digits = F.when(
-        power.between(-4, 5), _trim(plain.cast("decimal(38,12)").cast("string"))
-    ).otherwise(
-        F.concat(
-            _trim(lead.cast("decimal(20,10)").cast("string")), F.lit("e"),
-            F.when(power < 0, "-").otherwise("+"),
-            F.lpad(F.abs(power).cast("string"), 2, "0"),
-        )
+    factor = F.pow(F.lit(10.0), 5 - power)
+    plain = _trim((F.round(F.abs(value) * factor) / factor).cast("decimal(38,12)").cast("string"))
+    scientific = F.concat(
+        _trim(lead.cast("decimal(20,10)").cast("string")), F.lit("e"),
+        F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"),
     )
-    return F.when(value == 0, F.lit("0")).otherwise(F.concat(sign, digits))
+    digits = F.when(power.between(-4, 5), plain).otherwise(scientific)
+    return F.when(value == 0, F.lit("0")).otherwise(F.concat(F.when(value < 0, "-").otherwise(""), digits))
 
 
 def parse_number(text: Column) -> Column:
@@ -165,49 +155,68 @@ def as_fraction(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, finish)
 
 
-def _with_unit(text: Column, unit: Column) -> Column:
-    bare = F.regexp_replace(text, r"^f/", "")
-    bare = F.trim(F.when(F.endswith(bare, unit), F.substr(bare, F.lit(1), F.length(bare) - F.length(unit))).otherwise(bare))
-    number = parse_number(bare)
-    shown = F.when((unit == "s") & (number > 0) & (number < 1), as_fraction(number)).otherwise(general_number(number))
-    toward = F.concat(
-        general_number(F.abs(number)), F.lit(" toward "),
-        F.when(unit == "warmth", F.when(number > 0, "amber").otherwise("blue"))
-        .otherwise(F.when(number > 0, "magenta").otherwise("green")),
-    )
-    gain = F.when(number > 0, F.concat(_trim(F.round(number, 6).cast("decimal(38,6)").cast("string")), F.lit(" ×")))
-    return (
-        F.when((unit == "m") & F.lower(text).isin("inf", "infinity"), F.lit("Infinity"))
-        .when((unit == "K") & (F.lower(text) == "auto"), text)
-        .when(number.isNull(), F.lit(None).cast("string"))
-        .when(unit.isin("warmth", "tint"), F.when(number == 0, F.lit("Neutral")).otherwise(toward))
-        .when(unit == "gain", gain)
-        .when(unit == "f", F.concat(F.lit("f/"), shown))
-        .when(unit == "number", shown)
-        .otherwise(F.concat(shown, F.lit(" "), unit))
-    )
-
+def readable(df: DataFrame, group: str, tag: str, value: str, unit: str, into: str = "value") -> DataFrame:
+    """Add the readable text of one tag per row; null for unknown, binary or undecoded values.
 
-def display_value(group: Column, tag: Column, value: Column, unit: Column) -> Column:
-    """Readable text of one tag; null for unknown, binary or undecoded values."""
-    text = F.trim(value)
+    Intermediate results are columns of their own, so every expression is evaluated once.
+    """
+    kept = df.columns
+    text, u, number = F.col("_text"), F.col(unit), F.col("_number")
     hidden = (
         (text == "")
         | F.lower(text).rlike("^(unknown|undefined|n/a|unrecognized|unclassified)")
         | text.contains("SHA-256")
         | text.rlike(r"^(\{|\[|base64:|\(Binary)")
     )
-    code = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+    bare = F.regexp_replace(text, r"^f/", "")
+    rows = (
+        df.withColumn("_text", F.trim(F.col(value)))
+        .withColumn("_hidden", hidden)
+        .withColumn("_bare", F.when((u != "") & ~F.col("_hidden"), bare))
+        .withColumn(
+            "_bare",
+            F.trim(F.when(F.endswith("_bare", u), F.substr("_bare", F.lit(1), F.length("_bare") - F.length(u))).otherwise(F.col("_bare"))),
+        )
+        .withColumn("_number", parse_number(F.col("_bare")))
+        .withColumn("_scale", F.floor(F.log10(F.abs(number))))
+        .withColumn("_mantissa", F.round(F.abs(number) / F.pow(F.lit(10.0), F.col("_scale")), 5))
+        .withColumn("_power", F.when(F.col("_mantissa") >= 10, F.col("_scale") + 1).otherwise(F.col("_scale")))
+        .withColumn("_lead", F.when(F.col("_mantissa") >= 10, F.col("_mantissa") / 10.0).otherwise(F.col("_mantissa")))
+        .withColumn("_general", _general_text(number, F.col("_power"), F.col("_lead")))
+        .withColumn(
+            "_shown",
+            F.when((u == "s") & (number > 0) & (number < 1), as_fraction(number)).otherwise(F.col("_general")),
+        )
+    )
+    side = F.when(u == "warmth", F.when(number > 0, "amber").otherwise("blue")).otherwise(
+        F.when(number > 0, "magenta").otherwise("green")
+    )
+    toward = F.concat(F.regexp_replace("_general", "^-", ""), F.lit(" toward "), side)
+    gain = F.when(number > 0, F.concat(_trim(F.round(number, 6).cast("decimal(38,6)").cast("string")), F.lit(" ×")))
+    measured = (
+        F.when((u == "m") & F.lower(text).isin("inf", "infinity"), F.lit("Infinity"))
+        .when((u == "K") & (F.lower(text) == "auto"), text)
+        .when(number.isNull(), F.lit(None).cast("string"))
+        .when(u.isin("warmth", "tint"), F.when(number == 0, F.lit("Neutral")).otherwise(toward))
+        .when(u == "gain", gain)
+        .when(u == "f", F.concat(F.lit("f/"), "_shown"))
+        .when(u == "number", F.col("_shown"))
+        .otherwise(F.concat("_shown", F.lit(" "), u))
+    )
     names = F.create_map(
         *[F.lit(item) for t, codes in CODES.items() for c, name in codes.items() for item in (f"{t}:{c}", name)]
     )
+    code = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
     decoded = F.when(
-        group.isin("EXIF", "ExifIFD", "IFD0"),
-        F.when(tag == "Flash", F.when(code % 2 != 0, "Fired").otherwise("Did not fire"))
-        .otherwise(F.try_element_at(names, F.concat(tag, F.lit(":"), code.cast("string")))),
+        F.col(group).isin(*STANDARD_GROUPS),
+        F.when(F.col(tag) == "Flash", F.when(F.col("_code") % 2 != 0, "Fired").otherwise("Did not fire"))
+        .otherwise(F.try_element_at(names, F.concat(F.col(tag), F.lit(":"), F.col("_code").cast("string")))),
+    )
+    plain = F.when(F.col("_code").isNull(), text).otherwise(decoded)
+    shown = F.when(~F.col("_hidden"), F.when(u != "", measured).otherwise(plain))
+    return rows.withColumn("_code", code).withColumn("_into", shown).select(
+        *[c for c in kept if c != into], F.col("_into").alias(into)
     )
-    plain = F.when(code.isNull(), text).otherwise(decoded)
-    return F.when(~hidden, F.when(unit != "", _with_unit(text, unit)).otherwise(plain))
 
 
 def numbers(value: Column, count: int) -> Column:
@@ -273,13 +282,12 @@ def photo_settings(images: DataFrame, keys, tags: str) -> DataFrame:
         .otherwise(1)
     )
     # The catalogue is a fixed list of fewer than 80 tags.
-    shown = (
-        long.join(F.broadcast(catalogue(images.sparkSession)), "tag")
-        .withColumn("value", display_value(F.col("tag_group"), F.col("tag"), F.col("raw"), F.col("unit")))
-        .where("value is not null")
-    )
+    named = long.join(F.broadcast(catalogue(images.sparkSession)), "tag").withColumn("order", priority)
+    # Few different values recur in very many images: each is made readable once.
+    kinds = readable(named.select("tag", "tag_group", "unit", "raw").distinct(), "tag_group", "tag", "raw", "unit")
+    shown = named.join(kinds.where("value is not null"), ["tag", "tag_group", "unit", "raw"])
     return shown.groupBy(*keys, "setting").agg(
-        F.min_by("value", F.struct("tag_order", priority.alias("p"), "key", "raw")).alias("value")
+        F.min_by("value", F.struct("tag_order", "order", "key", "raw")).alias("value")
     )
 
 
