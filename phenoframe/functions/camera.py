@@ -227,36 +227,43 @@ def numbers(value: Column, count: int) -> Column:
     return F.when(good, parsed)
 
 
-def derived_tags(tags: Column) -> Column:
-    """Tag map with white-balance gains and vendor shifts added as ``Derived:`` tags."""
-    levels = F.get(
-        F.filter(
-            F.transform(
-                F.array_sort(F.filter(F.map_entries(tags), lambda e: e["key"].rlike("(^|:)WB_RGBLevels$"))),
-                lambda e: numbers(e["value"], 3),
-            ),
-            lambda n: n.isNotNull() & F.forall(n, lambda v: v > 0),
-        ),
-        F.lit(0),
+def tag_rows(images: DataFrame, keys, tags: str) -> DataFrame:
+    """(keys, key, raw) of every tag plus the ``Derived:`` tags, which replace equal raw keys.
+
+    Derived are the white-balance gains relative to green and the vendor's own adjustments.
+    """
+    first_levels = F.try_element_at(
+        F.array_sort(F.filter(F.map_entries(tags), lambda e: e["key"].rlike("(^|:)WB_RGBLevels$") & numbers(e["value"], 3).isNotNull())),
+        F.lit(1),
     )
-    shift = F.coalesce(
-        numbers(F.try_element_at(tags, F.lit("Sony:WBShiftAB_GM_Precise")), 2),
-        numbers(F.try_element_at(tags, F.lit("Sony:WBShiftAB_GM")), 2),
+    rows = (
+        images.withColumn("_levels", numbers(first_levels["value"], 3))
+        .withColumn("_precise", numbers(F.try_element_at(tags, F.lit("Sony:WBShiftAB_GM_Precise")), 2))
+        .withColumn("_coarse", numbers(F.try_element_at(tags, F.lit("Sony:WBShiftAB_GM")), 2))
+        .withColumn("_shift", F.coalesce("_precise", "_coarse"))
     )
+    levels, shift = F.col("_levels"), F.col("_shift")
+    lit = F.forall(levels, lambda v: v > 0)
 
     def entry(key: str, value: Column) -> Column:
         return F.struct(F.lit(f"Derived:{key}").alias("key"), value.cast("string").alias("value"))
 
     added = F.array(
-        entry("RedBalance", levels[0] / levels[1]),
-        entry("BlueBalance", levels[2] / levels[1]),
+        entry("RedBalance", F.when(lit, levels[0] / levels[1])),
+        entry("BlueBalance", F.when(lit, levels[2] / levels[1])),
         entry("WBWarmth", shift[0]),
         entry("WBTint", shift[1]),
         *[entry(target, F.try_element_at(tags, F.lit(f"Sony:{source}"))) for source, target in VENDOR_TAGS],
     )
-    present = F.filter(added, lambda e: e["value"].isNotNull())
-    kept = F.filter(F.map_entries(tags), lambda e: ~F.exists(present, lambda p: p["key"] == e["key"]))
-    return F.map_from_entries(F.concat(kept, present))
+    rows = rows.withColumn("_added", F.filter(added, lambda e: e["value"].isNotNull())).withColumn(
+        "_names", F.transform("_added", lambda e: e["key"])
+    )
+    kept = F.filter(
+        F.map_entries(tags), lambda e: ~(e["key"].startswith("Derived:") & F.array_contains("_names", e["key"]))
+    )
+    return rows.select(*keys, F.explode(F.concat(kept, "_added")).alias("_e")).select(
+        *keys, F.col("_e.key").alias("key"), F.col("_e.value").alias("raw")
+    )
 
 
 def catalogue(spark) -> DataFrame:
@@ -268,8 +275,7 @@ def photo_settings(images: DataFrame, keys, tags: str) -> DataFrame:
     """(keys, setting, value): one readable value per setting, standard groups first."""
     cut = F.length(F.substring_index(F.col("key"), ":", -1))
     long = (
-        images.select(*keys, F.explode(F.map_entries(derived_tags(F.col(tags)))).alias("_e"))
-        .select(*keys, F.col("_e.key").alias("key"), F.col("_e.value").alias("raw"))
+        tag_rows(images, keys, tags)
         .where(F.col("key").contains(":"))
         .withColumn("tag", F.substring_index("key", ":", -1))
         .withColumn("tag_group", F.substr("key", F.lit(1), F.length("key") - cut - 1))
@@ -285,10 +291,11 @@ def photo_settings(images: DataFrame, keys, tags: str) -> DataFrame:
     named = long.join(F.broadcast(catalogue(images.sparkSession)), "tag").withColumn("order", priority)
     # Few different values recur in very many images: each is made readable once.
     kinds = readable(named.select("tag", "tag_group", "unit", "raw").distinct(), "tag_group", "tag", "raw", "unit")
-    shown = named.join(kinds.where("value is not null"), ["tag", "tag_group", "unit", "raw"])
-    return shown.groupBy(*keys, "setting").agg(
-        F.min_by("value", F.struct("tag_order", "order", "key", "raw")).alias("value")
-    )
+    shown = named.join(kinds, ["tag", "tag_group", "unit", "raw"])
+    # The null test sits above the aggregate: as a filter on ``value`` it would be pushed down
+    # through the formatting steps, repeating all of them inside one predicate.
+    rank = F.when(F.col("value").isNotNull(), F.struct("tag_order", "order", "key", "raw"))
+    return shown.groupBy(*keys, "setting").agg(F.min_by("value", rank).alias("value")).where("value is not null")
 
 
 def flat_value(value: Column) -> Column:
