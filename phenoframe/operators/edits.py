@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.operators.ordered import ordered_columns
+from phenoframe.runtime import cut
 
 MAX_DEPTH = 256
 
@@ -17,20 +18,21 @@ def axis_paths(axes: DataFrame, doc: Sequence[str], index: str, parent: str) ->
     Pointer doubling: each round joins the path of the current ancestor, so a document of the
     allowed depth of 256 needs eight joins.
     """
-    rows = axes.select(*doc, index, F.col(parent).alias("_up"), F.array(F.col(index)).alias("path"))
+    rows = cut(axes.select(*doc, index, F.col(parent).alias("_up"), F.array(F.col(index)).alias("path")), "paths")
     reach = 1
-    while reach < MAX_DEPTH:
+    while reach < MAX_DEPTH and not rows.where("_up is not null").isEmpty():
         above = rows.select(*doc, F.col(index).alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_head"))
-        rows = rows.join(above, [*doc, "_up"], "left").select(
+        longer = rows.join(above, [*doc, "_up"], "left").select(
             *doc, index, F.col("_next").alias("_up"),
             F.when(F.col("_head").isNotNull(), F.concat("_head", "path")).otherwise(F.col("path")).alias("path"),
         )
+        rows = cut(longer, "paths")
         reach *= 2
     return rows.select(*doc, index, "path")
 
 
 def reassign_axes(
-    axes: DataFrame, edits: DataFrame, doc: Sequence[str], index: str, parent: str, plant: str, max_depth: int = MAX_DEPTH
+    axes: DataFrame, edits: DataFrame, doc: Sequence[str], index: str, parent: str, plant: str,
 ) -> DataFrame:
     """Move or delete chosen axes; orphans become primary axes of their own plant.
 
