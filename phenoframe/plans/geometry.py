@@ -343,14 +343,14 @@ def move_origin(spark, folder):
     return out.select("l_orderkey", F.col("slot").alias("l_linenumber"), "x", "y", "l_partkey")
 
 
-BOXES = """b AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS cx, l_tax * 12.5 AS cy, l_quantity / 60.0 AS w, l_quantity / 90.0 AS h, (l_partkey % 360) * 1.0 AS deg,
+BOXES = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 10 AS cx, l_tax * 12.5 AS cy, l_quantity / 61.0 AS w, l_quantity / 91.0 AS h, (l_partkey % 360) * 1.0 AS deg,
   CAST(600 + l_partkey % 50 AS DOUBLE) AS iw, CAST(400 + l_suppkey % 30 AS DOUBLE) AS ih FROM lineitem WHERE l_discount * 10 <= 1)"""
 
 
 def boxes(spark, folder):
     rows = table(spark, folder, "lineitem").where("l_discount * 10 <= 1")
     box = fg.box(
-        F.col("l_discount") * 10, F.col("l_tax") * 12.5, F.col("l_quantity") / 60.0, F.col("l_quantity") / 90.0,
+        F.col("l_discount") * 10, F.col("l_tax") * 12.5, F.col("l_quantity") / 61.0, F.col("l_quantity") / 91.0,
         (F.col("l_partkey") % 360) * 1.0,
     )
     return rows.select(
@@ -401,15 +401,15 @@ def box_extraction(spark, folder):
     )
 
 
-@query("box_unrotate", f"""WITH {BOXES}, t AS (SELECT *, l_partkey % 4 * 90.0 AS rot FROM (SELECT b.*, l.l_partkey FROM b JOIN lineitem l USING (l_orderkey, l_linenumber)) q),
+@query("box_unrotate", f"""WITH {BOXES}, t AS (SELECT *, CAST(l_partkey % 4 * 90 AS DOUBLE) AS rot FROM b),
 g AS (SELECT *, round(cos(radians(rot)), 9) AS c, round(sin(radians(rot)), 9) AS s, CASE WHEN l_partkey % 2 = 1 THEN ih ELSE iw END AS ow, CASE WHEN l_partkey % 2 = 1 THEN iw ELSE ih END AS oh FROM t),
 m AS (SELECT *, (ow-1)/2 - c*(iw-1)/2 + s*(ih-1)/2 AS tx, (oh-1)/2 - s*(iw-1)/2 - c*(ih-1)/2 AS ty FROM g)
-SELECT DISTINCT l_orderkey, l_linenumber, round((c*(cx*ow-0.5-tx) + s*(cy*oh-0.5-ty) + 0.5) / iw, 6) AS cx, round((-s*(cx*ow-0.5-tx) + c*(cy*oh-0.5-ty) + 0.5) / ih, 6) AS cy,
-  round(w*ow/iw, 6) AS w, round(h*oh/ih, 6) AS h, round(deg - rot, 6) AS deg FROM m""")
+SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, round((c*(cx*ow-0.5-tx) + s*(cy*oh-0.5-ty) + 0.5) / iw, 6) AS cx, round((-s*(cx*ow-0.5-tx) + c*(cy*oh-0.5-ty) + 0.5) / ih, 6) AS cy,
+  round(w*ow/iw, 6) AS w, round(h*oh/ih, 6) AS h, CAST(round(deg - rot, 6) AS DOUBLE) AS deg FROM m""")
 def box_unrotate(spark, folder):
     rot = (F.col("l_partkey") % 4) * 90.0
     rows = boxes(spark, folder).withColumn("u", fg.box_unrotate(F.col("b"), F.col("iw"), F.col("ih"), rot))
-    return rows.select("l_orderkey", "l_linenumber", *[r6(F.col("u")[c], c) for c in ("cx", "cy", "w", "h", "deg")]).distinct()
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[r6(F.col("u")[c], c) for c in ("cx", "cy", "w", "h", "deg")]).distinct()
 
 
 @query("affine_points", """SELECT l_orderkey, l_linenumber, round(0.5*l_quantity - 2.0*l_tax + l_discount, 6) AS x, round(1.5*l_quantity + 0.25*l_tax - l_discount, 6) AS y FROM lineitem""")
