@@ -374,11 +374,11 @@ def box_corners(spark, folder):
 
 @query("box_fit", f"""WITH {BOXES}, e AS (SELECT *, abs(cos(radians(deg)))*w*iw + abs(sin(radians(deg)))*h*ih AS ex, abs(sin(radians(deg)))*w*iw + abs(cos(radians(deg)))*h*ih AS ey FROM b),
 f AS (SELECT *, least(1.0, iw / greatest(ex, 1e-9), ih / greatest(ey, 1e-9)) AS k FROM e)
-SELECT l_orderkey, l_linenumber, round(least(greatest(cx*iw, ex*k/2), iw - ex*k/2) / iw, 6) AS cx, round(least(greatest(cy*ih, ey*k/2), ih - ey*k/2) / ih, 6) AS cy,
-  round(w*k, 6) AS w, round(h*k, 6) AS h FROM f""")
+SELECT l_orderkey, l_linenumber, round(least(greatest(cx*iw, ex*k/2), iw - ex*k/2) / iw, 4) AS cx, round(least(greatest(cy*ih, ey*k/2), ih - ey*k/2) / ih, 4) AS cy,
+  round(w*k, 4) AS w, round(h*k, 4) AS h FROM f""")
 def box_fit(spark, folder):
     rows = boxes(spark, folder).withColumn("f", fg.box_fit(F.col("b"), F.col("iw"), F.col("ih")))
-    return rows.select("l_orderkey", "l_linenumber", *[r6(F.col("f")[c], c) for c in ("cx", "cy", "w", "h")])
+    return rows.select("l_orderkey", "l_linenumber", *[(F.round(F.col("f")[c], 4) + 0.0).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("box_validity", """SELECT l_orderkey, l_linenumber, l_discount * 10 <= 1 AND l_quantity > 5 AS valid FROM lineitem""")
