@@ -18,13 +18,23 @@ _DATE_FIELDS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
 def file_stem(path: Column) -> Column:
     """File name without its last extension; a leading dot is not an extension."""
-    return F.regexp_replace(file_name(path), r"(?<=[^.])\.[^.]*$", "")
+    def stem(name):
+        suffix = F.length(F.substring_index(name, ".", -1))
+        kept = F.substr(name, F.lit(1), F.length(name) - suffix - 1)
+        return F.when((F.instr(name, ".") > 0) & (F.ltrim(kept, F.lit(".")) != ""), kept).otherwise(name)
+
+    return let(file_name(path), stem)
 
 
 def expected_code(group: Column) -> Column:
@@ -60,8 +70,13 @@ def template_pattern(template: str) -> tuple[str, list[str]]:
 def template_field(name: Column, template: str, field: str) -> Column:
     """Value of one template field, or null when the name does not match."""
     pattern, fields = template_pattern(template)
-    found = F.regexp_extract(name, pattern, fields.index(field) + 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(name, pattern, fields.index(field) + 1), F.lit(""))
+
+
+def template_fields(name: Column, template: str) -> Column:
+    """struct of all template fields; empty texts when the name does not match."""
+    pattern, fields = template_pattern(template)
+    return let(name, lambda n: F.struct(*[F.regexp_extract(n, pattern, i + 1).alias(f) for i, f in enumerate(fields)]))
 
 
 def parse_date(text: Column, date_format: str) -> Column:
@@ -81,19 +96,21 @@ def parse_date(text: Column, date_format: str) -> Column:
             pattern += re.sub(r"([^\w\s-])", r"\\\1", token)
     pattern = f"^{pattern}$"
 
-    def part(name: str, default: int) -> Column:
-        if name not in names:
-            return F.lit(default)
-        return F.regexp_extract(text, pattern, names.index(name) + 1).try_cast("int")
-
-    if "short_year" in names:
-        short = part("short_year", 0)
-        year = short + F.when(short < 69, 2000).otherwise(1900)
-    else:
-        year = part("year", 1900)
-    return F.try_make_timestamp_ntz(
-        year, part("month", 1), part("day", 1), part("hour", 0), part("minute", 0), part("second", 0)
-    )
+    def build(t: Column) -> Column:
+        def part(name: str, default: int) -> Column:
+            if name not in names:
+                return F.lit(default)
+            return F.regexp_extract(t, pattern, names.index(name) + 1).try_cast("int")
+
+        if "short_year" in names:
+            year = let(part("short_year", 0), lambda y: y + F.when(y < 69, 2000).otherwise(1900))
+        else:
+            year = part("year", 1900)
+        return F.try_make_timestamp_ntz(
+            year, part("month", 1), part("day", 1), part("hour", 0), part("minute", 0), part("second", 0)
+        )
+
+    return let(text, build)
 
 
 def clean_date_text(text: Column, suffix: str = "_1", legacy: bool = False) -> Column:

@@ -43,22 +43,22 @@ def minimum_gap(spark, folder):
     return spatial.minimum_gap(points, targets, ["label"], 128).withColumn("gap", F.round("gap", 6))
 
 
-VOTE = """seg AS (SELECT vec_id // 10 AS segment, x, y FROM c WHERE frame = 0), hist AS (SELECT DISTINCT x, y, label % 3 AS owner FROM c WHERE frame = 1),
+VOTE = """seg AS (SELECT y // 8 * 8 + x // 8 AS segment, x, y FROM px WHERE image = 1), hist AS (SELECT x, y, x // 16 % 3 AS owner FROM px WHERE image = 2),
 near AS (SELECT s.segment, s.x, s.y, h.owner, min((s.x - h.x) ** 2 + (s.y - h.y) ** 2) AS d2, any_value(s.n) AS n FROM (SELECT segment, x, y, count(*) AS n FROM seg GROUP BY 1, 2, 3) s JOIN hist h ON (s.x - h.x) ** 2 + (s.y - h.y) ** 2 <= 64 GROUP BY 1, 2, 3, 4),
 ex AS (SELECT *, count(*) FILTER (d2 <= 4) OVER w AS n2, count(*) FILTER (d2 <= 16) OVER w AS n4, count(*) OVER w AS n8 FROM near WINDOW w AS (PARTITION BY segment, x, y)),
 v AS (SELECT segment, owner, coalesce(sum(n) FILTER (d2 <= 4 AND n2 = 1), 0) AS v2, coalesce(sum(n) FILTER (d2 <= 16 AND n4 = 1), 0) AS v4, coalesce(sum(n) FILTER (n8 = 1), 0) AS v8 FROM ex GROUP BY 1, 2),
 sz AS (SELECT segment, count(*) AS size FROM seg GROUP BY 1),
 bb AS (SELECT v.segment, any_value(size) AS size, max(v2) AS m2, arg_max(owner, v2 * 10 - owner) AS o2, sum(v2) AS t2, max(v4) AS m4, arg_max(owner, v4 * 10 - owner) AS o4, sum(v4) AS t4, max(v8) AS m8, arg_max(owner, v8 * 10 - owner) AS o8, sum(v8) AS t8 FROM v JOIN sz USING (segment) GROUP BY 1)
-SELECT segment, CAST(CASE WHEN m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2 THEN o2 WHEN m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4 THEN o4 ELSE o8 END AS BIGINT) AS owner,
+SELECT CAST(segment AS BIGINT) AS segment, CAST(CASE WHEN m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2 THEN o2 WHEN m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4 THEN o4 ELSE o8 END AS BIGINT) AS owner,
   round(CASE WHEN m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2 THEN m2 WHEN m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4 THEN m4 ELSE m8 END / CAST(size AS DOUBLE), 6) AS share
 FROM bb WHERE (m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2) OR (m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4) OR (m8 >= greatest(10, 0.5 * size) AND m8 >= 0.8 * t8)"""
 
 
-@query("coverage_vote", f"WITH {CLOUD}, {VOTE}")
+@query("coverage_vote", f"WITH {PIX}, {VOTE}")
 def coverage_vote(spark, folder):
-    points, targets = cloud(spark, folder)
-    segs = points.withColumn("segment", F.floor(F.col("vec_id") / 10))
-    history = targets.withColumn("owner", (F.col("label") % 3).cast("long"))
+    px = quantity_pixels(spark, folder, 45).withColumn("k", F.lit(1))
+    segs = px.where("image = 1").withColumn("segment", F.floor(F.col("y") / 8) * 8 + F.floor(F.col("x") / 8))
+    history = px.where("image = 2").withColumn("owner", F.floor(F.col("x") / 16) % 3)
     return evidence.coverage_vote(segs, history, ["k"], "segment", "owner").select("segment", "owner", F.round("share", 6).alias("share"))
 
 

@@ -30,13 +30,15 @@ def parse_names(
     suffix: str = "_1", legacy: bool = False,
 ) -> DataFrame:
     """Add group_id and date from each file name; both are null when the name does not fit."""
-    stem = ft.file_stem(F.col(path))
-    date = ft.parse_date(
-        ft.clean_date_text(ft.template_field(stem, template, "date"), suffix, legacy), date_format
-    )
-    group = ft.template_field(stem, template, "group")
-    named = files.withColumn("date", date)
-    return named.withColumn("group_id", F.when(F.col("date").isNotNull(), group))
+    def read(found):
+        date = ft.parse_date(ft.clean_date_text(found["date"], suffix, legacy), date_format)
+        return ft.let(
+            date,
+            lambda d: F.struct(d.alias("date"), F.when(d.isNotNull(), F.nullif(found["group"], F.lit(""))).alias("group_id")),
+        )
+
+    parsed = ft.let(ft.template_fields(ft.file_stem(F.col(path)), template), read)
+    return files.withColumn("_name", parsed).select("*", "_name.date", "_name.group_id").drop("_name")
 
 
 def dated_series(files: DataFrame, path: str = "path", include_set_aside: bool = False, **options) -> DataFrame:
