@@ -253,13 +253,14 @@ def route(
     )
     lowers = segments.select(*keys, "seg", "lower_x", "lower_y", "lower_angle", "lower_junction")
     release = None
-    while True:
+    while not todo.isEmpty():
         waiting = todo.select(*keys, "seg")
         arriving = lowers.where("lower_junction is not null").select(*keys, "seg", "lower_x", "lower_y", F.col("lower_junction").alias("junction"))
         blocked = arriving.join(waiting, [*keys, "seg"], "left_semi").select(*keys, "junction").distinct()
         exits = todo.where("upper_junction is not null").withColumn("junction", F.col("upper_junction"))
         ready = exits.join(blocked, [*keys, "junction"], "left_anti")
         incoming = arriving.join(flows.select(*keys, "seg", "owner", "angle"), [*keys, "seg"])
+        ready, incoming = cut(ready, "ready"), cut(incoming, "incoming")
         physical = ready.join(incoming.select(*keys, "junction").distinct(), [*keys, "junction"], "left_semi")
         shape = lambda df, kind, **c: df.select(
             *keys, "junction", F.lit(kind).alias("kind"), F.col("seg"), c["owner"].cast("int").alias("owner"), c["x"].cast("int").alias("x"),
@@ -286,16 +287,16 @@ def route(
             flows.select(*keys, F.col("seg").alias("base"), "owner", "angle"), [*keys, "base"]
         ).select(*keys, "seg", "owner", F.col("base").alias("parent"), F.col("base_x").alias("parent_x"), F.col("base_y").alias("parent_y"), "angle")
         decided = cut(physical.select(*keys, "seg").unionByName(settled.select(*keys, "seg")).distinct(), "decided")
-        fresh = _publish(routed.unionByName(inherited), todo, flows, lowers, decided, keys)
-        fresh = cut(fresh, "fresh")
         if decided.isEmpty():
-            if release is not None or todo.isEmpty():
+            if release is not None:
                 break
             first = todo.where("base is not null").groupBy(*keys).agg(F.min_by("upper_junction", F.struct("upper_y", "upper_x", "seg")).alias("_j"))
             release = cut(todo.join(first, keys).where("upper_junction <=> _j").select(*keys, "seg"), "release")
             if release.isEmpty():
                 break
             continue
+        fresh = _publish(cut(routed.unionByName(inherited), "routes"), todo, flows, lowers, decided, keys)
+        fresh = cut(fresh, "fresh")
         release = None
         flows = cut(flows.unionByName(fresh), "flows")
         todo = cut(todo.join(decided, [*keys, "seg"], "left_anti"), "todo")

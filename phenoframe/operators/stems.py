@@ -9,22 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def _split_points(x: np.ndarray, k: int) -> np.ndarray:
-    """Cluster number of sorted values, minimising the squared deviation (dynamic programming)."""
+def _split_points(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Cluster number of sorted distinct values, minimising the squared deviation (dynamic programming)."""
     n = len(x)
-    s, q = np.concatenate(([0.0], x.cumsum())), np.concatenate(([0.0], (x * x).cumsum()))
+    w, s, q = (np.concatenate(([0.0], (weight * x**p).cumsum())) for p in (0, 1, 2))
     cost = np.full(n + 1, np.inf)
     cost[0] = 0.0
     choice = np.zeros((k, n + 1), int)
     for c in range(k):
-        nxt = np.full(n + 1, np.inf)
+        following = np.full(n + 1, np.inf)
         for end in range(c + 1, n + 1):
             start = np.arange(c, end)
-            spread = (q[end] - q[start]) - (s[end] - s[start]) ** 2 / (end - start)
+            spread = (q[end] - q[start]) - (s[end] - s[start]) ** 2 / (w[end] - w[start])
             total = cost[start] + spread
             best = int(np.argmin(total))
-            nxt[end], choice[c, end] = total[best], start[best]
-        cost = nxt
+            following[end], choice[c, end] = total[best], start[best]
+        cost = following
     label, end = np.zeros(n, int), n
     for c in range(k - 1, -1, -1):
         start = choice[c, end]
@@ -35,26 +35,32 @@ def _split_points(x: np.ndarray, k: int) -> np.ndarray:
 def cluster_stems(regions: DataFrame, image: Sequence[str], count: int) -> DataFrame:
     """(image, slot, x, y, area): ``count`` stems per image from left to right.
 
-    ``regions`` has min_x, max_x, min_y, max_y, area: a handful of regions per image. Images with
-    fewer regions than stems give no rows, as partial clusters would shift identities.
+    ``regions`` has min_x, max_x, min_y, max_y, area. Regions are counted per centre column
+    first, so a task receives at most two rows per image column however many regions there are.
+    Images with fewer regions than stems give no rows, as partial clusters would shift identities.
     """
     image = list(image)
     centred = regions.select(
         *image, ((F.col("min_x") + F.col("max_x") + 1) / 2.0).alias("cx"), ((F.col("min_y") + F.col("max_y") + 1) / 2.0).alias("cy"), "area"
     )
+    columns = centred.groupBy(*image, "cx").agg(F.count(F.lit(1)).alias("n"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cx", kind="stable")
         if len(pdf) < count:
             return pdf.assign(cluster=0).iloc[:0]
-        return pdf.assign(cluster=_split_points(pdf["cx"].to_numpy(float), count))
-
-    kinds = dict(centred.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in centred.columns) + ", cluster int"
-    labelled = centred.groupBy(*image).applyInPandas(cluster, schema)
-    found = labelled.groupBy(*image, "cluster").agg(
-        F.bround(F.percentile("cx", F.lit(0.5))).cast("int").alias("x"),
-        F.bround(F.percentile("cy", F.lit(0.5))).cast("int").alias("y"), F.sum("area").cast("long").alias("area"),
-    )
+        return pdf.assign(cluster=_split_points(pdf["cx"].to_numpy(float), pdf["n"].to_numpy(float), count))
+
+    kinds = dict(columns.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns.columns) + ", cluster int"
+    labelled = centred.join(columns.groupBy(*image).applyInPandas(cluster, schema).drop("n"), [*image, "cx"])
+
+    def median(column):
+        counts = labelled.groupBy(*image, "cluster", column).agg(F.count(F.lit(1)).alias("_n"))
+        middle = F.bround(F.percentile(column, F.lit(0.5), F.col("_n"))).cast("int")
+        return counts.groupBy(*image, "cluster").agg(middle.alias("x" if column == "cx" else "y"))
+
+    area = labelled.groupBy(*image, "cluster").agg(F.sum("area").cast("long").alias("area"))
+    found = median("cx").join(median("cy"), [*image, "cluster"]).join(area, [*image, "cluster"])
     order = Window.partitionBy(*image).orderBy("x", "cluster")  # ``count`` rows per image
     return found.select(*image, (F.row_number().over(order) - 1).alias("slot"), "x", "y", "area")
