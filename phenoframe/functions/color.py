@@ -40,7 +40,8 @@ def circular_mean_hue(h: Column) -> Column:
     """Aggregate: mean hue on the circle of 180 steps."""
     angle = h * (math.pi / 90.0)
     mean = F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle))) * (90.0 / math.pi)
-    return F.pmod(F.bround(mean), F.lit(180.0)).cast("int")
+    # Noise in the last digits must not decide a tie.
+    return F.pmod(F.bround(F.round(mean, 9)), F.lit(180.0)).cast("int")
 
 
 def range_of_two(first: Column, second: Column) -> Column:

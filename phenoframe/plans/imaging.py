@@ -114,7 +114,7 @@ def colour_windows(spark, folder):
 
 @query("sample_colour", f"""WITH {COLOURS}, grid AS (SELECT image, CAST(l_partkey % 64 AS INTEGER) AS x, CAST(l_orderkey % 64 AS INTEGER) AS y, min(h) AS h, min(s) AS s, min(v) AS v FROM hsv GROUP BY 1, 2, 3),
 picks AS (SELECT n_nationkey AS pick, i.image, n_nationkey * 2 AS px, n_nationkey * 3 % 64 AS py FROM nation, (SELECT DISTINCT image FROM hsv) i)
-SELECT p.image, p.pick, CAST((CAST(round_even(atan2(avg(sin(h * pi() / 90)), avg(cos(h * pi() / 90))) * 90 / pi(), 0) AS INTEGER) + 180) % 180 AS INTEGER) AS h,
+SELECT p.image, p.pick, CAST((CAST(round_even(round(atan2(avg(sin(h * pi() / 90)), avg(cos(h * pi() / 90))) * 90 / pi(), 9), 0) AS INTEGER) + 180) % 180 AS INTEGER) AS h,
   CAST(floor(quantile_cont(s, 0.5)) AS INTEGER) AS s, CAST(floor(quantile_cont(v, 0.5)) AS INTEGER) AS v
 FROM picks p JOIN grid g ON g.image = p.image AND abs(g.x - p.px) <= 1 AND abs(g.y - p.py) <= 1 GROUP BY 1, 2""")
 def sample_colour(spark, folder):
