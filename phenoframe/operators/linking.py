@@ -40,7 +40,7 @@ def end_junctions(ends: DataFrame, junctions: DataFrame, keys: Sequence[str]) ->
 def frame_segments(
     skel: DataFrame, fg: DataFrame, keys: Sequence[str], width: int, height: int, min_pixels: int = 8
 ) -> tuple[DataFrame, DataFrame]:
-    """(segments, points) of one frame for all groups.
+    """(segments, points) of one frame for all groups; ``fg`` carries component labels.
 
     segments: keys, seg, upper/lower x, y, angle, junction, lower_is_tip, component.
     points: keys, seg, pos (from the upper end), x, y, width.
@@ -57,7 +57,6 @@ def frame_segments(
     both = found.select(*keys, "upper.x", "upper.y").unionByName(found.select(*keys, "lower.x", "lower.y"))
     touch = end_junctions(both, junctions, keys)
     tips = pixels.line_ends(skel, keys).withColumn("_tip", F.lit(True))
-    labels = components.label_pixels(fg, keys)
     def at(side, df, name, value):
         return df.select(*keys, F.col("x").alias(f"{side}_x"), F.col("y").alias(f"{side}_y"), F.col(value).alias(name))
     segments = found.select(
@@ -66,7 +65,7 @@ def frame_segments(
     )
     for side, df, name, value in (
         ("upper", touch, "upper_junction", "junction"), ("lower", touch, "lower_junction", "junction"),
-        ("lower", tips, "lower_is_tip", "_tip"), ("upper", labels, "component", "label"),
+        ("lower", tips, "lower_is_tip", "_tip"), ("upper", fg, "component", "label"),
     ):
         segments = segments.join(at(side, df, name, value), [*keys, f"{side}_x", f"{side}_y"], "left")
     segments = cut(segments.na.fill(False, ["lower_is_tip"]), "segments")

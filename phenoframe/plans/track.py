@@ -57,13 +57,12 @@ def track_frame(
     lines = skeleton.thin(area, KEYS)
     totals = measure.image_totals(area, lines, KEYS)
     rooted = pixels.clear_above_stems(lines, stems, KEYS, F.lit(options.width))
-    segments, points = linking.frame_segments(rooted, area, KEYS, options.width, options.height, options.min_pixels)
+    segments, points = linking.frame_segments(rooted, kept, KEYS, options.width, options.height, options.min_pixels)
     extent = max(options.width, options.height)
     none = points.select(*KEYS, "seg", F.lit(None).cast("int").alias("owner")).where("false")
     forced = linking.forced_owners(points, history, KEYS) if history is not None else none
-    labelled = components.label_pixels(area, KEYS)
     base = cut(
-        linking.link_rounds(segments, stems, forced, labelled, KEYS, options.spacing, extent, options.filter_static), "base"
+        linking.link_rounds(segments, stems, forced, kept, KEYS, options.spacing, extent, options.filter_static), "base"
     )
     if history is not None:
         support = evidence.coverage_vote(points, history, KEYS, "seg", "owner").select(
