@@ -35,11 +35,11 @@ def reference_tone(stats: DataFrame, count: int, order: Sequence[str], group: Se
     return chosen.groupBy(*group).agg(*means) if group else chosen.agg(*means)
 
 
-def match_tone(stats: DataFrame, target: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+def match_tone(stats: DataFrame, target: DataFrame, on: Sequence[str]) -> DataFrame:
     """Controls that move every image to the target tones; ``target`` has one row per ``on``."""
     names = ("shadow", "mid", "highlight", "mean_luma")
     goal = target.select(*on, *[F.col(c).alias(f"_t_{c}") for c in names])
-    joined = stats.join(goal, list(on)) if on else stats.crossJoin(F.broadcast(goal.limit(1)))
+    joined = stats.join(goal, list(on))
     fits = tone.match({c: F.col(c) for c in names[:3]}, {c: F.col(f"_t_{c}") for c in names[:3]})
     return joined.select(
         *stats.columns, *[v.alias(k) for k, v in fits.items()],

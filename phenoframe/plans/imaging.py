@@ -113,7 +113,7 @@ def colour_windows(spark, folder):
 
 
 @query("sample_colour", f"""WITH {COLOURS}, grid AS (SELECT image, CAST(l_partkey % 64 AS INTEGER) AS x, CAST(l_orderkey % 64 AS INTEGER) AS y, min(h) AS h, min(s) AS s, min(v) AS v FROM hsv GROUP BY 1, 2, 3),
-picks AS (SELECT n_nationkey AS pick, i.image, n_nationkey * 2 AS px, n_nationkey * 3 % 64 AS py FROM nation, (SELECT DISTINCT image FROM hsv) i)
+picks AS (SELECT CAST(n.n AS INTEGER) AS pick, i.image, n.n * 2 AS px, n.n * 3 % 64 AS py FROM range(25) n(n), (SELECT DISTINCT image FROM hsv) i)
 SELECT p.image, p.pick, CAST((CAST(round_even(round(atan2(avg(sin(h * pi() / 90)), avg(cos(h * pi() / 90))) * 90 / pi(), 9), 0) AS INTEGER) + 180) % 180 AS INTEGER) AS h,
   CAST(floor(quantile_cont(s, 0.5)) AS INTEGER) AS s, CAST(floor(quantile_cont(v, 0.5)) AS INTEGER) AS v
 FROM picks p JOIN grid g ON g.image = p.image AND abs(g.x - p.px) <= 1 AND abs(g.y - p.py) <= 1 GROUP BY 1, 2""")
@@ -122,9 +122,9 @@ def sample_colour(spark, folder):
         "image", (F.col("l_partkey") % 64).cast("int").alias("x"), (F.col("l_orderkey") % 64).cast("int").alias("y")
     ).agg(F.min("h").alias("h"), F.min("s").alias("s"), F.min("v").alias("v"))
     images = colours(spark, folder).select("image").distinct()
-    key = F.col("n_nationkey")
-    picks = images.crossJoin(F.broadcast(table(spark, folder, "nation").select("n_nationkey"))).select(
-        "image", key.alias("pick"), (key * 2).alias("x"), (key * 3 % 64).alias("y")
+    key = F.col("pick")
+    picks = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("pick")).select(
+        "image", "pick", (key * 2).alias("x"), (key * 3 % 64).alias("y")
     )
     return luminance.sample_colour(grid, picks, ["image"])
 
@@ -179,12 +179,13 @@ def frame_difference(spark, folder):
     return pixels.frame_difference(quantity_pixels(spark, folder), [], "image", "v")
 
 
-@query("exclusion_mask", f"""WITH {PIX} SELECT image, x, y FROM px p WHERE NOT (image <> 3 AND EXISTS (SELECT 1 FROM events e WHERE e.user_id % 64 = p.x AND CAST(floor(e.value) AS INTEGER) % 64 = p.y))""")
+@query("exclusion_mask", f"""WITH {PIX} SELECT image, x, y FROM px p WHERE NOT (image <> 3 AND EXISTS (SELECT 1 FROM events e WHERE e.event_id % 7 + 1 = p.image AND e.user_id % 64 = p.x AND CAST(floor(e.value) AS INTEGER) % 64 = p.y))""")
 def exclusion_mask(spark, folder):
     px = quantity_pixels(spark, folder, 45).withColumn("width", F.lit(64)).withColumn("height", F.lit(64))
-    marks = table(spark, folder, "events").select((F.col("user_id") % 64).cast("int").alias("x"), (F.floor("value").cast("int") % 64).alias("y")).distinct()
-    images = px.select("image").distinct().withColumn("width", F.when(F.col("image") == 3, 65).otherwise(64)).withColumn("height", F.lit(64))
-    return pixels.exclude(px, marks.crossJoin(F.broadcast(images)), ["image"]).select("image", "x", "y")
+    marks = table(spark, folder, "events").select((F.col("event_id") % 7 + 1).alias("image"), (F.col("user_id") % 64).cast("int").alias("x"), (F.floor("value").cast("int") % 64).alias("y")).distinct()
+    # The mask of image 3 has another size, so it is ignored.
+    marks = marks.withColumn("width", F.when(F.col("image") == 3, 65).otherwise(64)).withColumn("height", F.lit(64))
+    return pixels.exclude(px, marks, ["image"]).select("image", "x", "y")
 
 
 @query("clear_margins", f"WITH {PIX} SELECT image, x, y FROM px WHERE x BETWEEN 2 AND 61 AND y BETWEEN 0 AND 60")
@@ -216,12 +217,12 @@ def lateral_pixels(spark, folder):
     return px.join(px.where("v > 45"), keys, "left_anti").select(*keys)
 
 
-@query("clear_above_stems", f"""WITH {PIX}, stems AS (SELECT CAST(n_nationkey * 2 + 3 AS INTEGER) AS sx, CAST(n_nationkey AS INTEGER) AS sy FROM nation)
+@query("clear_above_stems", f"""WITH {PIX}, stems AS (SELECT n.n * 2 + 3 AS sx, n.n AS sy FROM range(25) n(n))
 SELECT image, x, y FROM px WHERE NOT EXISTS (SELECT 1 FROM stems WHERE y < sy AND x >= greatest(sx - 5, 0) AND x < least(sx + 5, 63))""")
 def clear_above_stems(spark, folder):
     px = quantity_pixels(spark, folder, 45)
-    stems = px.select("image").distinct().crossJoin(F.broadcast(table(spark, folder, "nation"))).select(
-        "image", (F.col("n_nationkey") * 2 + 3).cast("int").alias("x"), F.col("n_nationkey").cast("int").alias("y")
+    stems = px.select("image").distinct().select("image", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("y")).withColumn(
+        "x", F.col("y") * 2 + 3
     )
     return pixels.clear_above_stems(px, stems, ["image"], F.lit(64)).select("image", "x", "y")
 

@@ -160,7 +160,7 @@ def junction_clusters(spark, folder):
 def part_segments(spark, folder):
     """Segments and stems laid out from the parts table: about 2,000 at the check scale."""
     key = F.col("p_partkey")
-    ux, uy = (key * 13 % 600).cast("int"), (20 + key * 29 % 500).cast("int")
+    ux, uy = (key * 13 % 600).cast("int"), (20 + key * 29 % 130).cast("int")
     lx, ly = (ux + F.col("p_size") % 9 - 4).cast("int"), (uy + 8 + F.col("p_size") % 20).cast("int")
     def cell(x, y):
         # An end joins the junction of the next band down, so links run downwards.
