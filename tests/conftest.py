@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 def spark():
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
