@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import decontaminate, neardup, packing, substrings
+from phenoframe.llm import decontaminate, neardup, packing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,15 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit_model(docs, labels.where(~quality.held_out("doc_id")), "doc_id", "text", "quality")
+    return quality.score(docs, model).select(
+        F.col("doc").alias("doc_id"), quality.held_out("doc").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
