@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import decontaminate, imatch, neardup, packing, pages, quality, substrings
+from phenoframe.llm import decontaminate, imatch, neardup, packing, pages, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.fit_forest(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), forest)
+    spans = F.transform("secrets", lambda c: F.concat_ws("+", c["start"].cast("string"), c["length"].cast("string")))
+    return found.select(
+        "doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.array_join(spans, ",").alias("secret_spans"),
+        F.round(F.array_max(F.transform("secrets", lambda c: c["score"])), 6).alias("highest"),
+        F.sha2(F.coalesce(secrets.redacted(F.col("text"), F.col("secrets")), F.lit("")), 256).alias("redacted_sha256"))
+
+
 @query
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
