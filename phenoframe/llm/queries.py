@@ -30,7 +30,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
     return found.select(
         F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 

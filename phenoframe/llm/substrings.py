@@ -22,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm import spans
-from phenoframe.llm.session import arrow_batches, cut
+from phenoframe.llm.session import arrow_batches
 
 ANCHOR = 16
 SHALLOW = 2  # characters of eight bytes that the quicksort looks at
 BUCKET_BYTES = 4 << 20
 _WORD = np.uint64(0xFFFFFFFF)
+NO_ID = -(1 << 63)  # stands for a null id, before all others
 
 
 def _load8(raw: np.ndarray, big: bool = False) -> np.ndarray:
@@ -102,7 +104,7 @@ def _report(length: int, buckets: int):
         for batch in batches:
             raw, off = spans.text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for i, j in spans.blocks(off, 2 * spans.BLOCK_BYTES):
+            for i, j in spans.blocks(off):
                 row, _, _, hashes = stretches(raw[off[i]: off[j]], off[i: j + 1] - off[i], length)
                 if not len(row):
                     continue
@@ -120,14 +122,28 @@ def _report(length: int, buckets: int):
                     for a, b in _split(bucket[by])
                 ]
                 shared = np.repeat(many, np.diff(np.r_[at, len(keys)]))
-                rows += [(None, None, None, None, d, k) for d, k in _per_doc(docs[shared], keys[shared])]
+                rows += [(d % buckets, None, None, None, d, k) for d, k in _per_doc(docs[shared], keys[shared])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), REPORT.types)], schema=REPORT)
 
     return run
 
 
+def _parts(part):
+    """Rows that are to be worked on, and the finished (doc, value) rows that only pass through."""
+    done = pc.is_valid(part.column("doc"))
+    return part.filter(pc.invert(done)), part.filter(done)
+
+
+def _pairs(rows: list[tuple[int, bytes]], name: str, passed: pa.Table) -> pa.Table:
+    new = pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), name: pa.array([v for _, v in rows], pa.binary())})
+    return pa.concat_tables([new, pa.table([passed.column("doc"), passed.column(name)], names=["doc", name])])
+
+
 def _shared(key, part):
     """Documents of a bucket's anchors that occur in other blocks as well."""
+    part, passed = _parts(part)
+    if not part.num_rows:
+        return _pairs([], "keys", passed)
     heads = np.concatenate([np.frombuffer(x, "<u4") for x in part.column("heads").to_pylist()])
     docs = np.concatenate([_numbers(x) for x in part.column("docs").to_pylist()])
     many = np.concatenate([
@@ -139,8 +155,7 @@ def _shared(key, part):
     size = np.diff(np.r_[at, len(heads)])
     tell = np.repeat(size > 1, size) & ~many  # documents of a block with two of them know already
     keys = (heads.astype(np.uint64) << np.uint64(32)) | np.uint64(key[0].as_py())
-    rows = list(_per_doc(docs[tell], keys[tell]))
-    return pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), "keys": pa.array([k for _, k in rows], pa.binary())})
+    return _pairs(list(_per_doc(docs[tell], keys[tell])), "keys", passed)
 
 
 SENT = pa.schema([
@@ -155,7 +170,7 @@ def _send(length: int, buckets: int):
         for batch in batches:
             raw, off = spans.text_bytes(batch.column(1))
             ids, told = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for i, j in spans.blocks(off, 2 * spans.BLOCK_BYTES):
+            for i, j in spans.blocks(off):
                 part, local = raw[off[i]: off[j]], off[i: j + 1] - off[i]
                 row, start, windows, hashes = stretches(part, local, length)
                 if not len(row):
@@ -182,7 +197,7 @@ def _send(length: int, buckets: int):
                 for k in np.flatnonzero(same):
                     if not np.array_equal(part[start[k]: start[k] + size[k]], part[start[head[k]]: start[head[k]] + size[k]]):
                         same[k] = False
-                rows = [(None,) * 5 + x for x in _spans_of(docs[same], at[same], at[same] + size[same])]
+                rows = [(x[0] % buckets, None, None, None, None, *x) for x in _spans_of(docs[same], at[same], at[same] + size[same])]
                 keep = np.flatnonzero(~same)
                 bucket = (keys[keep] & _WORD).astype(np.int64)
                 by = keep[np.argsort(bucket, kind="stable")]
@@ -190,7 +205,7 @@ def _send(length: int, buckets: int):
                 for a, b in _split(bucket):
                     k = by[a:b]
                     rows.append((
-                        int(bucket[a]), b"".join(bytes(part[s: s + z]) for s, z in zip(start[k], size[k])),
+                        int(bucket[a]), pa.compress(b"".join(bytes(part[s: s + z]) for s, z in zip(start[k], size[k])), "zstd", asbytes=True),
                         size[k].astype("<u4").tobytes(), _planes(docs[k]), at[k].astype("<u8").tobytes(), None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SENT.types)], schema=SENT)
 
@@ -300,71 +315,85 @@ def repeated_windows(raw: np.ndarray, start: np.ndarray, docs: np.ndarray, lengt
 
 def _sort_bucket(length: int):
     def run(key, part):
-        raw = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8)
+        part, passed = _parts(part)
+        if not part.num_rows:
+            return _pairs([], "spans", passed)
         join = lambda name, how: np.concatenate([how(x) for x in part.column(name).to_pylist()])
-        size = join("sizes", lambda x: np.frombuffer(x, "<u4")).astype(np.int64)
+        sizes = [np.frombuffer(x, "<u4") for x in part.column("sizes").to_pylist()]
+        size = np.concatenate(sizes).astype(np.int64)
+        raw = np.frombuffer(b"".join(
+            pa.decompress(x, int(z.sum()), "zstd", asbytes=True) for x, z in zip(part.column("bytes").to_pylist(), sizes)), np.uint8)
         docs, at = join("docs", _numbers), join("starts", lambda x: np.frombuffer(x, "<u8")).astype(np.int64)
         base, windows = np.cumsum(size) - size, size - length + 1
         which = np.repeat(np.arange(len(size)), windows)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
         repeated = np.flatnonzero(repeated_windows(raw, base[which] + inner, docs[which], length))
         which, begin = which[repeated], (at[which] + inner)[repeated]
-        rows = list(_spans_of(docs[which], begin, begin + length))
-        return pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), "spans": pa.array([s for _, s in rows], pa.binary())})
+        return _pairs(list(_spans_of(docs[which], begin, begin + length)), "spans", passed)
+
+    return run
+
+
+def _finish(with_bytes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cut(batch, with_bytes)
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, off = spans.text_bytes(batch.column(1))
-        removed, runs, digest, kept = [], [], [], []
-        for i, found in enumerate(batch.column(2).to_pylist()):
-            body = raw[off[i]: off[i + 1]]
-            pairs = np.zeros((0, 2), np.int64)
-            if found:
-                pairs = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in found])
-                pairs = merge(pairs[np.argsort(pairs[:, 0], kind="stable")])
-            keep = np.ones(len(body), bool)
-            for a, b in pairs:
-                keep[a:b] = False
-            rest = body[keep].tobytes()
-            removed.append(len(body) - len(rest))
-            runs.append([{"start": int(a), "stop": int(b)} for a, b in pairs])
-            digest.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()),
-             pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
-            ["doc", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """One row per document row: ``doc``, ``n_bytes``, ``n_removed``, ``spans``, ``kept_sha256``, ``kept`` (bytes).
+def _cut(batch: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
+    raw, off = spans.text_bytes(batch.column(1))
+    removed, runs, digest, kept = [], [], [], []
+    for i, found in enumerate(batch.column(2).to_pylist()):
+        body = raw[off[i]: off[i + 1]]
+        pairs = np.zeros((0, 2), np.int64)
+        if found:
+            pairs = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in found])
+            pairs = merge(pairs[np.argsort(pairs[:, 0], kind="stable")])
+        keep = np.ones(len(body), bool)
+        for a, b in pairs:
+            keep[a:b] = False
+        rest = body[keep].tobytes()
+        removed.append(len(body) - len(rest))
+        runs.append([{"start": int(a), "stop": int(b)} for a, b in pairs])
+        digest.append(hashlib.sha256(rest).hexdigest())
+        kept.append(rest)
+    columns = [
+        batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()),
+        pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(digest, pa.string())]
+    names = ["doc", "n_bytes", "n_removed", "spans", "kept_sha256"]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())], [*names, "kept"]) if with_bytes else pa.RecordBatch.from_arrays(columns, names)
+
+
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, with_bytes: bool = True
+) -> DataFrame:
+    """One row per document row: ``doc``, ``n_bytes``, ``n_removed``, ``spans``, ``kept_sha256`` and, unless
+    declined, ``kept`` (bytes).
 
     Bytes covered by a ``length``-byte string that also starts in a document with a smaller id are removed;
-    strings are judged on the whole input and never cross documents. Null is empty. Ids are integers and
-    not null; rows that repeat an id do not remove each other's bytes. ``length`` is at least 16.
+    strings are judged on the whole input and never cross documents. Null is empty. Ids are integers; a null
+    id counts as the smallest. Rows that repeat an id do not remove each other's bytes. ``length`` is at least 16.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
     spark = docs.sparkSession
     arrow_batches(spark, rows=4000)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Without nulls the two joins read the same shuffle of the texts.
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    plain = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, (total // BUCKET_BYTES).bit_length())
-    report = cut(plain.mapInArrow(
-        _report(length, buckets), "bucket long, heads binary, docs binary, many binary, doc long, keys binary"), "anchors")
-    known = report.where("doc is not null").select("doc", "keys")
-    other = report.where("bucket is not null").select("bucket", "heads", "docs", "many")
-    other = other.groupBy("bucket").applyInArrow(_shared, "doc long, keys binary")
-    told = known.unionByName(other).groupBy("doc").agg(F.collect_list("keys").alias("keys"))
-    sent = cut(plain.join(told, "doc").select("doc", "text", "keys").mapInArrow(
+    report = plain.mapInArrow(
+        _report(length, buckets), "bucket long, heads binary, docs binary, many binary, doc long, keys binary")
+    told = report.groupBy("bucket").applyInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys"))
+    sent = plain.join(told, "doc", "left").where(F.size("keys") > 0).select("doc", "text", "keys").mapInArrow(
         _send(length, buckets),
-        "bucket long, bytes binary, sizes binary, docs binary, starts binary, doc long, spans binary"), "stretches")
-    sure = sent.where("doc is not null").select("doc", "spans")
-    sorted_ = sent.where("bucket is not null").drop("doc", "spans").groupBy("bucket").applyInArrow(
-        _sort_bucket(length), "doc long, spans binary")
-    found = sure.unionByName(sorted_).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
-    return plain.join(found, "doc", "left").select("doc", "text", "spans").mapInArrow(
-        _finish, "doc long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string, kept binary")
+        "bucket long, bytes binary, sizes binary, docs binary, starts binary, doc long, spans binary")
+    found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "doc long, spans binary")
+    found = found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
+    out = plain.join(found, "doc", "left").select("doc", "text", "spans").mapInArrow(
+        _finish(with_bytes),
+        "doc long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string" + ", kept binary" * with_bytes)
+    return out.withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
