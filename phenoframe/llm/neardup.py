@@ -319,11 +319,11 @@ def near_duplicates(
 
     Documents are linked if their sets share at least ``percent`` of their union; ``component_id`` is the
     smallest id reachable over links. Nulls and texts without words have no shingles and are linked with
-    nothing. Repeated rows share a component. Ids must not be null.
+    nothing. Repeated rows share a component. Rows without an id are kept and linked with nothing.
     """
     base = cut(sketches(docs, doc_id, text, percent, size), "sketches")
     classes = cut(
-        base.where("n_shingles > 0").groupBy("digest").agg(
+        base.where("n_shingles > 0 and doc is not null").groupBy("digest").agg(
             F.min("doc").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"), F.first("low").alias("low")),
         "classes")
     coarse = connect(forest_edges(classes, percent), [])
@@ -335,6 +335,6 @@ def near_duplicates(
     named = cut(
         classes.select("digest", "rep").join(labels.select(F.col("doc").alias("rep"), "label").distinct(), "rep", "left")
         .select("digest", F.coalesce("label", "rep").alias("component")), "named")
-    out = base.select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
+    out = base.select("doc", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     return out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id")).withColumn(
-        "kept", F.col("doc") == F.col("component_id"))
+        "kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))

@@ -242,6 +242,22 @@ def score(docs: DataFrame, model: AttentionModel | float, doc_id: str = "doc_id"
     return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, score double")
 
 
+def accept(docs: DataFrame, model: AttentionModel | float, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that score at least ``threshold``, with all their columns."""
+    arrow_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = np.full(batch.num_rows, model if isinstance(model, float) else 0.0)
+            if not isinstance(model, float):
+                for i, x, bags in _bags(batch.column(at)):
+                    value[i: i + len(bags)] = model.score(x, bags)
+            yield batch.filter(pa.array(value >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str):
     """Rows kept from training: crc32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1

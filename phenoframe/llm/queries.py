@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import decontaminate, imatch, neardup, packing, pages, quality, secrets, substrings
+from phenoframe.llm import chat, decontaminate, imatch, neardup, packing, pages, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placement of every document on 64 shards, and after one of them has left."""
+    shards = [f"shard-{k:02d}" for k in range(64)]
+    placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id"), shards, ["doc_id"])
+    left = [s for s in shards if s != "shard-07"]
+    return sharding.place(placed, left, ["doc_id"], names=("slot_after", "shard_after")).select("doc_id", "slot", "shard", "shard_after")
+
+
 @query
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "pages")
@@ -58,6 +67,13 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(docs, imatch.fit_lexicon(docs)).withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.REPLY).select(
+        F.col("conv").alias("conv_id"), "call_id", "level", "turn", "status", "valid", F.size("errors").alias("n_errors"), "json")
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -187,21 +187,32 @@ def _depth(tree: list[list[float]], at: int = 0) -> int:
     return 0 if tree[at][0] < 0 else 1 + max(_depth(tree, int(tree[at][2])), _depth(tree, int(tree[at][3])))
 
 
+def findings(text: Column, path: Column, forest: list[list[list[float]]]) -> Column:
+    """Array of (start, length, found, score) of all candidates in text order; null if there are none."""
+    return F.transform(candidates(text, path), lambda c: F.struct(
+        (c["before"] + c["earlier"]).alias("start"), F.length(c["found"]).alias("length"), c["found"].alias("found"), probability(c["x"], forest).alias("score")))
+
+
+def accepted(found: Column, threshold: float = 0.5) -> Column:
+    """The findings that the forest takes for secrets; an empty array if there are none."""
+    none = F.expr("cast(array() as array<struct<start:int,length:int,found:string,score:double>>)")
+    return F.coalesce(F.filter(found, lambda c: c["score"] >= threshold), none)
+
+
 def scan(
     docs: DataFrame, forest: list[list[list[float]]], text: str = "text", path: str | None = "source", threshold: float = 0.5,
 ) -> DataFrame:
     """Add ``n_candidates`` and ``secrets``: array of (start, length, found, score), in text order.
 
-    Starts and lengths count code points. Null and empty texts have none; each row is judged alone.
+    Starts and lengths count code points. Null and empty texts have none; each row is judged alone. Columns of
+    these names are replaced, all others stay.
     """
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
-    seen = docs.withColumn("_seen", candidates(F.col(text), where))
-    scored = F.transform("_seen", lambda c: F.struct(
-        (c["before"] + c["earlier"]).alias("start"), F.length(c["found"]).alias("length"), c["found"].alias("found"), probability(c["x"], forest).alias("score")))
-    kept = F.filter(scored, lambda c: c["score"] >= threshold)
-    return seen.select(
-        *docs.columns, F.greatest(F.size("_seen"), F.lit(0)).alias("n_candidates"),
-        F.coalesce(kept, F.expr("cast(array() as array<struct<start:int,length:int,found:string,score:double>>)")).alias("secrets"))
+    seen = docs.drop("n_candidates", "secrets").withColumn("_seen", findings(F.col(text), path_of(docs, path), forest))
+    return seen.withColumns({"n_candidates": F.greatest(F.size("_seen"), F.lit(0)), "secrets": accepted(F.col("_seen"), threshold)}).drop("_seen")
+
+
+def path_of(docs: DataFrame, path: str | None) -> Column:
+    return F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
 
 
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
