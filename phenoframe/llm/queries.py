@@ -12,6 +12,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op5_near_duplicates"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
+      THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+      WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT e.a, r.low FROM r JOIN e ON e.b = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id, d.doc_id = c.low AS kept
+FROM documents d JOIN (SELECT id, min(low) AS low FROM r GROUP BY id) c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+ORACLES["op7_tool_calls"] = """
+WITH u AS (SELECT * FROM conversations WHERE role = 'user'), a AS (SELECT * FROM conversations WHERE role = 'assistant')
+SELECT u.conv_id, u.conv_id || ':' || u.turn AS call_id, u.turn::INT AS level, u.turn,
+  CASE WHEN a.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status, length(u.text) > 0 AS valid,
+  (length(u.text) = 0)::INT AS n_errors,
+  '{"arguments":{"prompt":' || to_json(u.text) || ',"turn":' || u.turn || '},"id":"' || u.conv_id || ':' || u.turn
+  || '","name":"reply","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS json
+FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+UNION ALL
+SELECT a.conv_id, a.conv_id || ':' || (a.turn - 1), a.turn::INT, a.turn, 'orphan', true, 0,
+  '{"id":"' || a.conv_id || ':' || (a.turn - 1) || '","result":' || to_json(a.text) || '}'
+FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)"""
+
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op9_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {_BENCH_WORDS} AS ws FROM benchmark),
+t AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 12, 1) + 1), lambda k: ws[k:k + 12])) AS win FROM i WHERE len(ws) > 0),
+z AS (SELECT DISTINCT len(win) AS size FROM t),
+v AS (SELECT doc_id, size, ws, unnest(range(1, len(ws) - size + 2)) AS pos FROM d, z WHERE len(ws) >= size),
+h AS (SELECT v.doc_id, v.pos, v.size, t.item_id FROM v JOIN t ON v.ws[v.pos:v.pos + v.size - 1] = t.win),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
