@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, functions as F
 from phenoframe.operators.ordered import ordered_columns
 from phenoframe.runtime import cut
 
-MAX_DEPTH = 256
-
 
 def axis_paths(axes: DataFrame, doc: Sequence[str], index: str, parent: str) -> DataFrame:
     """(doc, index, path): axis indices from the top axis down to each axis.
 
-    Pointer doubling: each round joins the path of the current ancestor, so a document of the
-    allowed depth of 256 needs eight joins.
+    Pointer doubling: each round joins the path of the current ancestor, so a chain of n axes takes
+    about log2(n) joins. Parents that form a circle are refused.
     """
     rows = cut(axes.select(*doc, index, F.col(parent).alias("_up"), F.array(F.col(index)).alias("path")), "paths")
     reach = 1
-    while reach < MAX_DEPTH and not rows.where("_up is not null").isEmpty():
+    while not rows.where("_up is not null").isEmpty():
+        if reach > 256 and reach > 2 * rows.count():
+            raise ValueError("an axis is its own ancestor")
         above = rows.select(*doc, F.col(index).alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_head"))
         longer = rows.join(above, [*doc, "_up"], "left").select(
             *doc, index, F.col("_next").alias("_up"),

@@ -45,7 +45,7 @@ def coverage_vote(points: DataFrame, history: DataFrame, keys: Sequence[str], se
     )
 
 
-def gap_gate(candidates: DataFrame, labelled: DataFrame, keys: Sequence[str], extent: int) -> DataFrame:
+def gap_gate(candidates: DataFrame, labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates (keys, child_label, parent_label) whose gap is physically plausible.
 
     Elongated components may link anywhere; others only to their own component or across a gap
@@ -59,7 +59,7 @@ def gap_gate(candidates: DataFrame, labelled: DataFrame, keys: Sequence[str], ex
     side = [*keys, "child_label", "parent_label"]
     kids = tested.select(*side).join(labelled.withColumnRenamed("label", "child_label"), [*keys, "child_label"])
     olds = tested.select(*side).join(labelled.withColumnRenamed("label", "parent_label"), [*keys, "parent_label"])
-    gaps = minimum_gap(kids, olds, side, extent)
+    gaps = minimum_gap(kids, olds, side)
     near = tested.join(gaps, side).where("gap <= _extent").select(*side)
     return candidates.join(free.unionByName(near), side, "left_semi")
 

@@ -110,7 +110,7 @@ def link_rounds(
             comps.select(*keys, F.col("seg").alias("parent"), F.col("component").alias("parent_label")), [*keys, "parent"], "left"
         )
         rooted = named.where("parent_label is null or child_label is null")
-        judged = gap_gate(named.where("parent_label is not null and child_label is not null"), labelled, keys, extent)
+        judged = gap_gate(named.where("parent_label is not null and child_label is not null"), labelled, keys)
         pairs = cut(rooted.unionByName(judged).select(*keys, "child", "parent", "cost"), "gated")
     owned = cut(
         stems.select(*keys, (-1 - F.col("owner")).cast("long").alias("seg"), F.col("owner").cast("int").alias("owner"), F.lit(None).cast("long").alias("parent"))
@@ -251,7 +251,7 @@ def route(
         "todo",
     )
     lowers = segments.select(*keys, "seg", "lower_x", "lower_y", "lower_angle", "lower_junction")
-    release = None
+    release = tried = None
     while not todo.isEmpty():
         waiting = todo.select(*keys, "seg")
         arriving = lowers.where("lower_junction is not null").select(*keys, "seg", "lower_x", "lower_y", F.col("lower_junction").alias("junction"))
@@ -287,21 +287,29 @@ def route(
         ).select(*keys, "seg", "owner", F.col("base").alias("parent"), F.col("base_x").alias("parent_x"), F.col("base_y").alias("parent_y"), "angle")
         decided = cut(physical.select(*keys, "seg").unionByName(settled.select(*keys, "seg")).distinct(), "decided")
         if decided.isEmpty():
+            # What was released and decided nothing stays back until something else is decided.
             if release is not None:
-                break
-            first = todo.where("base is not null").groupBy(*keys).agg(F.min_by("upper_junction", F.struct("upper_y", "upper_x", "seg")).alias("_j"))
+                tried = release if tried is None else tried.unionByName(release)
+            first = todo.where("base is not null")
+            first = first if tried is None else first.join(tried, [*keys, "seg"], "left_anti")
+            first = first.groupBy(*keys).agg(F.min_by("upper_junction", F.struct("upper_y", "upper_x", "seg")).alias("_j"))
             release = cut(todo.join(first, keys).where("upper_junction <=> _j").select(*keys, "seg"), "release")
             if release.isEmpty():
                 break
             continue
         fresh = _publish(cut(routed.unionByName(inherited), "routes"), todo, flows, lowers, decided, keys)
         fresh = cut(fresh, "fresh")
-        release = None
+        release = tried = None
         flows = cut(flows.unionByName(fresh), "flows")
         todo = cut(todo.join(decided, [*keys, "seg"], "left_anti"), "todo")
     return flows.where("seg >= 0")
 
 
+def undecided(segments: DataFrame, routed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, seg) of segments that routing could not decide: no owner arrives and no base link helps."""
+    return segments.select(*keys, "seg").join(routed.select(*keys, "seg"), [*keys, "seg"], "left_anti")
+
+
 def _route_schema(segments, keys) -> str:
     kinds = dict(segments.dtypes)
     named = [f"`{k}` {kinds[k]}" for k in keys]

@@ -8,38 +8,39 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-COARSE = 1024
+CELLS = 1024
 
 
-def _factor(extent: int) -> int:
+def _factor(extent: int, cells: int) -> int:
     factor = 1
-    while extent / factor > COARSE:
+    while extent / factor > cells:
         factor *= 2
     return factor
 
 
 def pair_offsets(
-    edges: DataFrame, group: Sequence[str], frame: str, width: int, height: int, margin: float = 0.25
+    edges: DataFrame, group: Sequence[str], frame: str, width: int, height: int, margin: float = 0.25,
+    cells: int = CELLS,
 ) -> DataFrame:
     """(group, frame, dx, dy): shift that lays each frame's edges on the preceding frame's.
 
     The score of a shift is ``overlap - density * edges in the window``, and shifts up to
     ``margin`` of the image size are tried. The best shift is found on a reduced image of at most
-    1024 cells a side, one bounded grid per frame pair, and then refined by halving the cell size:
-    each step is an equi-join of cells on 25 shifted positions. Images up to 1024 pixels are
-    scored exactly at once.
+    ``cells`` cells a side, one bounded grid per frame pair, and then refined by halving the cell size:
+    each step is an equi-join of cells on 25 shifted positions. ``cells`` bounds a task's memory; images
+    no larger than it are scored exactly at once.
     """
-    factor = _factor(max(width, height))
+    factor = _factor(max(width, height), cells)
     keys = [*group, frame]
-    cells = _reduce(edges, keys, factor)
+    reduced = _reduce(edges, keys, factor)
     # Only frames with edges on both sides form a pair.
     both = (
-        cells.select(*keys).distinct()
-        .join(cells.select(*group, (F.col(frame) + 1).alias(frame)).distinct(), keys)
+        reduced.select(*keys).distinct()
+        .join(reduced.select(*group, (F.col(frame) + 1).alias(frame)).distinct(), keys)
     )
     sides = (
-        cells.withColumn("_side", F.lit(1))
-        .unionByName(cells.withColumn(frame, F.col(frame) + 1).withColumn("_side", F.lit(0)))
+        reduced.withColumn("_side", F.lit(1))
+        .unionByName(reduced.withColumn(frame, F.col(frame) + 1).withColumn("_side", F.lit(0)))
         .join(both, keys, "left_semi")
     )
     w, h = -(-width // factor), -(-height // factor)

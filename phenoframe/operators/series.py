@@ -115,13 +115,13 @@ def reusable(stored: DataFrame, images: DataFrame, group: str, date: str, path:
 
 
 def digest_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Content digest that does not depend on row order."""
+    """Content digest that does not depend on row order: all 256 bits of each row's hash, in eight words."""
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    half = F.conv(F.substring(row, 1, 12), 16, 10).cast("long")
+    words = [F.conv(F.substring(row, 8 * k + 1, 8), 16, 10).cast("long") for k in range(8)]
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.bit_xor(half).alias("digest_xor"),
-        F.sum(half).alias("digest_sum"),
+        *[F.bit_xor(w).alias(f"digest_xor_{k}") for k, w in enumerate(words)],
+        *[F.sum(w).alias(f"digest_sum_{k}") for k, w in enumerate(words)],
     )
 
 

@@ -56,5 +56,5 @@ def widths(points: DataFrame, foreground: DataFrame, keys: Sequence[str], width:
     """
     fg = foreground.select(*keys, "x", "y").distinct()
     border = dilate(fg, keys, 1, width, height).join(fg, [*keys, "x", "y"], "left_anti")
-    found = nearest(points, border, keys, max(width, height))
+    found = nearest(points, border, keys)
     return found.select(*keys, "x", "y", (2.0 * F.sqrt("d2")).alias("width"))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from phenoframe.runtime import cut
+
 CELL_BITS = 3
 
 
@@ -64,19 +66,25 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, keys: S
     return points.join(found, [*keys, "x", "y"], "left")
 
 
-def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], extent: int) -> DataFrame:
-    """Exact nearest target at any distance, for coordinates in [0, extent).
+def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact nearest target at any distance and for any coordinates.
 
-    Targets form a pyramid of occupied cells. Each position starts with the top cell and
+    Targets form a pyramid of occupied cells, as high as they are spread. Each position starts with the top cell and
     descends level by level, keeping only the cells that can still hold its nearest target: the
     smallest upper bound of a position discards every cell whose lower bound exceeds it. A few
     candidates per position survive each level, whatever the distance.
     Returns (keys, x, y, tx, ty, d2).
     """
-    levels = 0
-    while (1 << (CELL_BITS * levels)) < extent:
+    # The pyramid stands on the smallest target coordinates; points may lie anywhere.
+    base = cut(targets.select(*keys, "x", "y").distinct(), "targets")
+    x0, y0, x1, y1 = base.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    x0, y0, x1, y1 = (0, 0, 0, 0) if x0 is None else (x0, y0, x1, y1)
+    kinds = dict(base.dtypes)
+    base = base.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+    points = points.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+    levels = 1
+    while (1 << (CELL_BITS * levels)) <= max(x1 - x0, y1 - y0):
         levels += 1
-    base = targets.select(*keys, "x", "y").distinct()
 
     def corner(size: int) -> tuple[Column, Column]:
         return F.floor(F.col("x") / size) * size, F.floor(F.col("y") / size) * size
@@ -120,9 +128,10 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], extent:
         ).select(*keys, "x", "y", F.col("_k.cx").alias("_px"), F.col("_k.cy").alias("_py"))
     d2 = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
     best = found.groupBy(*keys, "x", "y").agg(F.min(F.struct(d2.alias("d2"), F.col("_py"), F.col("_px"))).alias("_b"))
-    return best.select(*keys, "x", "y", F.col("_b._px").alias("tx"), F.col("_b._py").alias("ty"), F.col("_b.d2").alias("d2"))
+    place = {"x": F.col("x") + x0, "y": F.col("y") + y0, "tx": F.col("_b._px") + x0, "ty": F.col("_b._py") + y0}
+    return best.select(*keys, *[v.cast(kinds[k[-1]]).alias(k) for k, v in place.items()], F.col("_b.d2").alias("d2"))
 
 
-def minimum_gap(first: DataFrame, second: DataFrame, keys: Sequence[str], extent: int) -> DataFrame:
+def minimum_gap(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest distance between two pixel sets per key."""
-    return nearest(first, second, keys, extent).groupBy(*keys).agg(F.sqrt(F.min("d2")).alias("gap"))
+    return nearest(first, second, keys).groupBy(*keys).agg(F.sqrt(F.min("d2")).alias("gap"))

@@ -82,12 +82,12 @@ def static_labels(
         here.where(F.col(frame) == F.col("_first")).select(*keys, (F.col("x") + pad).alias("x"), (F.col("y") + pad).alias("y")), "first"
     )
     border = dilate(first, keys, 1).join(first, [*keys, "x", "y"], "left_anti")
-    radius = nearest(first, border, keys, 3 * extent).groupBy(*keys).agg(F.max("d2").alias("_r2"))
+    radius = nearest(first, border, keys).groupBy(*keys).agg(F.max("d2").alias("_r2"))
     later = here.where(F.col(frame) > F.col("_first")).join(shifts, [*group, frame], "left").select(
         *keys, (F.col("x") - F.coalesce("_dx", F.lit(0)) + pad).alias("x"), (F.col("y") - F.coalesce("_dy", F.lit(0)) + pad).alias("y")
     ).distinct()
     outside = later.join(first, [*keys, "x", "y"], "left_anti")
-    grown = nearest(outside, first, keys, 3 * extent).join(radius, keys).where("d2 > _r2").select(*keys).distinct()
+    grown = nearest(outside, first, keys).join(radius, keys).where("d2 > _r2").select(*keys).distinct()
     return persistent.select(*keys).join(grown, keys, "left_anti"), labelled
 
 

@@ -38,6 +38,8 @@ def cluster_stems(regions: DataFrame, image: Sequence[str], count: int) -> DataF
     ``regions`` has min_x, max_x, min_y, max_y, area. Regions are counted per centre column
     first, so a task receives at most two rows per image column however many regions there are.
     Images with fewer regions than stems give no rows, as partial clusters would shift identities.
+    With enough regions but fewer columns than stems, columns stay apart and the fullest ones (the
+    left one on a tie) are split from top to bottom.
     """
     image = list(image)
     centred = regions.select(
@@ -47,13 +49,22 @@ def cluster_stems(regions: DataFrame, image: Sequence[str], count: int) -> DataF
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cx", kind="stable")
-        if len(pdf) < count:
-            return pdf.assign(cluster=0).iloc[:0]
-        return pdf.assign(cluster=_split_points(pdf["cx"].to_numpy(float), pdf["n"].to_numpy(float), count))
+        if pdf["n"].sum() < count:
+            return pdf.assign(cluster=0, parts=1).iloc[:0]
+        if len(pdf) >= count:
+            return pdf.assign(cluster=_split_points(pdf["cx"].to_numpy(float), pdf["n"].to_numpy(float), count), parts=1)
+        n, parts = pdf["n"].to_numpy(), np.ones(len(pdf), int)
+        for _ in range(count - len(pdf)):
+            parts[int(np.argmax(np.where(parts < n, n / parts, 0)))] += 1
+        return pdf.assign(cluster=np.cumsum(parts) - parts, parts=parts)
 
     kinds = dict(columns.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns.columns) + ", cluster int"
-    labelled = centred.join(columns.groupBy(*image).applyInPandas(cluster, schema).drop("n"), [*image, "cx"])
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns.columns) + ", cluster int, parts int"
+    found = centred.join(columns.groupBy(*image).applyInPandas(cluster, schema), [*image, "cx"])
+    # Columns in several parts exist only in images with fewer columns than stems.
+    down = Window.partitionBy(*image, "cx").orderBy("cy", "area")
+    split = found.where("parts > 1").withColumn("cluster", F.col("cluster") + F.floor((F.row_number().over(down) - 1) * F.col("parts") / F.col("n")).cast("int"))
+    labelled = found.where("parts = 1").unionByName(split).drop("n", "parts")
 
     def median(column):
         counts = labelled.groupBy(*image, "cluster", column).agg(F.count(F.lit(1)).alias("_n"))

@@ -21,11 +21,25 @@ _PIECE = "image_id string, ty int, tx int, py int, px int, h int, w int, channel
 
 
 def read_tiles(spark: SparkSession, path: str, size: int = SIZE) -> DataFrame:
-    """Tiles of all decodable images below ``path``; channels in blue, green, red order."""
+    """Tiles of all decodable images below ``path``; channels in blue, green, red order.
+
+    Files that do not decode have no tiles; ``undecodable`` lists them.
+    """
     images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     return cut_tiles(images.select(F.col("origin").alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data"), size)
 
 
+def undecodable(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, reason) of the files below ``path`` that cannot be read as images."""
+    images = spark.read.format("image").load(path).select("image.origin", "image.nChannels")
+    return images.where("nChannels < 0").select(F.col("origin").alias("image_id"), F.lit("not an image").alias("reason"))
+
+
+def outside(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixel rows that ``pixels_to_tiles`` cannot place."""
+    return px.where(~(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)))
+
+
 def cut_tiles(images: DataFrame, size: int = SIZE) -> DataFrame:
     """Split (image_id, width, height, channels, data) rows into tiles."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +57,10 @@ def cut_tiles(images: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def pixels_to_tiles(px: DataFrame, channels: Sequence[str], width: int, height: int, size: int = SIZE) -> DataFrame:
-    """Tiles from pixel rows (image_id, x, y, channel columns); unset pixels are zero."""
+    """Tiles from pixel rows (image_id, x, y, channel columns); unset pixels are zero.
+
+    Rows outside the image are not placed; ``outside`` lists them.
+    """
     names = list(channels)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -57,7 +74,7 @@ def pixels_to_tiles(px: DataFrame, channels: Sequence[str], width: int, height:
     placed = px.select(
         F.col("image_id").cast("string").alias("image_id"), "x", "y", *names,
         F.floor(F.col("y") / size).cast("int").alias("ty"), F.floor(F.col("x") / size).cast("int").alias("tx"),
-    ).where((F.col("x") < width) & (F.col("y") < height))
+    ).where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
     one = F.expr(f"inline(transform(sequence(0, {-(-height // size) - 1}), i -> struct(i as ty)))")
     grid = px.select(F.col("image_id").cast("string").alias("image_id")).distinct().select("image_id", one)
     grid = grid.select("image_id", "ty", F.explode(F.sequence(F.lit(0), F.lit(-(-width // size) - 1))).alias("tx"))

@@ -40,11 +40,11 @@ def polyline_length(spark, folder):
 
 
 @query("polyline_array_length", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings)
-SELECT vec_id, round(list_sum([sqrt((v[k + 3] - v[k]) ** 2 + (v[k + 4] - v[k + 1]) ** 2 + (v[k + 5] - v[k + 2]) ** 2) FOR k IN [1, 4, 7, 10]]), 6) AS length,
-  round(list_max([v[2], v[5], v[8], v[11], v[14]]) - list_min([v[2], v[5], v[8], v[11], v[14]]), 6) AS depth FROM e""")
+SELECT vec_id, round(list_sum([sqrt((v[k + 3] - v[k]) ** 2 + (v[k + 4] - v[k + 1]) ** 2 + (v[k + 5] - v[k + 2]) ** 2) FOR k IN range(1, len(v) // 3 * 3 - 2, 3)]), 6) AS length,
+  round(list_max([v[k] FOR k IN range(2, len(v) // 3 * 3 + 1, 3)]) - list_min([v[k] FOR k IN range(2, len(v) // 3 * 3 + 1, 3)]), 6) AS depth FROM e""")
 def polyline_array_length(spark, folder):
     line = F.transform(
-        F.sequence(F.lit(0), F.lit(4)),
+        F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1),
         lambda i: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.get("embedding", i * 3 + j).cast("double")),
     )
     rows = measure.axis_geometry(table(spark, folder, "embeddings").select("vec_id", line.alias("points")))
@@ -278,7 +278,7 @@ def mask_edit_log(spark, folder):
 
 
 @query("mask_strokes", """WITH s AS (SELECT event_id % 40 AS grp, event_id AS seq, CAST(event_id % 61 AS INTEGER) AS x0, CAST(event_id % 53 AS INTEGER) AS y0,
-    CAST((event_id * 7) % 64 AS INTEGER) AS x1, CAST((event_id * 3) % 64 AS INTEGER) AS y1, 1 + event_id % 4 AS size, event_type = 'error' AS erase FROM events WHERE user_id < 20),
+    CAST((event_id * 7) % 64 AS INTEGER) AS x1, CAST((event_id * 3) % 64 AS INTEGER) AS y1, 1 + event_id % 4 AS size, event_type = 'error' AS erase FROM events),
 c AS (SELECT s.*, x.x, y.y, CASE WHEN x0 = x1 AND y0 = y1 THEN 0.0 ELSE least(1.0, greatest(0.0, ((x.x - x0) * (x1 - x0) + (y.y - y0) * (y1 - y0)) / CAST((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS DOUBLE))) END AS t
   FROM s, range(0, 64) x(x), range(0, 64) y(y))
 SELECT grp, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM c
@@ -286,7 +286,7 @@ WHERE sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2) <= siz
 GROUP BY grp, x, y HAVING NOT arg_max(erase, seq)""")
 def mask_strokes(spark, folder):
     key = F.col("event_id")
-    strokes = table(spark, folder, "events").where("user_id < 20").select(
+    strokes = table(spark, folder, "events").select(
         (key % 40).alias("grp"), key.alias("seq"), F.lit("stroke").alias("shape"),
         (key % 61).cast("int").alias("x0"), (key % 53).cast("int").alias("y0"),
         ((key * 7) % 64).cast("int").alias("x1"), ((key * 3) % 64).cast("int").alias("y1"),
@@ -302,12 +302,12 @@ def pending_mask_changes(spark, folder):
     return edits.pending_groups(mask, mask.where("grp % 2 = 0 or x % 16 <> 3"), ["grp"])
 
 
-@query("edit_owned_pixels", """WITH o AS (SELECT l_linenumber AS image, CAST(l_partkey % 64 AS INTEGER) AS x, CAST(l_orderkey % 64 AS INTEGER) AS y, l_suppkey % 3 AS owner, l_suppkey % 7 AS axis, l_quantity AS q FROM lineitem WHERE l_quantity > 40),
+@query("edit_owned_pixels", """WITH o AS (SELECT l_linenumber AS image, CAST(l_partkey % 64 AS INTEGER) AS x, CAST(l_orderkey % 64 AS INTEGER) AS y, l_suppkey % 3 AS owner, l_suppkey % 7 AS axis, l_quantity AS q FROM lineitem),
 owned AS (SELECT DISTINCT image, x, y, owner FROM o), visible AS (SELECT DISTINCT image, x, y, owner, axis FROM o WHERE q > 45)
 SELECT DISTINCT * FROM (SELECT image, x, y, owner FROM owned WHERE (image, x, y) NOT IN (SELECT (image, x, y) FROM visible)
 UNION ALL SELECT image, x, y, CASE WHEN axis = 2 THEN 0 ELSE owner END FROM visible WHERE axis <> 5)""")
 def edit_owned_pixels(spark, folder):
-    rows = table(spark, folder, "lineitem").where("l_quantity > 40").select(
+    rows = table(spark, folder, "lineitem").select(
         F.col("l_linenumber").alias("image"), (F.col("l_partkey") % 64).cast("int").alias("x"),
         (F.col("l_orderkey") % 64).cast("int").alias("y"), (F.col("l_suppkey") % 3).alias("owner"),
         (F.col("l_suppkey") % 7).alias("axis"), "l_quantity",
@@ -320,11 +320,11 @@ def edit_owned_pixels(spark, folder):
     return edits.edit_owned_pixels(owned, visible, ["image"], "owner", "axis", changes)
 
 
-@query("plant_origins", """WITH s AS (SELECT l_suppkey % 20 AS grp, l_linenumber AS slot, l_partkey % 500 AS x, l_orderkey % 300 AS y FROM lineitem WHERE l_linenumber <> 3 AND l_quantity <= 30),
+@query("plant_origins", """WITH s AS (SELECT l_suppkey % 20 AS grp, l_linenumber AS slot, l_partkey % 500 AS x, l_orderkey % 300 AS y FROM lineitem WHERE l_quantity <= 30),
 m AS (SELECT grp, slot, CAST(round_even(quantile_cont(x, 0.5), 0) AS INTEGER) AS x, CAST(round_even(quantile_cont(y, 0.5), 0) AS INTEGER) AS y FROM s GROUP BY 1, 2)
 SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY slot) - 1 AS INTEGER) AS slot, x, y FROM m""")
 def plant_origins(spark, folder):
-    stems = table(spark, folder, "lineitem").where("l_linenumber <> 3").select(
+    stems = table(spark, folder, "lineitem").select(
         (F.col("l_suppkey") % 20).alias("grp"), F.col("l_linenumber").alias("slot"), (F.col("l_partkey") % 500).alias("x"),
         (F.col("l_orderkey") % 300).alias("y"), (F.col("l_quantity") > 30).alias("overridden"),
     )
@@ -344,11 +344,11 @@ def move_origin(spark, folder):
 
 
 BOXES = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 10 AS cx, l_tax * 12.5 AS cy, l_quantity / 61.0 AS w, l_quantity / 91.0 AS h, (l_partkey % 360) * 1.0 AS deg,
-  CAST(600 + l_partkey % 50 AS DOUBLE) AS iw, CAST(400 + l_suppkey % 30 AS DOUBLE) AS ih FROM lineitem WHERE l_discount * 10 <= 1)"""
+  CAST(600 + l_partkey % 50 AS DOUBLE) AS iw, CAST(400 + l_suppkey % 30 AS DOUBLE) AS ih FROM lineitem)"""
 
 
 def boxes(spark, folder):
-    rows = table(spark, folder, "lineitem").where("l_discount * 10 <= 1")
+    rows = table(spark, folder, "lineitem")
     box = fg.box(
         F.col("l_discount") * 10, F.col("l_tax") * 12.5, F.col("l_quantity") / 61.0, F.col("l_quantity") / 91.0,
         (F.col("l_partkey") % 360) * 1.0,

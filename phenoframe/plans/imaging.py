@@ -204,10 +204,10 @@ def mask_union(spark, folder):
     return quantity_pixels(spark, folder, 45).select("x", "y").distinct()
 
 
-@query("shared_history", f"WITH {PIX} SELECT x, y FROM px WHERE image = 1 INTERSECT SELECT x, y FROM px WHERE image = 2")
+@query("shared_history", f"WITH {PIX} SELECT image, x, y FROM px INTERSECT SELECT image + 1, x, y FROM px")
 def shared_history(spark, folder):
     px = quantity_pixels(spark, folder, 45)
-    return px.where("image = 1").select("x", "y").intersect(px.where("image = 2").select("x", "y"))
+    return px.select("image", "x", "y").intersect(px.select((F.col("image") + 1).alias("image"), "x", "y"))
 
 
 @query("lateral_pixels", f"WITH {PIX} SELECT image, x, y FROM q WHERE v > 30 EXCEPT SELECT image, x, y FROM px")

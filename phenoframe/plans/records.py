@@ -146,12 +146,12 @@ def dependency_levels(spark, folder):
     return order.dependency_levels(links, [], "child", "parent")
 
 
-@query("junction_clusters", """WITH RECURSIVE b AS (SELECT p_partkey AS seg, p_partkey % 97 AS a, p_partkey * 5 % 89 AS c FROM part WHERE p_size > 45 AND p_partkey % 97 <> p_partkey * 5 % 89),
+@query("junction_clusters", """WITH RECURSIVE b AS (SELECT p_partkey AS seg, p_partkey % 97 AS a, p_partkey * 5 % 89 AS c FROM part WHERE p_partkey % 97 <> p_partkey * 5 % 89),
 e AS (SELECT a, c FROM b UNION SELECT c, a FROM b), r AS (SELECT a AS j, a AS cur FROM e UNION SELECT r.j, e.c FROM r JOIN e ON r.cur = e.a)
 SELECT j AS junction, min(cur) AS cluster FROM r GROUP BY 1""")
 def junction_clusters(spark, folder):
     key = F.col("p_partkey")
-    bridges = table(spark, folder, "part").where("p_size > 45").select(
+    bridges = table(spark, folder, "part").select(
         key.alias("seg"), (key % 97).alias("upper_junction"), (key * 5 % 89).alias("lower_junction")
     )
     return order.merge_junctions(bridges, [])

@@ -10,13 +10,20 @@ from phenoframe.plans.imaging import LABELS, PIX, quantity_pixels
 from phenoframe.plans.registry import query, table
 from phenoframe.runtime import cut
 
-CLOUD = """c AS (SELECT vec_id, vec_id % 2 AS frame, label, CAST(round(100 * embedding[1], 0) AS INTEGER) + 64 AS x, CAST(round(100 * embedding[2], 0) AS INTEGER) + 64 AS y FROM embeddings),
+CLOUD = """e AS (SELECT vec_id, label, embedding, unnest(range(len(embedding) // 2)) AS j FROM embeddings),
+c AS (SELECT vec_id * 100 + j AS vec_id, vec_id % 2 AS frame, label, CAST(round(200 * embedding[2 * j + 1], 0) AS INTEGER) + 64 AS x, CAST(round(200 * embedding[2 * j + 2], 0) AS INTEGER) + 64 AS y FROM e),
 a AS (SELECT vec_id, x, y FROM c WHERE frame = 0), b AS (SELECT DISTINCT x, y, label FROM c WHERE frame = 1)"""
 
 
 def cloud(spark, folder):
-    place = [(F.round(F.col("embedding")[i] * 100) + 64).cast("int").alias(n) for i, n in ((0, "x"), (1, "y"))]
-    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % 2).alias("frame"), "label", *place, F.lit(1).alias("k"))
+    """Every two neighbouring values of a vector as a point."""
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1),
+        lambda j: F.struct(j.alias("j"), F.get("embedding", j * 2).alias("a"), F.get("embedding", j * 2 + 1).alias("b")),
+    )
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.explode(pairs).alias("p"))
+    place = [(F.round(F.col(f"p.{c}") * 200) + 64).cast("int").alias(n) for c, n in (("a", "x"), ("b", "y"))]
+    rows = rows.select((F.col("vec_id") * 100 + F.col("p.j")).alias("vec_id"), (F.col("vec_id") % 2).alias("frame"), "label", *place, F.lit(1).alias("k"))
     return rows.where("frame = 0"), rows.where("frame = 1")
 
 
@@ -29,37 +36,37 @@ def nearest_within(spark, folder):
     return out.select("vec_id", "x", "y", "tx", "ty", "d2", "label")
 
 
-@query("nearest_any", f"""WITH {CLOUD}, d AS (SELECT DISTINCT a.x, a.y, b.x AS tx, b.y AS ty, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM a, b WHERE b.x > 70),
+@query("nearest_any", f"""WITH {CLOUD}, d AS (SELECT DISTINCT a.x, a.y, b.x AS tx, b.y AS ty, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM a, b),
 r AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY d2, ty, tx) AS rn FROM d) SELECT x, y, tx, ty, CAST(d2 AS BIGINT) AS d2 FROM r WHERE rn = 1""")
 def nearest_any(spark, folder):
     points, targets = cloud(spark, folder)
-    out = spatial.nearest(points, targets.where("x > 70"), ["k"], 128)
+    out = spatial.nearest(points, targets, ["k"])
     return out.select("x", "y", F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), F.col("d2").cast("long").alias("d2"))
 
 
 @query("minimum_gap", f"""WITH {CLOUD} SELECT p.label, round(min(sqrt((p.x - b.x) ** 2 + (p.y - b.y) ** 2)), 6) AS gap FROM (SELECT * FROM c WHERE frame = 0) p JOIN b ON p.label = b.label GROUP BY 1""")
 def minimum_gap(spark, folder):
     points, targets = cloud(spark, folder)
-    return spatial.minimum_gap(points, targets, ["label"], 128).withColumn("gap", F.round("gap", 6))
+    return spatial.minimum_gap(points, targets, ["label"]).withColumn("gap", F.round("gap", 6))
 
 
-VOTE = """seg AS (SELECT y // 8 * 8 + x // 8 AS segment, x, y FROM px WHERE image = 1), hist AS (SELECT x, y, x // 16 % 3 AS owner FROM px WHERE image = 2),
-near AS (SELECT s.segment, s.x, s.y, h.owner, min((s.x - h.x) ** 2 + (s.y - h.y) ** 2) AS d2, any_value(s.n) AS n FROM (SELECT segment, x, y, count(*) AS n FROM seg GROUP BY 1, 2, 3) s JOIN hist h ON (s.x - h.x) ** 2 + (s.y - h.y) ** 2 <= 64 GROUP BY 1, 2, 3, 4),
-ex AS (SELECT *, count(*) FILTER (d2 <= 4) OVER w AS n2, count(*) FILTER (d2 <= 16) OVER w AS n4, count(*) OVER w AS n8 FROM near WINDOW w AS (PARTITION BY segment, x, y)),
-v AS (SELECT segment, owner, coalesce(sum(n) FILTER (d2 <= 4 AND n2 = 1), 0) AS v2, coalesce(sum(n) FILTER (d2 <= 16 AND n4 = 1), 0) AS v4, coalesce(sum(n) FILTER (n8 = 1), 0) AS v8 FROM ex GROUP BY 1, 2),
-sz AS (SELECT segment, count(*) AS size FROM seg GROUP BY 1),
-bb AS (SELECT v.segment, any_value(size) AS size, max(v2) AS m2, arg_max(owner, v2 * 10 - owner) AS o2, sum(v2) AS t2, max(v4) AS m4, arg_max(owner, v4 * 10 - owner) AS o4, sum(v4) AS t4, max(v8) AS m8, arg_max(owner, v8 * 10 - owner) AS o8, sum(v8) AS t8 FROM v JOIN sz USING (segment) GROUP BY 1)
-SELECT CAST(segment AS BIGINT) AS segment, CAST(CASE WHEN m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2 THEN o2 WHEN m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4 THEN o4 ELSE o8 END AS BIGINT) AS owner,
+VOTE = """seg AS (SELECT image, y // 8 * 8 + x // 8 AS segment, x, y FROM px), hist AS (SELECT image - 1 AS image, x, y, x // 16 % 3 AS owner FROM px),
+near AS (SELECT s.image, s.segment, s.x, s.y, h.owner, min((s.x - h.x) ** 2 + (s.y - h.y) ** 2) AS d2, any_value(s.n) AS n FROM (SELECT image, segment, x, y, count(*) AS n FROM seg GROUP BY 1, 2, 3, 4) s JOIN hist h ON s.image = h.image AND (s.x - h.x) ** 2 + (s.y - h.y) ** 2 <= 64 GROUP BY 1, 2, 3, 4, 5),
+ex AS (SELECT *, count(*) FILTER (d2 <= 4) OVER w AS n2, count(*) FILTER (d2 <= 16) OVER w AS n4, count(*) OVER w AS n8 FROM near WINDOW w AS (PARTITION BY image, segment, x, y)),
+v AS (SELECT image, segment, owner, coalesce(sum(n) FILTER (d2 <= 4 AND n2 = 1), 0) AS v2, coalesce(sum(n) FILTER (d2 <= 16 AND n4 = 1), 0) AS v4, coalesce(sum(n) FILTER (n8 = 1), 0) AS v8 FROM ex GROUP BY 1, 2, 3),
+sz AS (SELECT image, segment, count(*) AS size FROM seg GROUP BY 1, 2),
+bb AS (SELECT v.image, v.segment, any_value(size) AS size, max(v2) AS m2, arg_max(owner, v2 * 10 - owner) AS o2, sum(v2) AS t2, max(v4) AS m4, arg_max(owner, v4 * 10 - owner) AS o4, sum(v4) AS t4, max(v8) AS m8, arg_max(owner, v8 * 10 - owner) AS o8, sum(v8) AS t8 FROM v JOIN sz USING (image, segment) GROUP BY 1, 2)
+SELECT image, CAST(segment AS BIGINT) AS segment, CAST(CASE WHEN m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2 THEN o2 WHEN m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4 THEN o4 ELSE o8 END AS BIGINT) AS owner,
   round(CASE WHEN m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2 THEN m2 WHEN m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4 THEN m4 ELSE m8 END / CAST(size AS DOUBLE), 6) AS share
 FROM bb WHERE (m2 >= greatest(5, 0.2 * size) AND m2 >= 0.8 * t2) OR (m4 >= greatest(10, 0.5 * size) AND m4 >= 0.8 * t4) OR (m8 >= greatest(10, 0.5 * size) AND m8 >= 0.8 * t8)"""
 
 
 @query("coverage_vote", f"WITH {PIX}, {VOTE}")
 def coverage_vote(spark, folder):
-    px = quantity_pixels(spark, folder, 45).withColumn("k", F.lit(1))
-    segs = px.where("image = 1").withColumn("segment", F.floor(F.col("y") / 8) * 8 + F.floor(F.col("x") / 8))
-    history = px.where("image = 2").withColumn("owner", F.floor(F.col("x") / 16) % 3)
-    return evidence.coverage_vote(segs, history, ["k"], "segment", "owner").select("segment", "owner", F.round("share", 6).alias("share"))
+    px = quantity_pixels(spark, folder, 45)
+    segs = px.withColumn("segment", F.floor(F.col("y") / 8) * 8 + F.floor(F.col("x") / 8))
+    history = px.withColumn("image", F.col("image") - 1).withColumn("owner", F.floor(F.col("x") / 16) % 3)
+    return evidence.coverage_vote(segs, history, ["image"], "segment", "owner").select("image", "segment", "owner", F.round("share", 6).alias("share"))
 
 
 SERIES = "ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, value FROM events)"
@@ -268,4 +275,4 @@ def gap_gate(spark, folder):
     labelled = cut(px, "labels")
     below = labelled.select("image", "x", (F.col("y") + 3).alias("y"), F.col("label").alias("parent_label"))
     pairs = labelled.join(below, ["image", "x", "y"]).select("image", F.col("label").alias("child_label"), "parent_label").distinct()
-    return evidence.gap_gate(pairs, labelled, ["image"], 64)
+    return evidence.gap_gate(pairs, labelled, ["image"])

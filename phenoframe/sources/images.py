@@ -14,7 +14,7 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """
     base = folder.rstrip("/")
     return (
-        spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true")
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .load(base)
         .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
         .where(

@@ -56,11 +56,13 @@ def write_documents(documents: DataFrame, folder: str) -> None:
     """Byte-exact copies of (file_name, source) on a file system all executors share.
 
     A file is written under a task-specific name and then renamed, so a retried task leaves no
-    half-written copy.
+    half-written copy. A name that holds a separator or is a relative step is refused.
     """
     def copy(rows):
         os.makedirs(folder, exist_ok=True)
         for row in rows:
+            if not row.file_name or os.path.basename(row.file_name) != row.file_name or row.file_name in (".", "..") or "\\" in row.file_name:
+                raise ValueError(f"not a plain file name: {row.file_name!r}")
             temporary = os.path.join(folder, f".{row.file_name}.{os.getpid()}")
             with open(temporary, "wb") as stream:
                 stream.write(bytes(row.source))

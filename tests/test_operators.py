@@ -103,7 +103,7 @@ def test_nearest_is_exact(spark):
     rng = random.Random(5)
     a = {(rng.randint(0, 199), rng.randint(0, 199)) for _ in range(80)}
     b = {(rng.randint(0, 40), rng.randint(0, 199)) for _ in range(60)}
-    got = {(r.x, r.y): r.d2 for r in spatial.nearest(px(spark, a), px(spark, b), ["image"], 200).collect()}
+    got = {(r.x, r.y): r.d2 for r in spatial.nearest(px(spark, a), px(spark, b), ["image"]).collect()}
     assert got == {p: min((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 for q in b) for p in a}
 
 
@@ -317,3 +317,59 @@ def test_plans_stay_on_the_jvm_without_cartesian_products(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
         assert "Python" not in plan and "Pandas" not in plan, name
+
+
+def test_axis_paths_have_no_depth_limit(spark):
+    from phenoframe.operators import edits
+
+    axes = spark.range(600).select(F.lit(1).alias("doc"), F.col("id").cast("int").alias("i"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("int")).alias("up"))
+    paths = {r.i: len(r.path) for r in edits.axis_paths(axes, ["doc"], "i", "up").collect()}
+    assert paths == {i: i + 1 for i in range(600)}
+    circle = spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "doc int, i int, up int")
+    with pytest.raises(ValueError):
+        edits.axis_paths(circle, ["doc"], "i", "up")
+
+
+def test_nearest_has_no_extent(spark):
+    from phenoframe.operators import spatial
+
+    points = spark.createDataFrame([(1, 0, 0), (1, -500, 90), (1, 4000, 7)], "image int, x int, y int")
+    targets = spark.createDataFrame([(1, 100, 3), (1, -40, -1000), (1, 3000, 3000)], "image int, x int, y int")
+    got = {(r.x, r.y): (r.tx, r.ty, r.d2) for r in spatial.nearest(points, targets, ["image"]).collect()}
+    want = {}
+    for p in points.collect():
+        d2, ty, tx = min(((p.x - t.x) ** 2 + (p.y - t.y) ** 2, t.y, t.x) for t in targets.collect())
+        want[p.x, p.y] = (tx, ty, d2)
+    assert got == want
+    assert spatial.nearest(points, targets.limit(0), ["image"]).count() == 0
+
+
+def test_stems_that_share_a_column_stay(spark):
+    from phenoframe.operators import stems
+
+    rows = [(1, 10, 12, 0, 4, 5), (1, 10, 12, 50, 54, 6), (1, 40, 42, 0, 4, 7), (1, 80, 82, 0, 4, 8), (2, 1, 3, 0, 2, 9)]
+    regions = spark.createDataFrame(rows, "image int, min_x int, max_x int, min_y int, max_y int, area int")
+    got = stems.cluster_stems(regions, ["image"], 4).orderBy("slot").collect()
+    assert [(r.image, r.slot, r.area) for r in got] == [(1, 0, 5), (1, 1, 6), (1, 2, 7), (1, 3, 8)]
+
+
+def test_offsets_above_the_cell_limit(spark):
+    import random
+
+    from phenoframe.operators import registration
+
+    draw = random.Random(3)
+    marks = {(draw.randrange(20, 380), draw.randrange(20, 380)) for _ in range(400)}
+    rows = [(0, x, y) for x, y in marks] + [(1, x + 13, y - 9) for x, y in marks]
+    edges = spark.createDataFrame(rows, "frame int, x int, y int")
+    exact = registration.pair_offsets(edges, [], "frame", 400, 400).collect()
+    coarse = registration.pair_offsets(edges, [], "frame", 400, 400, cells=128).collect()
+    assert exact == coarse == [exact[0]] and (exact[0].dx, exact[0].dy) == (-13, 9)
+
+
+def test_documents_keep_inside_their_folder(spark, tmp_path):
+    from phenoframe.sources import sinks
+
+    bad = spark.createDataFrame([("../escape.xml", bytearray(b"x"))], "file_name string, source binary")
+    with pytest.raises(Exception, match="plain file name"):
+        sinks.write_documents(bad, str(tmp_path / "out"))
