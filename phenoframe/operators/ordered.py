@@ -1,10 +1,9 @@
 """Previous-row, previous-known, running-sum and row-number columns per group.
 
 One group may hold a large share of all rows, and a plain window would sort that group in a
-single task. ``ordered_columns`` therefore measures the largest group first. Groups of
-ordinary size use a plain window. Otherwise the rows are range-partitioned by (group, order),
-every partition works on its own stretch, and a per-stretch summary (at most one row per
-partition boundary) carries values across the seams.
+single task. Rows are therefore range-partitioned by (group, order), every partition works on
+its own stretch, and a per-stretch summary (at most one row per partition boundary) carries
+values across the seams. Callers whose key bounds a group say so and get a plain window.
 """
 
 from __future__ import annotations
@@ -15,14 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.runtime import cut
 
-HOT_ROWS = 5_000_000
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    row = df.groupBy(*group).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
 def ordered_columns(
     df: DataFrame,
     group: Sequence[str],
@@ -33,7 +24,6 @@ def ordered_columns(
     sums: Mapping[str, Column] | None = None,
     number: str | None = None,
     bounded: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ordered columns; ``order`` must be total inside a group.
 
@@ -41,14 +31,14 @@ def ordered_columns(
     known   last non-null value before this row
     sums    running sum up to and including this row
     number  name of a 1-based row number
-    bounded the caller's key bounds a group's rows (one row per day, frame or slot), so the
-            size check is skipped
+    bounded the caller's key bounds a group's rows (one row per day, frame or slot): a plain
+            window
     """
     lags, known, sums = dict(lags or {}), dict(known or {}), dict(sums or {})
     group, order = list(group), list(order)
-    if bounded or largest_group(df, group) <= hot_rows:
+    if bounded:
         return _plain(df, Window.partitionBy(*group).orderBy(*order), lags, known, sums, number)
-    return _stretched(df, group, order, lags, known, sums, number, hot_rows)
+    return _stretched(df, group, order, lags, known, sums, number)
 
 
 def _plain(df, window, lags, known, sums, number):
@@ -62,9 +52,8 @@ def _plain(df, window, lags, known, sums, number):
     return df.select("*", *[value.alias(name) for name, value in added.items()])
 
 
-def _stretched(df, group, order, lags, known, sums, number, hot_rows):
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * 4 // hot_rows))
+def _stretched(df, group, order, lags, known, sums, number):
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inputs = {f"_l{i}": v for i, v in enumerate(lags.values())}
     inputs |= {f"_k{i}": v for i, v in enumerate(known.values())}
     inputs |= {f"_s{i}": v for i, v in enumerate(sums.values())}
@@ -118,14 +107,14 @@ def _stretched(df, group, order, lags, known, sums, number, hot_rows):
     return rows.select(*df.columns, *[value.alias(name) for name, value in added.items()])
 
 
-def runs(df, group, order, flag: Column, *, bounded=False, hot_rows=HOT_ROWS, into="run"):
+def runs(df, group, order, flag: Column, *, bounded=False, into="run"):
     """Number the stretches of equal ``flag`` inside each group, starting at 1."""
     marked = df.withColumn("_flag", flag)
     lagged = ordered_columns(
-        marked, group, order, lags={"_prev": F.struct("_flag")}, bounded=bounded, hot_rows=hot_rows
+        marked, group, order, lags={"_prev": F.struct("_flag")}, bounded=bounded
     )
     change = F.when(F.col("_prev").isNull() | ~F.col("_prev._flag").eqNullSafe(F.col("_flag")), 1).otherwise(0)
     lagged = lagged.withColumn("_change", change)
     return ordered_columns(
-        lagged, group, order, sums={into: F.col("_change")}, bounded=bounded, hot_rows=hot_rows
+        lagged, group, order, sums={into: F.col("_change")}, bounded=bounded
     ).drop("_flag", "_prev", "_change")

@@ -85,7 +85,7 @@ def number_frames_hot_group(spark, folder):
     out = ordered.ordered_columns(
         rows, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], number="frame_no",
         lags={"previous_price": F.col("o_totalprice")},
-        sums={"running_price": F.col("o_totalprice").cast("decimal(18,2)")}, hot_rows=1000,
+        sums={"running_price": F.col("o_totalprice").cast("decimal(18,2)")},
     )
     return out.select(
         "o_orderstatus", "o_orderkey", "frame_no", F.round("previous_price", 2).alias("previous_price"),
