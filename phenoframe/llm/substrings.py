@@ -18,6 +18,7 @@ All windows of ``length`` bytes that share content must meet, without moving eve
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from phenoframe.llm.session import arrow_batches
 
 ANCHOR = 16
 SHALLOW = 2  # characters of eight bytes that the quicksort looks at
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 _WORD = np.uint64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # stands for a null id, before all others
 
@@ -38,7 +39,8 @@ NO_ID = -(1 << 63)  # stands for a null id, before all others
 def _load8(raw: np.ndarray, big: bool = False) -> np.ndarray:
     """The eight bytes from every position as one number."""
     view = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (raw.strides[0],) * 2)
-    return np.ascontiguousarray(view).view(">u8" if big else "<u8").ravel().astype(np.uint64)
+    whole = np.ascontiguousarray(view).view(np.uint64).ravel()
+    return whole.byteswap(inplace=True) if big == (sys.byteorder == "little") else whole
 
 
 def stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -48,7 +50,9 @@ def stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
         return none, none, none, np.zeros(0, np.uint64)
     eight = _load8(raw)
     strings = len(raw) - ANCHOR + 1
-    value = spans.mix(spans.mix(eight[:strings]) + eight[8: 8 + strings] * np.uint64(0xC2B2AE3D27D4EB4F))
+    value = eight[:strings] * np.uint64(0x9E3779B97F4A7C15)
+    value += eight[8: 8 + strings] * np.uint64(0xC2B2AE3D27D4EB4F)
+    value = spans.mix(value)
     least = (value & ~_WORD) | np.arange(strings, dtype=np.uint64)
     reach, span = length - ANCHOR + 1, 1
     while 2 * span <= reach:
@@ -87,16 +91,38 @@ def _split(order_key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(fence[:-1].tolist(), fence[1:].tolist())) if len(order_key) else []
 
 
-def _per_doc(docs: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(docs, kind="stable")
+def _blobs(values: np.ndarray, fence: np.ndarray) -> pa.Array:
+    """A binary column of the consecutive stretches of ``values`` between the places of ``fence``."""
+    wide = values.dtype.itemsize * int(np.prod(values.shape[1:]))
+    data = pa.py_buffer(np.ascontiguousarray(values).tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(fence) - 1, [None, pa.py_buffer((fence * wide).astype(np.int64).tobytes()), data]).cast(pa.binary())
+
+
+def _fence(sorted_key: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal values starts, and the end."""
+    return np.r_[0, np.flatnonzero(sorted_key[1:] != sorted_key[:-1]) + 1, len(sorted_key)] if len(sorted_key) else np.zeros(1, np.int64)
+
+
+def _per_doc(docs: np.ndarray, keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Distinct keys of each document as one blob."""
+    order = np.lexsort((keys, docs))
     docs, keys = docs[order], keys[order]
-    for i, j in _split(docs):
-        yield int(docs[i]), np.unique(keys[i:j]).tobytes()
+    new = np.r_[True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])][: len(docs)]
+    docs, keys = docs[new], keys[new]
+    fence = _fence(docs)
+    return pa.array(docs[fence[:-1]]), _blobs(keys, fence)
 
 
 REPORT = pa.schema([("bucket", pa.int64()), ("heads", pa.binary()), ("docs", pa.binary()), ("many", pa.binary()), ("doc", pa.int64()), ("keys", pa.binary())])
 
 
+def _passing(schema: pa.Schema, docs: pa.Array, values: pa.Array, buckets: int) -> pa.RecordBatch:
+    """Finished (doc, value) rows in the shape of rows that are still worked on."""
+    bucket = pa.array(docs.to_numpy() % buckets)
+    between = [pa.nulls(len(docs), t) for t in schema.types[1:-2]]
+    return pa.RecordBatch.from_arrays([bucket, *between, docs, values], schema=schema)
+
+
 def _report(length: int, buckets: int):
     """Anchors of each block by bucket, and those that two of its documents have, by document."""
 
@@ -122,8 +148,8 @@ def _report(length: int, buckets: int):
                     for a, b in _split(bucket[by])
                 ]
                 shared = np.repeat(many, np.diff(np.r_[at, len(keys)]))
-                rows += [(d % buckets, None, None, None, d, k) for d, k in _per_doc(docs[shared], keys[shared])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), REPORT.types)], schema=REPORT)
+                yield _passing(REPORT, *_per_doc(docs[shared], keys[shared]), buckets)
 
     return run
 
@@ -134,16 +160,15 @@ def _parts(part):
     return part.filter(pc.invert(done)), part.filter(done)
 
 
-def _pairs(rows: list[tuple[int, bytes]], name: str, passed: pa.Table) -> pa.Table:
-    new = pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), name: pa.array([v for _, v in rows], pa.binary())})
-    return pa.concat_tables([new, pa.table([passed.column("doc"), passed.column(name)], names=["doc", name])])
+def _pairs(docs: pa.Array, values: pa.Array, name: str, passed: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.table([docs, values], names=["doc", name]), pa.table([passed.column("doc"), passed.column(name)], names=["doc", name])])
 
 
 def _shared(key, part):
     """Documents of a bucket's anchors that occur in other blocks as well."""
     part, passed = _parts(part)
     if not part.num_rows:
-        return _pairs([], "keys", passed)
+        return _pairs(pa.nulls(0, pa.int64()), pa.nulls(0, pa.binary()), "keys", passed)
     heads = np.concatenate([np.frombuffer(x, "<u4") for x in part.column("heads").to_pylist()])
     docs = np.concatenate([_numbers(x) for x in part.column("docs").to_pylist()])
     many = np.concatenate([
@@ -155,7 +180,7 @@ def _shared(key, part):
     size = np.diff(np.r_[at, len(heads)])
     tell = np.repeat(size > 1, size) & ~many  # documents of a block with two of them know already
     keys = (heads.astype(np.uint64) << np.uint64(32)) | np.uint64(key[0].as_py())
-    return _pairs(list(_per_doc(docs[tell], keys[tell])), "keys", passed)
+    return _pairs(*_per_doc(docs[tell], keys[tell]), "keys", passed)
 
 
 SENT = pa.schema([
@@ -176,12 +201,11 @@ def _send(length: int, buckets: int):
                 if not len(row):
                     continue
                 keys = _keys(hashes, buckets)
-                use = np.zeros(len(row), bool)
-                fence = np.searchsorted(row, np.arange(j - i + 1))
-                for r in range(j - i):
-                    a, b = fence[r], fence[r + 1]
-                    if told[i + r] and b > a:
-                        use[a:b] = np.isin(keys[a:b], np.concatenate([np.frombuffer(x, np.uint64) for x in told[i + r]]))
+                # Keys and rows are compared together; a chance match only sends a stretch in vain.
+                place = np.uint64(0x9E3779B97F4A7C15)
+                mine = np.arange(j - i, dtype=np.uint64) * place
+                known = [np.frombuffer(b"".join(told[i + r] or ()), np.uint64) + mine[r: r + 1] for r in range(j - i)]
+                use = np.isin(keys + row.astype(np.uint64) * place, np.concatenate(known))
                 row, start, windows, keys = row[use], start[use], windows[use], keys[use]
                 if not len(row):
                     continue
@@ -197,27 +221,36 @@ def _send(length: int, buckets: int):
                 for k in np.flatnonzero(same):
                     if not np.array_equal(part[start[k]: start[k] + size[k]], part[start[head[k]]: start[head[k]] + size[k]]):
                         same[k] = False
-                rows = [(x[0] % buckets, None, None, None, None, *x) for x in _spans_of(docs[same], at[same], at[same] + size[same])]
+                yield _passing(SENT, *_spans_of(docs[same], at[same], at[same] + size[same]), buckets)
                 keep = np.flatnonzero(~same)
                 bucket = (keys[keep] & _WORD).astype(np.int64)
                 by = keep[np.argsort(bucket, kind="stable")]
                 bucket = np.sort(bucket)
+                stop = np.cumsum(size[by])
+                body = part[np.repeat(start[by] - (stop - size[by]), size[by]) + np.arange(stop[-1])]
+                rows = []
                 for a, b in _split(bucket):
                     k = by[a:b]
                     rows.append((
-                        int(bucket[a]), pa.compress(b"".join(bytes(part[s: s + z]) for s, z in zip(start[k], size[k])), "zstd", asbytes=True),
+                        int(bucket[a]), pa.compress(body[stop[a] - size[by[a]]: stop[b - 1]].tobytes(), "zstd", asbytes=True),
                         size[k].astype("<u4").tobytes(), _planes(docs[k]), at[k].astype("<u8").tobytes(), None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SENT.types)], schema=SENT)
 
     return run
 
 
-def _spans_of(docs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Merged spans of each document, as pairs of numbers."""
+def _spans_of(docs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Merged spans of each document, as one blob of pairs of numbers."""
+    if not len(docs):
+        return pa.nulls(0, pa.int64()), pa.nulls(0, pa.binary())
     order = np.lexsort((start, docs))
     docs, start, stop = docs[order], start[order], stop[order]
-    for i, j in _split(docs):
-        yield int(docs[i]), merge(np.stack([start[i:j], stop[i:j]], axis=1)).astype("<i8").tobytes()
+    # Documents lie one behind the other, with a gap between, so all are merged at once.
+    number = np.cumsum(np.r_[False, docs[1:] != docs[:-1]]) * (int(stop.max()) + 1)
+    pairs = merge(np.stack([start + number, stop + number], axis=1))
+    first = np.searchsorted(start + number, pairs[:, 0])
+    fence = _fence(docs[first])
+    return pa.array(docs[first][fence[:-1]]), _blobs((pairs - number[first][:, None]).astype("<i8"), fence)
 
 
 def merge(pairs: np.ndarray) -> np.ndarray:
@@ -228,84 +261,106 @@ def merge(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[first, 0], reach[np.r_[first[1:] - 1, len(pairs) - 1]]], axis=1)
 
 
+def _tied(group: np.ndarray) -> np.ndarray:
+    same = np.r_[False, group[1:] == group[:-1]]
+    return same | np.r_[same[1:], False]
+
+
+def _groups(marks: np.ndarray) -> np.ndarray:
+    return np.cumsum(marks) - marks[0] if len(marks) else np.zeros(0, np.int64)
+
+
 def quicksort_shallow(characters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order of strings by their first characters and a group number for each place, ties undecided.
 
-    Each pass partitions only the strings that are still tied, by their next character.
+    Each pass partitions only the groups whose members still differ, by their next character.
     """
-    n = len(characters[0])
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for character in characters:
+    order = np.argsort(characters[0])
+    now = characters[0][order]
+    mark = np.r_[False, now[1:] != now[:-1]]
+    for character in characters[1:]:
+        group = _groups(mark)
         tied = np.flatnonzero(_tied(group))
         if not len(tied):
             break
-        own = order[tied]
-        inner = np.lexsort((character[own], group[tied]))
-        own = own[inner]
-        order[tied] = own
-        now = character[own]
-        step = np.r_[False, (now[1:] != now[:-1]) | (group[tied][1:] != group[tied][:-1])]
-        mark = np.zeros(n, bool)
-        mark[tied] = step
-        mark[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(mark)
-    return order, group
-
-
-def _tied(group: np.ndarray) -> np.ndarray:
-    same = np.r_[False, group[1:] == group[:-1]]
-    return same | np.r_[same[1:], False]
-
-
-def blind_tries(rest: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, node = character[order[tied]], group[tied]
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        count = np.diff(np.r_[first, len(node)])
+        differs = np.repeat(np.logical_or.reduceat(value != np.repeat(value[first], count), first), count)
+        places, value, node = tied[differs], value[differs], node[differs]
+        inner = np.lexsort((value, node))
+        order[places] = order[places][inner]
+        value = value[inner]
+        mark[places[1:]] |= (value[1:] != value[:-1]) & (node[1:] == node[:-1])
+    return order, _groups(mark)
+
+
+def _leading_zero_bytes(x: np.ndarray) -> np.ndarray:
+    """Equal bytes at the front of two strings whose difference (not zero) is ``x``."""
+    count = np.zeros(len(x), np.int64)
+    for shift in (32, 16, 8):
+        low = x >> np.uint64(64 - shift) == 0
+        count += low * (shift // 8)
+        x = np.where(low, x << np.uint64(shift), x)
+    return count
+
+
+def blind_tries(rest: list[np.ndarray], at: list[int], width: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of tied strings, and groups of equal ones.
 
-    ``rest`` has a row of remaining bytes for each string, ``group`` is ascending. A group is a trie node: its
-    branch depth is the shortest prefix that members share with its first, and only the byte there
-    is looked at. Nodes whose members share everything are leaves.
+    ``rest`` holds, for the byte offsets ``at``, the eight bytes of every string there as a number; together they
+    cover ``width`` bytes. ``group`` is ascending. A group is a trie node: its branch depth is the shortest prefix
+    that members share with its first, and only the byte there is looked at. Nodes whose members share
+    everything are leaves.
     """
-    n, width = rest.shape
-    order, group = np.arange(n), np.unique(group, return_inverse=True)[1]
-    final = np.zeros(n, bool)
-    while True:
-        open_ = np.flatnonzero(_tied(group) & ~final)
-        if not len(open_):
-            return order, group
-        own, node = order[open_], group[open_]
+    n = len(group)
+    order, mark = np.arange(n), np.r_[False, group[1:] != group[:-1]]
+    open_ = np.flatnonzero(_tied(group))
+    while len(open_):
+        own, node = order[open_], _groups(mark)[open_]
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         count = np.diff(np.r_[first, len(node)])
-        unlike = rest[own] != np.repeat(rest[own[first]], count, axis=0)
-        common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
+        head = np.repeat(own[first], count)
+        common, undecided = np.full(len(own), width, np.int64), np.arange(len(own))
+        for word, offset in zip(rest, at):
+            unlike = word[own[undecided]] ^ word[head[undecided]]
+            found = unlike != 0
+            common[undecided[found]] = offset + _leading_zero_bytes(unlike[found])
+            undecided = undecided[~found]
         branch = np.minimum.reduceat(common, first)
-        leaf = np.repeat(branch == width, count)
-        final[open_[leaf]] = True
-        grow, depth = np.flatnonzero(~leaf), np.repeat(branch, count)
-        if not len(grow):
-            return order, group
-        byte = rest[own[grow], depth[grow]]
-        inner = np.lexsort((byte, node[grow]))
-        places = open_[grow]
-        order[places] = own[grow][inner]
-        byte, at = byte[inner], node[grow]
-        mark = np.r_[False, group[1:] != group[:-1]]
-        mark[places] |= np.r_[False, (byte[1:] != byte[:-1]) & (at[1:] == at[:-1])]
-        group = np.cumsum(mark)
+        grow = np.repeat(branch < width, count)
+        if not grow.any():
+            break
+        depth = np.repeat(branch, count)[grow]
+        places, own, node = open_[grow], own[grow], node[grow]
+        slot = np.searchsorted(at, depth, side="right") - 1
+        byte = np.zeros(len(own), np.uint8)
+        for k, offset in enumerate(at):
+            here = np.flatnonzero(slot == k)
+            byte[here] = rest[k][own[here]] >> (np.uint64(56) - (8 * (depth[here] - offset)).astype(np.uint64)) & np.uint64(255)
+        inner = np.lexsort((byte, node))
+        order[places] = own[inner]
+        byte = byte[inner]
+        mark[places[1:]] |= (byte[1:] != byte[:-1]) & (node[1:] == node[:-1])
+        group = _groups(mark)
+        open_ = places[_tied(group[places])]
+    return order, _groups(mark)
 
 
 def repeated_windows(raw: np.ndarray, start: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """Which windows also start in a smaller document; ``start`` are positions in ``raw``."""
     depth = 8 * min(SHALLOW, length // 8)
     eight = _load8(raw, big=True)
-    order, group = quicksort_shallow([eight[start + k] for k in range(0, depth, 8)] or [np.zeros(len(start), np.uint64)])
+    order, group = quicksort_shallow([eight[start + k] for k in range(0, depth, 8)])
     tied = np.flatnonzero(_tied(group))
     if len(tied) and depth < length:
         own = order[tied]
-        rest = raw[(start[own] + depth)[:, None] + np.arange(length - depth)]
-        inner, fine = blind_tries(rest, group[tied])
+        at = [*range(depth, length - 8, 8), length - 8]
+        inner, fine = blind_tries([eight[start[own] + k] for k in at], [k - depth for k in at], length - depth, group[tied])
         order[tied] = own[inner]
         mark = np.r_[False, group[1:] != group[:-1]]
         mark[tied] |= np.r_[False, fine[1:] != fine[:-1]]
-        group = np.cumsum(mark)
+        group = _groups(mark)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     least = np.repeat(np.minimum.reduceat(docs[order], first), np.diff(np.r_[first, len(group)]))
     repeated = np.zeros(len(start), bool)
@@ -317,7 +372,7 @@ def _sort_bucket(length: int):
     def run(key, part):
         part, passed = _parts(part)
         if not part.num_rows:
-            return _pairs([], "spans", passed)
+            return _pairs(pa.nulls(0, pa.int64()), pa.nulls(0, pa.binary()), "spans", passed)
         join = lambda name, how: np.concatenate([how(x) for x in part.column(name).to_pylist()])
         sizes = [np.frombuffer(x, "<u4") for x in part.column("sizes").to_pylist()]
         size = np.concatenate(sizes).astype(np.int64)
@@ -329,7 +384,7 @@ def _sort_bucket(length: int):
         inner = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
         repeated = np.flatnonzero(repeated_windows(raw, base[which] + inner, docs[which], length))
         which, begin = which[repeated], (at[which] + inner)[repeated]
-        return _pairs(list(_spans_of(docs[which], begin, begin + length)), "spans", passed)
+        return _pairs(*_spans_of(docs[which], begin, begin + length), "spans", passed)
 
     return run
 
@@ -358,7 +413,8 @@ def _cut(batch: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
         removed.append(len(body) - len(rest))
         runs.append([{"start": int(a), "stop": int(b)} for a, b in pairs])
         digest.append(hashlib.sha256(rest).hexdigest())
-        kept.append(rest)
+        if with_bytes:
+            kept.append(rest)
     columns = [
         batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()),
         pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(digest, pa.string())]
