@@ -46,7 +46,8 @@ _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _HIDDEN = re.compile(r"\shidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 PRIOR_WEIGHT = 50.0  # words' worth of prior in each place
-TAG = -1.0  # prior score of a tag
+TAG = -0.5  # prior score of a tag
+SIDE_WORDS = 1  # words of one piece of side matter that count: an advert must not split a long article
 
 
 def side_kind(name: str, attributes: str) -> str | None:
@@ -166,7 +167,7 @@ def prior(place: str) -> float:
         return 0.02
     if place.startswith("link:"):
         return 0.2
-    return {"p": 0.9, "pre": 0.9, "blockquote": 0.9, "article": 0.9, "main": 0.9}.get(place, 0.9 if re.fullmatch("h[1-6]", place) else 0.65)
+    return 0.9 if re.fullmatch("p|pre|blockquote|article|main|h[1-6]", place) else 0.8
 
 
 class Weights:
@@ -199,7 +200,7 @@ def best_region(parts: list[Piece], weights: Weights) -> tuple[int, int]:
         total += p.tags * weights.tag
         if total <= 0:
             total, start = 0.0, i
-        total += p.words * weights[p.place]
+        total += (min(p.words, SIDE_WORDS) if p.side else p.words) * weights[p.place]
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
