@@ -139,7 +139,7 @@ def find_windows(
     spark = docs.sparkSession
     arrow_batches(spark)
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"))
-    seen = items.select("text").mapInArrow(_benchmark_slots(size), "width int, least int, slots array<int>")
+    seen = items.select("text").mapInArrow(spans.tidy(_benchmark_slots(size)), "width int, least int, slots array<int>")
     seen = seen.select("width", "least", F.explode("slots").alias("slot"))
     seen = cut(seen.groupBy("width", "slot").agg(F.min("least").alias("least")), "slots")
     filters: dict[int, np.ndarray] = {}
@@ -159,7 +159,7 @@ def find_windows(
             yield from _stretches(bitmaps, least, id_type)(iter([batch]))
 
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(
-        stretches, f"doc {kind.simpleString()}, n_words long, pieces array<struct<start:int,stretch:string>>")
+        spans.tidy(stretches), f"doc {kind.simpleString()}, n_words long, pieces array<struct<start:int,stretch:string>>")
     base = cut(base.withColumn("_row", F.monotonically_increasing_id()), "stretches")
     distinct = cut(
         base.select(F.explode("pieces.stretch").alias("stretch")).groupBy("stretch").agg(F.count("*").alias("n"))

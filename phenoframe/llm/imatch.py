@@ -87,8 +87,8 @@ def fit_lexicon(docs: DataFrame, text: str = "text", low: float = 3.9, high: flo
     The default leaves out what stands in more than one document of fifty.
     """
     arrow_batches(docs.sparkSession)
-    part = docs.select(text).mapInArrow(_count, "chunk int, counts binary")
-    whole = part.repartition(partitions(docs.sparkSession), "chunk").mapInArrow(_add, "chunk int, counts binary")
+    part = docs.select(text).mapInArrow(spans.tidy(_count), "chunk int, counts binary")
+    whole = part.repartition(partitions(docs.sparkSession), "chunk").mapInArrow(spans.tidy(_add), "chunk int, counts binary")
     counts, documents = np.zeros(SLOTS, np.int64), 0
     for chunk, values in whole.collect():  # SLOTS numbers, whatever the corpus
         values = np.frombuffer(values, "<i8")
@@ -162,7 +162,7 @@ def fingerprint(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text:
             kinds, codes = fingerprints(batch.column(1), band)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_print(k, c) for k, c in zip(kinds, codes)], pa.string())], ["doc", "fingerprint"])
 
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, fingerprint string")
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(spans.tidy(run), f"doc {kind}, fingerprint string")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,4 +231,4 @@ def edited_fingerprints(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id
                 ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return ordered.mapInArrow(
-        run, "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        spans.tidy(run), "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

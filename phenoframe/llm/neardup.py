@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, percent: int, size: int =
                 ["doc", "n_shingles", "digest", "labels", "low"])
 
     return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc {kind}, n_shingles long, digest binary, labels binary, low binary")
+        spans.tidy(run), f"doc {kind}, n_shingles long, digest binary, labels binary, low binary")
 
 
 def _neighbours(agree: float):
@@ -176,10 +176,10 @@ def forest_edges(classes: DataFrame, percent: int) -> DataFrame:
     order = ["tree", "label", "doc"]
     ordered = rows.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
     agree = percent / 100 - SLACK
-    found = cut(ordered.mapInArrow(_neighbours(agree), schema), "forest")
+    found = cut(ordered.mapInArrow(spans.tidy(_neighbours(agree)), schema), "forest")
     # A handful of rows for each partition.
     seams = found.where("doc is not null").select("tree", "label", "doc", "low").coalesce(1).sortWithinPartitions(*order)
-    across = seams.mapInArrow(_neighbours(agree), schema)
+    across = seams.mapInArrow(spans.tidy(_neighbours(agree)), schema)
     return found.select("a", "b").unionByName(across.select("a", "b")).where("a <> b").distinct()
 
 
@@ -246,6 +246,8 @@ def _verify(percent: int, size: int):
         first = doc.take(pa.array(label))
         centre = part.column("cluster").combine_chunks()
         settled = pa.array(np.array(first.to_pylist(), object) == np.array(centre.to_pylist(), object))
+        del sets
+        spans.release()
         return pa.table({"doc": doc, "label": first, "cluster": centre, "block": part.column("block"), "blocks": part.column("blocks"), "settled": settled})
 
     return run

@@ -180,7 +180,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(cut_texts, schema)
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(spans.tidy(cut_texts), schema)
 
 
 class CapacityTree:

@@ -32,7 +32,7 @@ class Fit:
     of a longer one the first, last and evenly spaced passages up to ``passages``."""
 
     documents: int = 6000
-    passages: int = 48
+    passages: int = 32
     hidden: int = 24
     attention: int = 12
     rounds: int = 160
@@ -128,9 +128,10 @@ class AttentionModel:
             "U": normal(fit.hidden, fit.attention), "w": normal(fit.attention), "c": normal(fit.hidden), "d": np.zeros(1, np.float32),
         }
 
-    def forward(self, x: np.ndarray, bags: np.ndarray):
+    def forward(self, x: np.ndarray, bags: np.ndarray, scaled: bool = False):
         p = self.weights
-        x = (x - self.mean) * self.scale
+        if not scaled:
+            x = (x - self.mean) * self.scale
         h = np.tanh(x @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         energy = (t * s) @ p["w"]
@@ -144,8 +145,9 @@ class AttentionModel:
         return self.forward(x, bags)[0]
 
     def gradients(self, y: np.ndarray, importance: np.ndarray, bags: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Slopes of the loss; ``x`` is standardised already."""
         p = self.weights
-        score, (x, h, t, s, weight, bag, first) = self.forward(x, bags)
+        score, (x, h, t, s, weight, bag, first) = self.forward(x, bags, True)
         slope = ((score - y) * importance).astype(np.float32)
         d_bag = slope[:, None] * p["c"]
         spread = np.repeat(d_bag, bags, axis=0)
@@ -162,6 +164,7 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, importance: np.ndarray
     deviation = x.std(axis=0)
     model = AttentionModel(fit, x.mean(axis=0), (1 / np.maximum(deviation, 1e-3)).astype(np.float32))
     importance = importance / importance.sum()
+    x = ((x - model.mean) * model.scale).astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
     for step in range(1, fit.rounds + 1):
@@ -210,7 +213,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     kind = docs.schema[doc_id].dataType.simpleString()
     chosen = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(some), "doc")
     described = chosen.select("doc", "text", "label").mapInArrow(
-        _describe(fit.passages), f"doc {kind}, passages int, features binary, label int")
+        spans.tidy(_describe(fit.passages)), f"doc {kind}, passages int, features binary, label int")
 
     def learn(part):
         part = part.combine_chunks().sort_by([("doc", "ascending"), ("features", "ascending")])
@@ -218,7 +221,10 @@ def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
         bags, y = part.column("passages").to_numpy().astype(np.int64), part.column("label").to_numpy().astype(np.float32)
         taken = {v: max(1, int((y == v).sum())) for v in counts}
         importance = np.array([counts[int(v)] / taken[int(v)] for v in y], np.float32)
-        return pa.table({"model": pa.array([pickle.dumps(train(x, bags, y, importance, fit))], pa.binary())})
+        model = pickle.dumps(train(x, bags, y, importance, fit))
+        del x, part
+        spans.release()
+        return pa.table({"model": pa.array([model], pa.binary())})
 
     found = described.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(learn, "model binary").collect()
     return pickle.loads(bytes(found[0][0])) if found else 0.5
@@ -239,7 +245,7 @@ def score(docs: DataFrame, model: AttentionModel | float, doc_id: str = "doc_id"
                     value[i: i + len(bags)] = model.score(x, bags)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64())], ["doc", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, score double")
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(spans.tidy(run), f"doc {kind}, score double")
 
 
 def accept(docs: DataFrame, model: AttentionModel | float, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -255,7 +261,7 @@ def accept(docs: DataFrame, model: AttentionModel | float, text: str = "text", t
                     value[i: i + len(bags)] = model.score(x, bags)
             yield batch.filter(pa.array(value >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(spans.tidy(run), docs.schema)
 
 
 def held_out(doc_id: str):

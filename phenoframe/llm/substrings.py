@@ -32,6 +32,7 @@ from phenoframe.llm.session import arrow_batches
 ANCHOR = 16
 SHALLOW = 2  # characters of eight bytes that the quicksort looks at
 BUCKET_BYTES = 2 << 20
+REPORT_BYTES = 2 << 20  # texts that are reported and settled together
 _WORD = np.uint64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # stands for a null id, before all others
 
@@ -130,7 +131,7 @@ def _report(length: int, buckets: int):
         for batch in batches:
             raw, off = spans.text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for i, j in spans.blocks(off):
+            for i, j in spans.blocks(off, REPORT_BYTES):
                 row, _, _, hashes = stretches(raw[off[i]: off[j]], off[i: j + 1] - off[i], length)
                 if not len(row):
                     continue
@@ -195,7 +196,7 @@ def _send(length: int, buckets: int):
         for batch in batches:
             raw, off = spans.text_bytes(batch.column(1))
             ids, told = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for i, j in spans.blocks(off):
+            for i, j in spans.blocks(off, REPORT_BYTES):
                 part, local = raw[off[i]: off[j]], off[i: j + 1] - off[i]
                 row, start, windows, hashes = stretches(part, local, length)
                 if not len(row):
@@ -442,14 +443,14 @@ def remove_repeats(
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, (total // BUCKET_BYTES).bit_length())
     report = plain.mapInArrow(
-        _report(length, buckets), "bucket long, heads binary, docs binary, many binary, doc long, keys binary")
+        spans.tidy(_report(length, buckets)), "bucket long, heads binary, docs binary, many binary, doc long, keys binary")
     told = report.groupBy("bucket").applyInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys"))
     sent = plain.join(told, "doc", "left").where(F.size("keys") > 0).select("doc", "text", "keys").mapInArrow(
-        _send(length, buckets),
+        spans.tidy(_send(length, buckets)),
         "bucket long, bytes binary, sizes binary, docs binary, starts binary, doc long, spans binary")
     found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "doc long, spans binary")
     found = found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
     out = plain.join(found, "doc", "left").select("doc", "text", "spans").mapInArrow(
-        _finish(with_bytes),
+        spans.tidy(_finish(with_bytes)),
         "doc long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string" + ", kept binary" * with_bytes)
     return out.withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
