@@ -35,6 +35,9 @@ MISS = 1e-5
 CROWD = 16  # rows of a region above which it is also read one level deeper
 SLACK = 0.2  # estimates this far below the threshold are still followed
 BLOCK_SHINGLES = 1_000_000
+SLOTS = 1 << 20  # shingle counts that order the shingles of wide clusters
+SALTS = 64  # places in which a text is compared that many pairs ask for
+CHUNK = 1000  # members of a shingle's group that one row is compared with in one place
 
 
 def tree_count(percent: int) -> int:
@@ -253,31 +256,133 @@ def _verify(percent: int, size: int):
     return run
 
 
-def _across(percent: int, size: int):
-    """Links of foreign queries with the members of a block, as (query, label of the member)."""
+def _slots(size: int):
+    """How often each slot of the shingle table is hit, by batch."""
 
-    def run(part):
-        part = part.combine_chunks()
-        sets = list(shingle_sets(part.column("text"), size))
-        key = np.stack([part.column("cluster_no").to_numpy(), part.column("block").to_numpy()])
-        query = part.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.lexsort(key)
-        a, b = [], []
-        for rows in np.split(order, np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1):
-            own, asked = rows[~query[rows]], rows[query[rows]]
-            if len(own) and len(asked):
-                index = _SetIndex([sets[i] for i in own])
-                for q in asked:
-                    for i in own[_linked(index.shared(sets[q]), len(sets[q]), index.sizes, percent)]:
-                        a.append(q)
-                        b.append(i)
-        return pa.table({
-            "a": part.column("doc").combine_chunks().take(pa.array(a, pa.int64())),
-            "b": part.column("label").combine_chunks().take(pa.array(b, pa.int64()))}).group_by(["a", "b"]).aggregate([])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for members in shingle_sets(batch.column(0), size):
+                np.add.at(total, (members & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
 
     return run
 
 
+def prefix_of(members: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Places of a set's first shingles in the order of (rank, hash), and how many of them are index places.
+
+    Two linked sets share one of the larger one's first shingles among the smaller one's index places.
+    """
+    n = len(members)
+    order = np.lexsort((members, rank[(members & np.uint64(SLOTS - 1)).astype(np.int64)]))
+    probe = n - -(-percent * n // 100) + 1
+    return order[:probe], n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _prefixes(percent: int, size: int, rank: np.ndarray):
+    """Rows (token, n, place, indexed) of every text's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, token, n, place, indexed = [], [], [], [], []
+            for i, members in enumerate(shingle_sets(batch.column(batch.num_columns - 1), size)):
+                first, many = prefix_of(members, rank, percent) if len(members) else (np.zeros(0, np.int64), 0)
+                row.append(np.full(len(first), i))
+                token.append(members[first].view(np.int64))
+                n.append(np.full(len(first), len(members)))
+                place.append(np.arange(len(first)))
+                indexed.append(np.arange(len(first)) < many)
+            if not row:
+                continue
+            at = pa.array(np.concatenate(row), pa.int64())
+            own = [c.take(at) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [*own, *(pa.array(np.concatenate(x), t) for x, t in ((token, pa.int64()), (n, pa.int64()), (place, pa.int64()), (indexed, pa.bool_())))],
+                [*batch.schema.names[:-1], "token", "n", "place", "indexed"])
+
+    return run
+
+
+def _linked_pairs(percent: int, size: int):
+    """The pairs (a, b) of rows (a, b, text_a, text_b) that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [
+                bool(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+                for x, y in zip(shingle_sets(batch.column(2), size), shingle_sets(batch.column(3), size))]
+            keep = pa.array(np.flatnonzero(hit), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+    return run
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Candidate pairs (a, b) that are linked. A text that many pairs ask for is read in up to SALTS places."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    rows = cut(pairs.where("a <> b").distinct(), "pairs").withColumns({"salt_a": salt("b"), "salt_b": salt("a")})
+    for side in ("a", "b"):
+        asked = rows.select(side, f"salt_{side}").distinct()
+        texts = docs.select(F.col("doc").alias(side), F.col("text").alias(f"text_{side}"))
+        rows = rows.join(asked.join(texts, side), [side, f"salt_{side}"])
+    linked = rows.select("a", "b", "text_a", "text_b").mapInArrow(spans.tidy(_linked_pairs(percent, size)), f"a {kind}, b {kind}")
+    return cut(linked.distinct(), "links")
+
+
+def wide_links(docs: DataFrame, wide: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between members of a cluster that stand in different blocks and are not both settled.
+
+    ``docs``: doc, text; ``wide``: doc, label (inside the block), cluster, settled. Members meet by the rarest
+    shingles of their sets; the order of shingles is by counts in a table of slots, and any order is exact. In a
+    group with one shingle all unsettled members are compared with its first ones; only what is then still in
+    different components is compared by pairs, in chunks.
+    """
+    texts = docs.select("doc", "text").join(wide.select("doc").distinct(), "doc")
+    counted = texts.select("text").mapInArrow(spans.tidy(_slots(size)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    # Counts in steps of an eighth of a power of two, one byte a slot.
+    rank = np.zeros(SLOTS, np.uint8)
+    for r in counted.select("slot", F.least(F.floor(8 * F.log2("n")), F.lit(255)).cast("int").alias("step")).toLocalIterator():
+        rank[r.slot] = r.step
+    kind = wide.schema["doc"].dataType.simpleString()
+    entry = docs.select("doc", "text").join(wide.select("doc", "label", "cluster", "settled").distinct(), "doc").select(
+        "doc", "label", "cluster", "settled", F.xxhash64("cluster").alias("cluster_no"), "text").mapInArrow(
+        spans.tidy(_prefixes(percent, size, rank)),
+        f"doc {kind}, label {kind}, cluster {kind}, settled boolean, cluster_no long, token long, n long, place long, indexed boolean")
+    entry = cut(entry, "prefixes")
+    key = ["cluster_no", "token"]
+    groups = cut(entry.groupBy(*key).agg(
+        F.count("*").alias("many"), F.min(F.when(F.col("settled"), F.col("doc"))).alias("near"),
+        F.min(F.when(~F.col("settled"), F.col("doc"))).alias("far")).where("many > 1 and far is not null"), "groups")
+    met = cut(entry.join(groups, key), "met")
+    star = met.where(f"many > {CROWD} and not settled").select(F.col("doc").alias("a"), F.explode(F.array("near", "far")).alias("b")).where("b is not null")
+    stars = _checked(docs, star, percent, size)
+    inside = wide.select(F.col("doc").alias("a"), F.col("label").alias("b"))
+    joined = connect(inside.unionByName(stars), []).select(F.col("id").alias("doc"), F.col("label").alias("component"))
+    centre = joined.select(F.col("doc").alias("cluster"), F.col("component").alias("home"))
+    left = met.join(joined, "doc", "left").join(centre, "cluster", "left").select(
+        *key, "doc", "n", "place", "indexed", "many", F.coalesce("component", "doc").alias("component"),
+        F.coalesce("home", "cluster").alias("home")).withColumn("at_home", F.col("component") == F.col("home"))
+    # Of a group whose members are in one component nothing is left to compare.
+    mixed = left.groupBy(*key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*key)
+    left = cut(left.join(mixed, key), "left")
+    chunks = F.ceil(F.col("many") / CHUNK).cast("int")
+    own = left.where("indexed").select(
+        *key, F.pmod(F.xxhash64("doc"), chunks).cast("int").alias("chunk"), F.col("doc").alias("b"), F.col("n").alias("n_b"),
+        F.col("place").alias("place_b"), F.col("component").alias("to"), F.col("at_home").alias("home_b"))
+    asking = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
+        *key, "chunk", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "component", "at_home")
+    # What the two sets can still share after this place has to reach what a link needs.
+    bound = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    pairs = asking.join(own, [*key, "chunk"]).where(
+        (F.col("n_b") <= F.col("n_a")) & (F.col("component") != F.col("to")) & ~(F.col("at_home") & F.col("home_b"))
+        & (100 * F.col("n_b") >= percent * F.col("n_a"))
+        & ((100 + percent) * bound >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+    return stars.unionByName(_checked(docs, pairs, percent, size))
+
+
 def verified_labels(
     docs: DataFrame, members: DataFrame, percent: int, size: int = SHINGLE, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
@@ -299,15 +404,11 @@ def verified_labels(
     wide = local.where("blocks > 1")
     if wide.isEmpty():
         return whole
+    edges = wide.select(F.col("doc").alias("a"), F.col("label").alias("b"))
     # The block that owns a centre is the one it hashes to; elsewhere it is only a reference.
     owned = wide.where((F.col("doc") != F.col("cluster")) | (F.col("block") == F.pmod(F.xxhash64("doc"), F.col("blocks"))))
-    rows = owned.join(docs.select("doc", "text"), "doc").select("*", F.xxhash64("cluster").alias("cluster_no"))
-    own = rows.withColumn("query", F.lit(False))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
-    foreign = rows.where("not settled").withColumn("block", F.explode(others)).withColumn("query", F.lit(True))
-    met = own.unionByName(foreign).select("doc", "label", "cluster_no", "text", "query", "block", bucket)
-    links = met.groupBy("bucket").applyInArrow(_across(percent, size), f"a {kind}, b {kind}")
-    edges = wide.select(F.col("doc").alias("a"), F.col("label").alias("b")).unionByName(links)
+    if not owned.where("not settled").isEmpty():
+        edges = edges.unionByName(wide_links(docs, owned, percent, size))
     joined = connect(edges, []).select(F.col("id").alias("doc"), "label")
     alone = wide.select("doc").distinct().join(joined, "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
     return whole.unionByName(alone)

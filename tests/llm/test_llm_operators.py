@@ -297,6 +297,62 @@ def test_links_across_blocks(spark):
     assert {r.doc: r.component_id for r in got} == {i: e[1] for i, e in expected.items()}
 
 
+def template_group(n=60):
+    """Documents of one template that miss the centre, and small groups of linked ones among them."""
+    draw = random.Random(21)
+    shared = [f"t{k}" for k in range(160)]
+    texts = []
+    for k in range(n):
+        own = [f"o{k // 3}x{j}" if k % 6 < 3 else f"p{k}x{j}" for j in range(30)]
+        last = [f"z{draw.randrange(10**6)}" for _ in range(2)]
+        texts.append(" ".join(shared + own + last))
+    return [row(500 + k, t) for k, t in enumerate(texts)]
+
+
+def test_template_without_links_to_the_centre(spark):
+    rows = template_group()
+    expected = components([x[:2] for x in rows], 85)
+    got = neardup.near_duplicates(frame(spark, rows), percent=85, block_shingles=800).collect()
+    assert {r.doc: r.component_id for r in got} == {i: e[1] for i, e in expected.items()}
+    assert len({r.component_id for r in got}) == 40
+
+
+def test_wide_clusters_do_not_send_texts_to_all_blocks(spark):
+    """The candidate pairs of a template's documents stay with the linked ones, however many blocks there are."""
+    rows = template_group()
+    docs = frame(spark, rows).select(F.col("doc_id").alias("doc"), "text")
+    seen = []
+    check = neardup._checked
+
+    def counted(docs, pairs, percent, size):
+        seen.append(pairs.where("a <> b").distinct().count())
+        return check(docs, pairs, percent, size)
+
+    neardup._checked = counted
+    try:
+        wide = docs.select("doc", F.col("doc").alias("label"), F.lit(500).cast("long").alias("cluster"), (F.col("doc") == 500).alias("settled"))
+        links = {tuple(sorted(r)) for r in neardup.wide_links(docs, wide, 85).collect()}
+    finally:
+        neardup._checked = check
+    assert links == {(500 + 6 * g + x, 500 + 6 * g + y) for g in range(10) for x, y in ((0, 1), (0, 2), (1, 2))}
+    assert sum(seen) < 200  # of 1,770 pairs
+
+
+def test_prefixes_of_linked_sets_meet():
+    draw = np.random.default_rng(2)
+    rank = draw.integers(0, 4, neardup.SLOTS).astype(np.uint8)
+    for _ in range(400):
+        pool = np.unique(draw.integers(0, 1 << 62, 60).astype(np.uint64))
+        a, b = (np.sort(draw.choice(pool, draw.integers(30, len(pool) + 1), replace=False)) for _ in "ab")
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        both_ = len(np.intersect1d(a, b))
+        for percent in (60, 80, 100):
+            if 100 * both_ >= percent * (len(a) + len(b) - both_):
+                probe, _ = neardup.prefix_of(a, rank, percent)
+                index, many = neardup.prefix_of(b, rank, percent)
+                assert np.isin(a[probe], b[index[:many]]).any()
+
+
 def test_local_components_match_pairs():
     draw = np.random.default_rng(1)
     pool = np.sort(draw.integers(0, 1 << 60, 300).astype(np.uint64))
