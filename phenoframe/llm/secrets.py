@@ -14,11 +14,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 KEYWORD = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"
-# A key block, a run of token characters with a digit, or whatever is assigned to a telling name.
+ASSIGNED = r"(?<=[:=][\"' ]{0,2})(?<=" + KEYWORD + r"[\"']{0,1} {0,1}[:=] {0,1}"
+STARTS = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk_live_|rk_live_|npm_|eyJ"
+# A key block, whatever is assigned to a telling name (if quoted, up to the quote), the password in a URL, a published
+# key of dotted parts, or a run of token characters with a digit or a published beginning.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}+={0,2}"
-    r"|(?<=[:=][\"' ]{0,2})(?<=" + KEYWORD + r"[\"']{0,1} {0,1}[:=] {0,1}[\"']{0,1})[^\s\"',;<>]{6,}+"
+    r"|" + ASSIGNED + r"\")[^\s\"]++(?=\")|" + ASSIGNED + r"')[^\s']++(?=')"
+    r"|" + ASSIGNED + r"[\"']{0,1})[^\s\"',;<>]++"
+    r"|(?<=:)(?<=://[^\s:/@]{0,256}:)[^\s/@]++(?=@)"
+    r"|(?<![A-Za-z0-9_+/\-])SG\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++"
+    r"|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|" + STARTS + r")[A-Za-z0-9_+/\-]{12,}+={0,2}"
 )
 # Beginnings of published key formats.
 PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk_live_|rk_live_|SG\.|npm_|eyJ|-----BEGIN )"
@@ -103,13 +109,17 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     sign = F.element_at(F.array(*[F.lit(x) for x in ("=", ": ", " = \"", "=\"", ": '", ":")]), size % 6 + 1)
     join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     cut = lambda text, n: F.substring(text, F.lit(1), n if isinstance(n, Column) else F.lit(n))
+    kind = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), size % len(names) + 1)
+    letters = F.regexp_replace(up, "[0-9]", "")
+    url = kind("postgres://admin:", "https://user:", "mongodb://svc:", "redis://:")
     good = [
         (near, join("AKIA", cut(up, 16))), (join(near, name, sign), cut(digest, 18)), (join(near, name, sign), cut(digest, 40)),
         (near, join("ghp_", cut(dense, 36))), (join(near, name, sign), cut(dense, 24 + size % 24)), (join(near, name, sign), cut(dense, 12 + size % 6)),
         (near, join("sk_live_", cut(dense, 24))), (join(near, "Authorization: Bearer "), cut(dense, 40 + size % 60)),
         (near, join("AIza", cut(dense, 35))), (near, join("xoxb-", cut(digits, 12), "-", cut(dense, 24))), (join(near, name, sign), cut(digest, 32)),
+        (near, join("AKIA", cut(letters, 16))), (join(near, url), cut(dense, 8 + size % 16)), (join(near, name, sign), cut(dense, 4 + size % 2)),
+        (join(near, name, sign), join(cut(dense, 6 + size % 8), kind("!", "#", "@", "$"), F.substring(dense, 20, 5))),
     ]
-    kind = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), size % len(names) + 1)
     bad = [
         (join(near, kind("commit ", "revision ", "sha1 ", "rev ")), cut(digest, 40)), (join(near, kind("sha256:", "checksum: ", "digest = ")), cut(digest, 64)),
         (join(near, kind("md5 ", "etag: ", "hash=")), cut(digest, 32)),
@@ -120,6 +130,7 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
         (near, join(kind("chapter", "section", "figure", "version", "summer", "table"), cut(digits, 2), kind("introduction", "overview", "appendix", "conclusion"))),
         (near, join("AKIA", cut(up, 9), "EXAMPLE")), (join(near, "src=\"data:image/png;base64,"), join(dense, "/", dense)),
         (join(near, kind("order_id=", "page=", "user_id: ")), cut(digits, 14)), (near, join(kind("interstellar", "counterclockwise", "misunderstanding", "internationalisation"), cut(digits, 1))),
+        (join(near, name, sign), kind("the", "a", "none", "null", "true", "from", "your", "is", "is", "must")),
     ]
     flip = F.col("id") % 2
 
