@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import chat, decontaminate, imatch, neardup, packing, pages, quality, secrets, sharding, substrings
+from phenoframe.llm import chat, decontaminate, imatch, neardup, packing, pages, quality, secrets, sharding, substrings, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,32 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
+# CRC-32 of decimal digits: bytes are folded in one by one, each with eight shifts.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda acc, ch: list_reduce(list_prepend(xor(acc, ch), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS body, turn,
+    sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS sig
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, sig, octet_length(encode(body)) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sig) AS place FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format('conv_id::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, o.place, o.sig, o.bytes FROM c JOIN o ON o.conv_id = c.base AND o.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.place, o.sig, o.bytes FROM c JOIN o ON o.conv_id = c.conv_id AND o.place > c.h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(sig, '') OVER w AS name, bytes FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+m AS (SELECT conv_id, depth, name, bytes FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+z AS (SELECT conv_id, max(depth) AS size FROM m GROUP BY conv_id),
+n AS (SELECT depth, name, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+  sha256(coalesce(string_agg(CASE WHEN size = depth THEN m.conv_id::VARCHAR END, ',' ORDER BY m.conv_id), '')) AS ends_sha256
+  FROM m JOIN z USING (conv_id) GROUP BY depth, name),
+k AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND starts_with(x.name, n.name)) AS n_children FROM n)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children,
+  (SELECT count(*) FROM k x WHERE x.n_children = 0 AND x.depth >= k.depth AND starts_with(x.name, k.name)) AS n_leaves,
+  (SELECT sum((x.n_convs - 1) * x.bytes) FROM n x WHERE x.depth >= k.depth AND starts_with(x.name, k.name))::BIGINT AS saved_tokens, k.ends_sha256
+FROM k LEFT JOIN n u ON u.depth = k.depth - 1 AND u.name = left(k.name, 64 * (k.depth - 1))"""
+
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
@@ -140,3 +166,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
