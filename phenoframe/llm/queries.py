@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import chat, decontaminate, imatch, neardup, negatives, packing, pages, quality, secrets, sharding, substrings, trie
+from phenoframe.llm import chat, decontaminate, imatch, jaccardjoin, neardup, negatives, packing, pages, quality, secrets, sharding, substrings, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,20 @@ SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children,
 FROM k LEFT JOIN n u ON u.depth = k.depth - 1 AND u.name = left(k.name, 64 * (k.depth - 1))"""
 
 
+ORACLES["op11_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
+      THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+      WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT e.a, r.low FROM r JOIN e ON e.b = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id
+FROM documents d JOIN (SELECT id, min(low) AS low FROM r GROUP BY id) c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
 ORACLES["op12_hard_negatives"] = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -184,6 +198,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("doc", "doc_id")
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.jaccard_join(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose id is divisible by 100; every seventh label is another one."""
