@@ -1,4 +1,4 @@
-"""Ownership of root segments: rooted links, junction routing and the main axis.
+"""Ownership of root segments: rooted links and junction routing.
 
 All groups of one frame number are decided together. Decisions that depend on each other are
 made in rounds: a segment is decided once everything it could depend on is decided.
@@ -13,11 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.operators import chains, components, pixels
-from phenoframe.operators.edits import axis_paths
 from phenoframe.operators.evidence import gap_gate
 from phenoframe.operators.matching import link_candidates
 from phenoframe.operators.skeleton import widths
-from phenoframe.operators.spatial import nearest_within
 from phenoframe.runtime import cut
 
 # Weights of the routing score.
@@ -354,38 +352,6 @@ def _publish(routes, todo, flows, lowers, decided, keys) -> DataFrame:
     )
 
 
-def main_axis(
-    owned: DataFrame, segments: DataFrame, points: DataFrame, previous: DataFrame | None, keys: Sequence[str], reach: int = 16
-) -> DataFrame:
-    """(keys, owner, seg): segments of each owner's main axis.
-
-    Earlier main pixels vote for the nearest segment of their owner within its measured radius.
-    The tip whose chain of ancestors holds most votes wins; the deeper tip breaks ties.
-    """
-    keys = list(keys)
-    who = [*keys, "owner"]
-    links = owned.select(*who, "seg", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent")).dropDuplicates([*who, "seg"])
-    members = links.select(*who, F.col("seg").alias("parent"), F.lit(True).alias("_in"))
-    links = cut(links.join(members, [*who, "parent"], "left").select(*who, "seg", F.when(F.col("_in"), F.col("parent")).alias("parent")), "axis")
-    paths = axis_paths(links, who, "seg", "parent")
-    votes = links.select(*who, "seg").withColumn("_votes", F.lit(0).cast("long"))
-    if previous is not None:
-        radius = F.greatest(F.lit(2.0 ** 0.5), F.col("width") / 2.0)
-        spots = points.join(links.select(*who, "seg"), [*keys, "seg"]).select(*who, "x", "y", "seg", radius.alias("radius"))
-        hits = nearest_within(previous.select(*who, "x", "y").distinct(), spots, reach, who, ["seg", "radius"])
-        counted = hits.where("d2 is not null and sqrt(d2) <= radius").groupBy(*who, "seg").agg(F.count(F.lit(1)).alias("_votes"))
-        votes = links.select(*who, "seg").join(counted, [*who, "seg"], "left").na.fill(0, ["_votes"])
-    used = links.where("parent is not null").select(*who, F.col("parent").alias("seg")).distinct()
-    tips = links.join(used, [*who, "seg"], "left_anti").select(*who, "seg")
-    steps = paths.join(tips, [*who, "seg"], "left_semi").select(*who, F.col("seg").alias("tip"), F.explode("path").alias("seg"))
-    scored = steps.join(votes, [*who, "seg"]).groupBy(*who, "tip").agg(F.sum("_votes").alias("_score"))
-    deep = segments.select(*keys, F.col("seg").alias("tip"), "lower_y", "lower_x")
-    best = scored.join(deep, [*keys, "tip"]).groupBy(*who).agg(
-        F.max(F.struct("_score", "lower_y", (-F.col("lower_x")).alias("_x"), "tip")).alias("_b")
-    ).select(*who, F.col("_b.tip").alias("tip"))
-    return steps.join(best, [*who, "tip"]).select(*who, "seg")
-
-
 def has_axis(main_points: DataFrame, who: Sequence[str]) -> DataFrame:
     """Owners whose first main geometry is longer than it is wide."""
     return main_points.groupBy(*who).agg(

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from phenoframe.plans import checks, geometry, imaging, records, tabular, tracking  # noqa: F401
+from phenoframe.plans import axes, checks, geometry, imaging, records, tabular, tracking  # noqa: F401
 from phenoframe.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -195,11 +195,3 @@ def junction_routing(spark, folder):
     segs, roots, links = part_links(spark, folder)
     support = segs.where("seg % 5 = 0").select("img", "seg", (F.col("seg") % 6).cast("int").alias("support_owner"), F.lit(0.7).alias("share"))
     return linking.route(segs, cut(links, "links"), roots, support, ["img"])
-
-
-@query("main_axis")
-def main_axis(spark, folder):
-    segs, roots, links = part_links(spark, folder)
-    points = segs.select("img", "seg", F.col("lower_x").alias("x"), F.col("lower_y").alias("y"), F.lit(4.0).alias("width"))
-    earlier = segs.where("seg % 3 = 0").select("img", (F.col("seg") % 6).cast("int").alias("owner"), F.col("lower_x").alias("x"), F.col("lower_y").alias("y"))
-    return linking.main_axis(cut(links, "links"), segs, points, earlier, ["img"])

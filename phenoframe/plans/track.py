@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.functions import growth as fg
-from phenoframe.operators import components, evidence, linking, measure, pixels, skeleton, spatial, static
+from phenoframe.operators import components, evidence, linking, mainaxis, measure, pixels, skeleton, spatial, static
 from phenoframe.runtime import cut
 
 KEYS = ["group_id"]
@@ -71,9 +71,8 @@ def track_frame(
     else:
         support = none.select(*KEYS, "seg", F.lit(None).cast("int").alias("support_owner"), F.lit(None).cast("double").alias("share"))
     flows = cut(linking.route(segments, base, stems, support, KEYS), "routed")
-    chosen = linking.main_axis(flows, segments, points, main_history, KEYS)
     owned = cut(flows.select(*KEYS, "owner", "seg").distinct().join(points, [*KEYS, "seg"]), "owned")
-    main = cut(owned.join(chosen, [*KEYS, "owner", "seg"], "left_semi"), "main")
+    main = cut(mainaxis.main_axis(flows, segments, points, main_history, KEYS, history), "main")
     links = flows.join(segments.select(*KEYS, "seg", "upper_x", "upper_y"), [*KEYS, "seg"]).select(
         *KEYS, "seg", "owner", F.col("upper_x").alias("child_x"), F.col("upper_y").alias("child_y"), "parent_x", "parent_y"
     )
