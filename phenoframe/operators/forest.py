@@ -9,25 +9,33 @@ from pyspark.sql import DataFrame, functions as F
 from phenoframe.runtime import cut
 
 
-def chain_totals(links: DataFrame, keys: Sequence[str], node: str, parent: str, sums: Sequence[str] = ()) -> tuple[DataFrame, list[DataFrame]]:
+def chain_totals(
+    links: DataFrame, keys: Sequence[str], node: str, parent: str, sums: Sequence[str] = (), *, top: str | None = None, circles: bool = False
+) -> tuple[DataFrame, list[DataFrame]]:
     """Sums of columns over every node and its ancestors, and the jump tables that were used.
 
+    ``top`` names a column for the last node of each chain.
+
     ``links`` has one row per (keys, node). A parent that is null or no node ends its chain. Jump table k holds
-    (keys, node, up): the ancestor 2^k steps up, where there is one. Raises on a cycle.
+    (keys, node, up): the ancestor 2^k steps up, where there is one. Raises on a cycle, or, with ``circles``, leaves out nodes whose chain has no end.
     """
     keys, sums = list(keys), list(sums)
     inner = links.select(*keys, F.col(node).alias("_up")).distinct().withColumn("_known", F.lit(True))
     state = cut(links.select(*keys, F.col(node).alias("_node"), F.col(parent).alias("_up"), *sums).join(inner, [*keys, "_up"], "left").select(
-        *keys, "_node", F.when(F.col("_known"), F.col("_up")).alias("_up"), *sums), "chain")
+        *keys, "_node", F.when(F.col("_known"), F.col("_up")).alias("_up"), F.col("_node").alias("_top"), *sums), "chain")
     nodes, jumps = state.count(), []
     while not (jump := state.where("_up is not null").select(*keys, F.col("_node").alias(node), F.col("_up").alias("up"))).isEmpty():
         if 1 << len(jumps) > nodes:
+            if circles:
+                state = state.where("_up is null")
+                break
             raise ValueError("the links form a cycle")
         jumps.append(jump)
-        above = state.select(*keys, F.col("_node").alias("_up"), F.col("_up").alias("_next"), *[F.col(s).alias(f"_s_{s}") for s in sums])
+        above = state.select(*keys, F.col("_node").alias("_up"), F.col("_up").alias("_next"), F.col("_top").alias("_last"), *[F.col(s).alias(f"_s_{s}") for s in sums])
         state = cut(state.join(above, [*keys, "_up"], "left").select(
-            *keys, "_node", F.col("_next").alias("_up"), *[(F.col(s) + F.coalesce(f"_s_{s}", F.lit(0))).alias(s) for s in sums]), "chain")
-    return state.select(*keys, F.col("_node").alias(node), *sums), jumps
+            *keys, "_node", F.col("_next").alias("_up"), F.coalesce("_last", "_top").alias("_top"), *[(F.col(s) + F.coalesce(f"_s_{s}", F.lit(0))).alias(s) for s in sums]), "chain")
+    named = [F.col("_top").alias(top)] if top else []
+    return state.select(*keys, F.col("_node").alias(node), *named, *sums), jumps
 
 
 def chain_members(starts: DataFrame, jumps: Sequence[DataFrame], keys: Sequence[str], node: str) -> DataFrame:
