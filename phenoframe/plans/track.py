@@ -70,8 +70,9 @@ def track_frame(
         )
     else:
         support = none.select(*KEYS, "seg", F.lit(None).cast("int").alias("support_owner"), F.lit(None).cast("double").alias("share"))
-    flows = cut(linking.route(segments, base, stems, support, KEYS), "routed")
-    owned = cut(flows.select(*KEYS, "owner", "seg").distinct().join(points, [*KEYS, "seg"]), "owned")
+    flows = cut(linking.route(segments, base, stems, support, KEYS, points), "routed")
+    held = flows.groupBy(*KEYS, "owner", "seg").agg(F.max(F.coalesce("until", F.lit(2**31 - 1))).alias("_until"))
+    owned = cut(held.join(points, [*KEYS, "seg"]).where("pos < _until").drop("_until"), "owned")
     main = cut(mainaxis.main_axis(flows, segments, points, main_history, KEYS, history), "main")
     links = flows.join(segments.select(*KEYS, "seg", "upper_x", "upper_y"), [*KEYS, "seg"]).select(
         *KEYS, "seg", "owner", F.col("upper_x").alias("child_x"), F.col("upper_y").alias("child_y"), "parent_x", "parent_y"
