@@ -66,7 +66,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold one of these are encoded whole, as it ends the pre-tokens round it.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -100,6 +101,20 @@ class PieceEncoder:
             place = np.searchsorted(self.keys, distinct)
         return place[back]
 
+    def _with_added(self, raw: np.ndarray, off: np.ndarray) -> set[int]:
+        """Rows that hold an added token of the tokenizer."""
+        text, found = raw.tobytes(), set()
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(off, at, side="right")) - 1
+                if at + len(token) <= off[row + 1]:
+                    found.add(row)
+                    at = text.find(token, int(off[row + 1]))
+                else:
+                    at = text.find(token, at + 1)
+        return found
+
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of each text in order."""
         rows = len(off) - 1
@@ -108,6 +123,7 @@ class PieceEncoder:
         hard[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
         np.cumsum(hard, out=odd[1:])
         hard_rows = set(np.flatnonzero(odd[off[1:]] > odd[off[:-1]]).tolist())
+        hard_rows |= self._with_added(raw, off)
         start = piece_starts(raw, off) if len(raw) else np.zeros(0, np.int64)
         row = np.searchsorted(off, start, side="right") - 1
         if hard_rows:
