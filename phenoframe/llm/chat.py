@@ -23,7 +23,10 @@ _TYPES = {
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys and no blanks; whole floats are written as integers."""
+    """JSON with sorted keys and no blanks; whole floats are written as integers, lone surrogates as escapes.
+
+    Raises ValueError for numbers that JSON does not have.
+    """
     def plain(v):
         if isinstance(v, dict):
             return {k: plain(x) for k, x in v.items()}
@@ -31,7 +34,8 @@ def canonical(value: Any) -> str:
             return [plain(x) for x in v]
         return int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 2**53 else v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
@@ -73,21 +77,27 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
 
 def _serialise(schemas: dict[str, dict]):
     def one(name: str | None, arguments: str | None, row: dict) -> tuple[list[str], str]:
-        errors: list[str] = []
         try:
             value = json.loads(arguments) if arguments is not None else {}
-        except (ValueError, RecursionError):
-            value, errors = arguments, ["$: not JSON"]
-        if not errors:
             errors = violations(value, schemas[name]) if name in schemas else ["unknown tool"]
-        return errors, canonical({"arguments": value, "name": name} | row)
+            return errors, canonical({"arguments": value, "name": name} | row)
+        except RecursionError:
+            errors = ["$: nested too deeply"]
+        except ValueError:  # no JSON, or a number beyond it
+            errors = ["$: not JSON"]
+        return errors, canonical({"arguments": arguments, "name": name} | row)
+
+    def line(r: dict) -> tuple[list[str], str]:
+        if r["status"] == "other":
+            return [], canonical({"id": r["call_id"], "role": r["name"], "text": r["result"]})
+        if r["status"] == "orphan":
+            return [], canonical({"id": r["call_id"], "result": r["result"]})
+        return one(r["name"], r["arguments"], {"id": r["call_id"], "result": r["result"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(["name", "arguments", "call_id", "result", "status"]).to_pylist()
-            done = [
-                one(r["name"], r["arguments"], {"id": r["call_id"], "result": r["result"]}) if r["status"] != "orphan"
-                else ([], canonical({"id": r["call_id"], "result": r["result"]})) for r in rows]
+            done = [line(r) for r in rows]
             keep = [n for n in batch.schema.names if n not in ("arguments", "result")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in keep), pa.array([not e for e, _ in done]), pa.array([e for e, _ in done], pa.list_(pa.string())),
@@ -134,15 +144,17 @@ def levels(calls: DataFrame) -> DataFrame:
     return found
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row for each call, and for each result without a call.
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others: DataFrame | None = None) -> DataFrame:
+    """One row for each call, for each result without a call, and for each of the ``others`` (conv, turn, role, text).
 
     ``calls``: conv, turn, index, call_id, name, arguments (JSON text), after (array of ids); ``results``: conv,
     turn, call_id, content. Rows: ``conv``, ``call_id``, ``name``, ``level``, ``turn``, ``index`` (ordered by these
-    three, calls come after what they name), ``status`` (linked, unanswered, orphan), ``valid``, ``errors``, ``json``.
+    three, calls come after what they name), ``status`` (linked, unanswered, orphan, other), ``valid``, ``errors``, ``json``.
     The earliest result of an identifier counts, the smaller text on a tie; repeated calls stay, each
     linked. The level is the turn where turns are in order, else from ``levels``; null on cycles. Null identifiers
     link with nothing, null arguments are an empty object, names of unknown calls in ``after`` are ignored.
+    Arguments that are no JSON, hold numbers that JSON does not have or are nested too deeply stay text and are not
+    valid; lone surrogates are kept as escapes.
     """
     arrow_batches(calls.sparkSession)
     answer = results.where("conv is not null and call_id is not null").groupBy("conv", "call_id").agg(
@@ -154,6 +166,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     stray = answer.join(known, ["conv", "call_id"], "left_anti").select(
         "conv", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.col("a.turn").alias("turn"),
         F.lit(0).alias("index"), F.col("a.content").alias("result"), F.lit("orphan").alias("status"))
+    if others is not None:
+        none = F.lit(None).cast("string")
+        stray = stray.unionByName(others.select(
+            "conv", F.concat_ws(":", F.col("conv").cast("string"), F.col("turn").cast("string")).alias("call_id"), F.col("role").alias("name"),
+            none.alias("arguments"), "turn", F.lit(0).alias("index"), F.col("text").alias("result"), F.lit("other").alias("status")))
     depth = levels(calls).withColumn("_knotted", F.lit(True))
     ordered = joined.unionByName(stray).join(depth, ["conv", "call_id"], "left").withColumn(
         "level", F.when(F.col("_knotted"), F.col("level")).otherwise(F.col("turn").cast("int"))).drop("_knotted")
@@ -175,6 +192,12 @@ def turns_as_calls(messages: DataFrame, conv: str = "conv_id", turn: str = "turn
     return calls, results
 
 
+def other_turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Turns that neither ask nor answer: system turns, other roles and rows without a role."""
+    return messages.where(~F.coalesce(F.col(role).isin("user", "assistant"), F.lit(False))).select(
+        F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+
+
 REPLY = {"reply": {
     "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
     "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}}

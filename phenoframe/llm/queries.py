@@ -39,7 +39,11 @@ FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 UNION ALL
 SELECT a.conv_id, a.conv_id || ':' || (a.turn - 1), a.turn::INT, a.turn, 'orphan', true, 0,
   '{"id":"' || a.conv_id || ':' || (a.turn - 1) || '","result":' || to_json(a.text) || '}'
-FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)"""
+FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)
+UNION ALL
+SELECT conv_id, conv_id || ':' || turn, turn::INT, turn, 'other', true, 0,
+  '{"id":"' || conv_id || ':' || turn || '","role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || '}'
+FROM conversations WHERE coalesce(role, '') NOT IN ('user', 'assistant')"""
 
 _BENCH_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op9_decontaminate"] = f"""
@@ -170,8 +174,9 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.turns_as_calls(table(spark, sf_dir, "conversations"))
-    return chat.link(calls, results, chat.REPLY).select(
+    turns = table(spark, sf_dir, "conversations")
+    calls, results = chat.turns_as_calls(turns)
+    return chat.link(calls, results, chat.REPLY, chat.other_turns(turns)).select(
         F.col("conv").alias("conv_id"), "call_id", "level", "turn", "status", "valid", F.size("errors").alias("n_errors"), "json")
 
 

@@ -44,6 +44,7 @@ def awkward(spark):
         row(3, None), row(4, ""), row(5, " \t\n "), row(6, long), row(7, base), row(8, base), row(9, near), row(10, "one two"),
         row(11, "one two"), row(12, "ONE two"), row(13, base + "\n" + base), row(14, "\U0001f600 emoji   nbsp\x85 \x1c control"),
         row(15, "a" * 5000), row(16, long + " tail"), row(7, base), row(17, "'s it's 'll we'll''ve  two  spaces \n\n x\n y 's"), row(18, "<|endoftext|> special"),
+        row(19, "hi <|endoftext|> there<|endoftext|>"), row(20, "plain <|endof"), row(21, "text|> after"),
     ]
     return rows
 
@@ -455,6 +456,28 @@ def test_schema_checks_and_canonical_json():
     assert chat.canonical({"b": 1.0, "a": ["é", {"z": None, "y": 0.5}]}) == '{"a":["é",{"y":0.5,"z":null}],"b":1}'
 
 
+def test_odd_arguments_stay_valid_json(spark):
+    deep = "[" * 1500 + "]" * 1500
+    odd = {"s": '{"a":"\\ud800"}', "n": '{"a":NaN}', "i": '{"a":1e400}', "d": deep, "x": "{", "e": None}
+    calls = spark.createDataFrame(
+        [(1, k, 0, name, "t", text, None) for k, (name, text) in enumerate(odd.items())],
+        "conv long, turn long, index int, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv long, turn long, call_id string, content string")
+    others = spark.createDataFrame([(1, 90, "system", "be kind"), (None, None, None, None)], "conv long, turn long, role string, text string")
+    got = {r.call_id: r for r in chat.link(calls, results, {"t": {"type": "object"}}, others).collect()}
+    assert len(got) == 8
+
+    def refuse(name):
+        raise ValueError(name)
+
+    for r in got.values():
+        json.loads(r.json.replace("[" * 1500, ""), parse_constant=refuse)
+    assert json.loads(got["s"].json)["arguments"] == {"a": "\ud800"} and got["s"].valid
+    assert [got[k].errors for k in "nidx"] == [["$: not JSON"], ["$: not JSON"], ["$: nested too deeply"], ["$: not JSON"]]
+    assert json.loads(got["i"].json)["arguments"] == odd["i"] and json.loads(got["e"].json)["arguments"] == {}
+    assert got["1:90"].status == "other" and json.loads(got["1:90"].json) == {"id": "1:90", "role": "system", "text": "be kind"}
+
+
 def test_calls_are_linked_ordered_and_checked(spark):
     call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments", "after"), c)) for c in calls]})
     result = lambda i, c: json.dumps({"tool_call_id": i, "content": c})
@@ -582,7 +605,6 @@ def test_pieces_are_tokens_and_fill_sequences(spark, real, awkward):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for _, rows in both(spark, real, awkward):
         got = packing.pack_documents(frame(spark, rows), with_ids=True).collect()
         want = collections.Counter()
