@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from phenoframe.operators.overlay import fingerprint
 
+# Names and defaults of the settings, as parameter files hold them.
 
 @dataclass
 class Data:

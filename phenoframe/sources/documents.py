@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -19,90 +18,124 @@ MAX_ELEMENTS = 1_000_000
 MAX_DEPTH = 256
 
 
-def _complexity(raw: bytes) -> str | None:
-    """Reason to refuse the XML before a tree is built."""
-    state = {"depth": 0, "count": 0, "bad": None}
-    parser = expat.ParserCreate()
+class Refusal(Exception):
+    """Why a document is not read any further."""
 
-    def opened(*_):
-        state["depth"] += 1
-        state["count"] += 1
-        if state["depth"] > MAX_DEPTH or state["count"] > MAX_ELEMENTS:
-            state["bad"] = "too complex"
-            raise OverflowError
 
-    def closed(*_):
-        state["depth"] -= 1
-
-    def refused(*_):
-        state["bad"] = "DTD or entity"
-        raise OverflowError
-
-    parser.StartElementHandler, parser.EndElementHandler = opened, closed
-    parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = refused
-    try:
-        parser.Parse(raw, True)
-    except OverflowError:
-        return state["bad"]
-    except expat.ExpatError:
-        return "not well-formed"
-    return None
+class AxisStream:
+    """Axis rows from one pass over the events of a document; no tree is kept.
 
+    An element is known by where it stands: axes are an unbroken line of ``root`` elements below a plant of the first
+    scene, so an element is the next axis when as many elements are open as there are open axes, plus rsml, scene and plant.
+    What makes the content unusable is noted and told at the end, as a document may turn out not to be well-formed.
+    """
 
-def _points(element, ns: str) -> list[list[float]] | None:
-    line = []
-    for point in element.iterfind(f"{ns}geometry/{ns}polyline/{ns}point"):
+    ABOVE = 3  # rsml, scene, plant
+    TEXTS = {("metadata", "unit"): "unit", ("metadata", "resolution"): "resolution", ("metadata", "image", "name"): "image_name"}
+
+    def __init__(self):
+        self.open: list[str] = []
+        self.line: list[int] = []  # numbers of the open axes, outermost first
+        self.axes: list[dict] = []
+        self.texts: dict[str, list[str]] = {}
+        self.plant_ids: list[str] = []
+        self.home = self.outermost = ""  # namespace and name of the document element
+        self.seen = self.scenes = 0
+        self.bad_point = False
+        self.listening: list[str] | None = None
+
+    def read(self, raw: bytes) -> None:
+        parser = expat.ParserCreate(namespace_separator=" ")
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self._enter, self._leave, self._hear
+        parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = self._declared
+        try:
+            parser.Parse(raw, True)
+        except expat.ExpatError:
+            raise Refusal("not well-formed") from None
+
+    def _declared(self, *_):
+        raise Refusal("DTD or entity")
+
+    def _enter(self, full: str, attributes: dict) -> None:
+        space, _, name = full.rpartition(" ")
+        if not self.seen:
+            self.home, self.outermost = space, name
+        self.seen += 1
+        self.open.append(name if space == self.home else full)
+        if len(self.open) > MAX_DEPTH or self.seen > MAX_ELEMENTS:
+            raise Refusal("too complex")
+        self.listening = None
+        at = len(self.open)
+        if at == 2:
+            self.scenes += self.open[1] == "scene"
+        if self.open[1:2] == ["scene"]:
+            if self.scenes == 1:
+                self._scene(at, self.open[-1], attributes)
+        elif (label := self.TEXTS.get(tuple(self.open[1:]))) and label not in self.texts:
+            self.listening = self.texts[label] = []
+
+    def _scene(self, at: int, name: str, attributes: dict) -> None:
+        if at == self.ABOVE:
+            if name == "plant":
+                self.plant_ids.append(attributes.get("id", ""))
+        elif self.open[2:3] != ["plant"]:
+            return
+        elif name == "root" and at == self.ABOVE + len(self.line) + 1:
+            above = self.line[-1] if self.line else None
+            self.line.append(len(self.axes))
+            self.axes.append({
+                "root_index": len(self.axes), "parent_index": above, "plant_index": len(self.plant_ids) - 1, "plant_id": self.plant_ids[-1],
+                "root_id": attributes.get("id", ""), "parent_id": None if above is None else self.axes[above]["root_id"], "points": []})
+        elif self.line and at == self.ABOVE + len(self.line) + 3 and self.open[-3:] == ["geometry", "polyline", "point"]:
+            self._point(self.axes[self.line[-1]]["points"], attributes)
+
+    def _point(self, points: list[list[float]], attributes: dict) -> None:
+        """Two or three finite numbers, as many as the axis' other points have."""
+        texts = [attributes.get("x"), attributes.get("y"), *([attributes["z"]] if "z" in attributes else [])]
+        try:
+            place = [float(t) for t in texts]
+        except (TypeError, ValueError):
+            place = [math.nan]
+        self.bad_point |= not all(map(math.isfinite, place)) or bool(points and len(points[0]) != len(place))
+        points.append(place)
+
+    def _leave(self, _: str) -> None:
+        if self.line and len(self.open) == self.ABOVE + len(self.line):
+            self.line.pop()
+        self.open.pop()
+        self.listening = None
+
+    def _hear(self, text: str) -> None:
+        if self.listening is not None:
+            self.listening.append(text)
+
+    def shared(self) -> dict:
+        """What all axes of the document have in common."""
+        if self.outermost != "rsml" or not self.scenes:
+            raise Refusal("no scene")
+        told = {label: "".join(parts) for label, parts in self.texts.items()}
         try:
-            values = [float(point.attrib[a]) for a in ("x", "y", "z") if a != "z" or "z" in point.attrib]
-        except (KeyError, ValueError):
-            return None
-        if not all(map(math.isfinite, values)) or (line and len(values) != len(line[0])):
-            return None
-        line.append(values)
-    return line
+            resolution = float(told.get("resolution", "1"))
+        except ValueError:
+            resolution = math.nan
+        if not 0 < resolution < math.inf:
+            raise Refusal("resolution")
+        if self.bad_point:
+            raise Refusal("invalid polyline")
+        return {"n_plants": len(self.plant_ids), "unit": told.get("unit", "pixel"), "resolution": resolution, "image_name": told.get("image_name", "")}
 
 
 def document_rows(path: str, raw: bytes) -> list[dict]:
     """Axis rows of one document in depth-first order, or one row with the reason of refusal."""
-    def refuse(reason):
-        return [{"path": path, "reason": reason}]
-
-    if len(raw) > MAX_BYTES:
-        return refuse("too large")
-    reason = _complexity(raw)
-    if reason:
-        return refuse(reason)
-    tree = ET.fromstring(raw)
-    ns = tree.tag[: tree.tag.index("}") + 1] if tree.tag.startswith("{") else ""
-    scene = tree.find(f"{ns}scene")
-    if tree.tag != f"{ns}rsml" or scene is None:
-        return refuse("no scene")
+    stream = AxisStream()
     try:
-        resolution = float(tree.findtext(f"{ns}metadata/{ns}resolution", "1"))
-    except ValueError:
-        resolution = math.nan
-    if not (math.isfinite(resolution) and resolution > 0):
-        return refuse("resolution")
-    plants = scene.findall(f"{ns}plant")
-    shared = {
-        "path": path, "n_plants": len(plants), "unit": tree.findtext(f"{ns}metadata/{ns}unit", "pixel"),
-        "resolution": resolution, "image_name": tree.findtext(f"{ns}metadata/{ns}image/{ns}name", ""), "reason": None,
-    }
-    rows: list[dict] = []
-    for plant_index, plant in enumerate(plants):
-        waiting = [(child, None) for child in reversed(plant.findall(f"{ns}root"))]
-        while waiting:
-            element, parent = waiting.pop()
-            line = _points(element, ns)
-            if line is None:
-                return refuse("invalid polyline")
-            index = len(rows)
-            rows.append(shared | {
-                "root_index": index, "parent_index": parent, "plant_index": plant_index, "plant_id": plant.get("id", ""),
-                "root_id": element.get("id", ""), "parent_id": None if parent is None else rows[parent]["root_id"], "points": line,
-            })
-            waiting.extend((child, index) for child in reversed(element.findall(f"{ns}root")))
-    return rows or [shared]
+        if len(raw) > MAX_BYTES:
+            raise Refusal("too large")
+        stream.read(raw)
+        common = {"path": path, "reason": None} | stream.shared()
+    except Refusal as why:
+        return [{"path": path, "reason": str(why)}]
+    return [common | axis for axis in stream.axes] or [common]
 
 
 def parse_documents(files: DataFrame) -> DataFrame:

@@ -68,16 +68,26 @@ def test_camera_text(spark):
     assert got == {i: (s, v) for i, (_, _, s, v) in enumerate(cases)}
 
 
-@pytest.mark.parametrize("points,expected", [
-    ([(0, 0), (0, 1), (0, 2), (5, 5)], 2), ([(0, 0), (1, 0), (2, 0), (1, 1)], 3), ([(1, 0), (0, 1), (2, 1), (1, 2)], 4),
-    ([(0, 0), (1, 1), (2, 2)], 2),
+def outline(n):
+    return {(x, y) for x in range(n) for y in range(n) if {x, y} & {0, n - 1}}
+
+
+def comb(teeth, height):
+    return {(x, 0) for x in range(2 * teeth + 1)} | {(2 * t + 1, y) for t in range(teeth) for y in range(1, height + 1)}
+
+
+# A line of n pixels has n - 1 steps whatever its direction, a closed outline as many as pixels, a tree one less.
+@pytest.mark.parametrize("points,steps", [
+    ({(i, i % 2) for i in range(40)}, 39), ({(i, -i) for i in range(17)} | {(60, 60)}, 16), (outline(9), 4 * 8),
+    (comb(6, 5), 13 + 6 * 5 - 1), (outline(6) | {(x + 30, y) for x, y in comb(2, 3)}, 4 * 5 + 5 + 2 * 3 - 1),
 ])
-def test_polyline_edges(spark, points, expected):
-    traced = chains.trace_polylines(px(spark, points), ["image"]).orderBy("path_a", "path_b", "pos").collect()
-    edges = [(a, b) for a, b in zip(traced, traced[1:]) if (a.path_a, a.path_b) == (b.path_a, b.path_b)]
-    assert len(edges) == expected
-    assert len({frozenset([(a.x, a.y), (b.x, b.y)]) for a, b in edges}) == expected
-    assert all(max(abs(a.x - b.x), abs(a.y - b.y)) == 1 for a, b in edges)
+def test_polyline_steps(spark, points, steps):
+    rows = chains.trace_polylines(px(spark, points), ["image"])
+    walk = rows.groupBy("path_a", "path_b").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p")).collect()
+    taken = [(tuple(a[1:]), tuple(b[1:])) for r in walk for a, b in zip(r.p, r.p[1:])]
+    assert len(taken) == len(set(map(frozenset, taken))) == steps
+    assert {p for r in walk for p in map(lambda v: tuple(v[1:]), r.p)} == points
+    assert all({abs(a[0] - b[0]), abs(a[1] - b[1])} <= {0, 1} for a, b in taken)
 
 
 def test_components_do_not_depend_on_partitions(spark):
@@ -276,6 +286,37 @@ def test_documents_and_exports(spark):
         documents.write_geometry(documents.geometry_lines(line, image), f"{root}/out")
 
 
+def wrapped(inside, meta="", head="<rsml>", tail="</rsml>"):
+    return f'{head}<metadata>{meta}</metadata><scene><plant id="7">{inside}</plant></scene>{tail}'.encode()
+
+
+def axis(*points, inside=""):
+    return "<root><geometry><polyline>" + "".join(f"<point {p}/>" for p in points) + f"</polyline></geometry>{inside}</root>"
+
+
+@pytest.mark.parametrize("raw,reason", [
+    (wrapped(axis('x="1" y="2"', 'x="1" y="2" z="3"')), "invalid polyline"), (wrapped(axis('x="1"')), "invalid polyline"),
+    (wrapped(axis('x="1" y="inf"'), tail=""), "not well-formed"), (b"", "not well-formed"), (b"<rsml/>", "no scene"),
+    (wrapped(axis(), head="<other>", tail="</other>"), "no scene"), (wrapped(axis(), "<resolution/>"), "resolution"),
+    (b"<!DOCTYPE rsml>" + wrapped(axis()), "DTD or entity"), (wrapped("<root>" * 254 + "</root>" * 254), "too complex"),
+    (b" " * (documents.MAX_BYTES + 1), "too large"), (wrapped("<a/>" * documents.MAX_ELEMENTS), "too complex"),
+])
+def test_refused_documents(raw, reason):
+    assert documents.document_rows("p", raw) == [{"path": "p", "reason": reason}]
+
+
+def test_axes_of_nested_documents():
+    inner = axis('x="4" y="5" z="6"', inside="<note>" + axis('x="0" y="0"') + "</note>")
+    raw = wrapped(axis('x="1" y="2"', 'x="3" y="4"', inside=inner + axis()) + axis(), "<unit>mm</unit><resolution>4</resolution><unit>cm</unit>",
+                  head='<rsml xmlns="urn:a" xmlns:b="urn:b"><b:scene/>')
+    rows = documents.document_rows("p", raw)
+    assert [(r["root_index"], r["parent_index"], r["points"]) for r in rows] == [
+        (0, None, [[1, 2], [3, 4]]), (1, 0, [[4, 5, 6]]), (2, 0, []), (3, None, [])]
+    assert {(r["unit"], r["resolution"], r["n_plants"], r["plant_id"], r["image_name"]) for r in rows} == {("mm", 4, 1, "7", "")}
+    assert len(documents.document_rows("p", wrapped("<root>" * 253 + "</root>" * 253))) == 253
+    assert [r.get("root_index") for r in documents.document_rows("p", wrapped(""))] == [None]
+
+
 def test_statistics_csv(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     stats = spark.createDataFrame([("p.jpg", 1, 5.0)], "image_path string, plant_id int, plant_total_length double")
