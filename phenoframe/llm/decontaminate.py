@@ -28,6 +28,7 @@ from phenoframe.llm.session import arrow_batches, cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
+CHUNK = 14  # bits of a slot within its chunk of the bitmap
 BITS = 22  # 4 million slots, half a megabyte packed, whatever the benchmark's size
 
 
@@ -48,6 +49,17 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the bitmap, packed, from the places of their slots."""
+    for batch in batches:
+        packed = []
+        for places in batch.column(2).to_pylist():
+            bits = np.zeros(1 << CHUNK, bool)
+            bits[places] = True
+            packed.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary()), batch.column(3)], ["width", "chunk", "bits", "least"])
+
+
 def _benchmark_slots(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +154,14 @@ def find_windows(
     seen = items.select("text").mapInArrow(spans.tidy(_benchmark_slots(size)), "width int, least int, slots array<int>")
     seen = seen.select("width", "least", F.explode("slots").alias("slot"))
     seen = cut(seen.groupBy("width", "slot").agg(F.min("least").alias("least")), "slots")
-    filters: dict[int, np.ndarray] = {}
-    least = size
-    for width, low in seen.groupBy("width").agg(F.min("least")).collect():
-        filters[width] = np.zeros(1 << BITS, bool)
-        filters[width][np.array([r[0] for r in seen.where(F.col("width") == width).select("slot").collect()])] = True
-        least = low if width == SHINGLE else least
-    packed = {k: np.packbits(v) for k, v in filters.items()}
+    chunks = seen.groupBy("width", F.shiftright("slot", CHUNK).alias("chunk")).agg(
+        F.collect_list(F.col("slot").bitwiseAND((1 << CHUNK) - 1)).alias("places"), F.min("least").alias("least"))
+    packed: dict[int, np.ndarray] = {}
+    least, step = size, 1 << (CHUNK - 3)
+    # At most 256 chunks of 2 kB for each of three widths, whatever the benchmark's size.
+    for width, chunk, bits, low in chunks.mapInArrow(_bitmaps, "width int, chunk int, bits binary, least int").collect():
+        packed.setdefault(width, np.zeros(1 << (BITS - 3), np.uint8))[chunk * step: (chunk + 1) * step] = np.frombuffer(bits, np.uint8)
+        least = min(least, low) if width == SHINGLE else least
     kind = docs.schema[doc_id].dataType
 
     def stretches(batches):
@@ -164,7 +177,7 @@ def find_windows(
     distinct = cut(
         base.select(F.explode("pieces.stretch").alias("stretch")).groupBy("stretch").agg(F.count("*").alias("n"))
         .withColumn("w", words(F.col("stretch"))), "distinct")
-    widths = sorted(filters) or [SHINGLE]
+    widths = sorted(packed) or [SHINGLE]
     # Rarity over all documents, then the rarest shingle of every window and where it stands.
     placed = distinct.select(
         "stretch", "w", "n", F.explode(F.flatten(F.array(*[_shingles(F.col("w"), k) for k in widths]))).alias("_s")
