@@ -28,11 +28,9 @@ FEATURES = len(SIGNS) + 14 + ENDINGS
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and settings of training. At most ``documents`` labelled rows, half of each label, are read;
-    of a longer one the first, last and evenly spaced passages up to ``passages``."""
+    """Bounds and settings of training. At most ``documents`` labelled rows, half of each label, are read, each of them whole."""
 
     documents: int = 6000
-    passages: int = 32
     hidden: int = 24
     attention: int = 12
     rounds: int = 160
@@ -184,19 +182,14 @@ def _bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, *passage_features(raw[off[i]: off[j]], off[i: j + 1] - off[i])
 
 
-def _describe(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, rows = [], []
-            for _, x, bags in _bags(batch.column(1)):
-                for bag in np.split(x, np.cumsum(bags)[:-1]):
-                    pick = np.unique(np.linspace(0, len(bag) - 1, min(limit, len(bag))).astype(int))
-                    body.append(bag[pick].tobytes())
-                    rows.append(len(pick))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.int32()), pa.array(body, pa.binary()), batch.column(2)], ["doc", "passages", "features", "label"])
-
-    return run
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        body, rows = [], []
+        for _, x, bags in _bags(batch.column(1)):
+            body += [bag.tobytes() for bag in np.split(x, np.cumsum(bags)[:-1])]
+            rows += bags.tolist()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(rows, pa.int32()), pa.array(body, pa.binary()), batch.column(2)], ["doc", "passages", "features", "label"])
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fit: Fit = Fit()) -> AttentionModel | float:
@@ -213,7 +206,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     kind = docs.schema[doc_id].dataType.simpleString()
     chosen = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(some), "doc")
     described = chosen.select("doc", "text", "label").mapInArrow(
-        spans.tidy(_describe(fit.passages)), f"doc {kind}, passages int, features binary, label int")
+        spans.tidy(_describe), f"doc {kind}, passages int, features binary, label int")
 
     def learn(part):
         part = part.combine_chunks().sort_by([("doc", "ascending"), ("features", "ascending")])
@@ -265,5 +258,5 @@ def accept(docs: DataFrame, model: AttentionModel | float, text: str = "text", t
 
 
 def held_out(doc_id: str):
-    """Rows kept from training: crc32 of the id as text leaves 1 when divided by 3."""
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    """Rows kept from training: crc32 of the id as text leaves 1 when divided by 3; rows without id are not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
