@@ -42,6 +42,7 @@ FEATURES = (
     "length", "digits", "upper", "lower", "transitions", "distinct", "hex", "numeric", "dictionary", "bigrams", "prefix",
     "keyword_near", "keyword_next", "hash_word", "assigned", "quoted", "slashes", "path_after", "trial_path", "setting_path")
 REACH = 60  # characters of context on the left
+BLOCK = 128  # candidates whose lengths are summed together
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -73,16 +74,36 @@ def _text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def candidates(text: Column, path: Column) -> Column:
-    """Array of (start, length, features) of all candidates; starts count code points from 0."""
+def _parts(text: Column) -> Column:
+    """What the candidates are (``found``) and what stands before, between and after them (``between``)."""
     body = _text_of(text)
-    found = F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(body, CANDIDATE, -1)
-    parts = F.struct(found.alias("found"), between.alias("between"))
-    return F.when(F.size(found) > 0, F.transform(F.array(parts), lambda p: F.transform(
+    return F.struct(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(body, CANDIDATE, -1).alias("between"))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+
+def candidates(text: Column, path: Column) -> Column:
+    """Array of (found, start, x): candidates, where they start (code points from 0) and their features.
+
+    Lengths are summed in blocks of ``BLOCK`` and then within a block, so work stays in step with the number of candidates.
+    """
+    parts = _parts(text)
+    sized = F.transform(F.array(parts), lambda p: F.struct(
+        p["found"].alias("found"), p["between"].alias("between"),
+        F.zip_with(F.slice(p["between"], 1, F.size(p["found"])), p["found"], lambda b, f: F.length(b) + F.length(f)).alias("steps")))
+    count = lambda p: F.sequence(F.lit(0), F.floor(F.size(p["steps"]) / BLOCK).cast("int"))
+    summed = F.transform(sized, lambda p: F.struct(
+        p["found"].alias("found"), p["between"].alias("between"), p["steps"].alias("steps"),
+        F.transform(count(p), lambda k: _total(F.slice(p["steps"], k * BLOCK + 1, BLOCK))).alias("sums")))
+    placed = F.transform(summed, lambda p: F.struct(
+        p["found"].alias("found"), p["between"].alias("between"), p["steps"].alias("steps"),
+        F.transform(p["sums"], lambda _, k: _total(F.slice(p["sums"], 1, k))).alias("starts")))
+    return F.when(F.size(parts["found"]) > 0, F.transform(placed, lambda p: F.transform(
         p["found"], lambda c, i: F.struct(
-            c.alias("found"), F.length(F.array_join(F.slice(p["between"], 1, i + 1), "")).alias("before"),
-            F.length(F.array_join(F.slice(p["found"], 1, i), "")).alias("earlier"),
+            c.alias("found"),
+            (p["starts"][F.floor(i / BLOCK).cast("int")] + _total(F.slice(p["steps"], i - i % BLOCK + 1, i % BLOCK)) + F.length(p["between"][i])).alias("start"),
             describe(c, F.substring(p["between"][i], -REACH, REACH), F.substring(p["between"][i + 1], 1, 20), path).alias("x"))))[0])
 
 
@@ -199,23 +220,23 @@ def _depth(tree: list[list[float]], at: int = 0) -> int:
 
 
 def findings(text: Column, path: Column, forest: list[list[list[float]]]) -> Column:
-    """Array of (start, length, found, score) of all candidates in text order; null if there are none."""
-    return F.transform(candidates(text, path), lambda c: F.struct(
-        (c["before"] + c["earlier"]).alias("start"), F.length(c["found"]).alias("length"), c["found"].alias("found"), probability(c["x"], forest).alias("score")))
+    """Array of (start, length, found, score, nth) of all candidates in text order; null if there are none."""
+    return F.transform(candidates(text, path), lambda c, i: F.struct(
+        c["start"].alias("start"), F.length(c["found"]).alias("length"), c["found"].alias("found"), probability(c["x"], forest).alias("score"), i.alias("nth")))
 
 
 def accepted(found: Column, threshold: float = 0.5) -> Column:
     """The findings that the forest takes for secrets; an empty array if there are none."""
-    none = F.expr("cast(array() as array<struct<start:int,length:int,found:string,score:double>>)")
+    none = F.expr("cast(array() as array<struct<start:int,length:int,found:string,score:double,nth:int>>)")
     return F.coalesce(F.filter(found, lambda c: c["score"] >= threshold), none)
 
 
 def scan(
     docs: DataFrame, forest: list[list[list[float]]], text: str = "text", path: str | None = "source", threshold: float = 0.5,
 ) -> DataFrame:
-    """Add ``n_candidates`` and ``secrets``: array of (start, length, found, score), in text order.
+    """Add ``n_candidates`` and ``secrets``: array of (start, length, found, score, nth), in text order.
 
-    Starts and lengths count code points. Null and empty texts have none; each row is judged alone. Columns of
+    Starts and lengths count code points, ``nth`` the candidates of the text from 0. Null and empty texts have none; each row is judged alone. Columns of
     these names are replaced, all others stay.
     """
     seen = docs.drop("n_candidates", "secrets").withColumn("_seen", findings(F.col(text), path_of(docs, path), forest))
@@ -227,11 +248,19 @@ def path_of(docs: DataFrame, path: str | None) -> Column:
 
 
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every found secret replaced by ``mark``."""
-    body = _text_of(text)
-    done = F.aggregate(
-        secrets, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda s, c: F.struct(
-            F.concat(s["out"], F.substring(body, s["at"] + 1, c["start"] - s["at"]), F.lit(mark)).alias("out"), (c["start"] + c["length"]).alias("at")),
-        lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
+    """The text with every found secret of this text replaced by ``mark``; what stands between secrets is joined once."""
+    def stretch(p, low, high):
+        """Texts and candidates from number ``low`` up to ``high``, and the text before that one."""
+        many = high - low
+        pairs = F.zip_with(F.slice(p["between"], low + 1, many), F.slice(p["found"], low + 1, many), lambda b, f: F.concat(b, f))
+        return F.concat(F.array_join(pairs, ""), p["between"][high])
+
+    def after(p, k):
+        return F.when(k > 0, F.get(p["taken"], k - 1)["nth"] + 1).otherwise(F.lit(0))
+
+    parts = _parts(text)
+    whole = F.struct(parts["found"].alias("found"), parts["between"].alias("between"), secrets.alias("taken"))
+    done = F.transform(F.array(whole), lambda p: F.concat(
+        F.array_join(F.transform(p["taken"], lambda c, k: F.concat(stretch(p, after(p, k), c["nth"]), F.lit(mark))), ""),
+        stretch(p, after(p, F.size(p["taken"])), F.size(p["found"]))))[0]
     return F.when(F.size(secrets) > 0, done).otherwise(text)
