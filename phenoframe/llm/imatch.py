@@ -167,7 +167,7 @@ def fingerprint(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text:
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (part, late, doc, text, guest) of which each part, ordered by (late, doc, text), holds a run of
-    consecutive documents and, as a guest at its end, the document after the run.
+    consecutive documents and, as a guest at its end, the document after the run. Rows without an id come first.
 
     Parts are ranges of ids with cuts from a quantile sketch: one shuffle of the texts, no global order.
     """
@@ -175,16 +175,16 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     count = partitions(spark)
     cuts = plain.select(F.col("doc").cast("double").alias("doc")).approxQuantile("doc", [k / count for k in range(1, count)], 0.25 / count)
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
     ranged = Bucketizer(splits=splits, inputCol="_at", outputCol="_part").transform(
-        plain.withColumn("_at", F.col("doc").cast("double"))).select("doc", "text", F.col("_part").cast("int").alias("part"))
-    firsts = sorted(ranged.groupBy("part").agg(F.min("doc").alias("doc")).collect())  # a row for each range
+        plain.withColumn("_at", F.col("doc").cast("double"))).select("doc", "text", F.coalesce(F.col("_part").cast("int") + 1, F.lit(0)).alias("part"))
+    firsts = sorted(ranged.groupBy("part").agg(F.min("doc").alias("doc")).collect())  # a row for each range, one part has no ids
     guests = [(first, firsts[k - 1][0] if k else firsts[-1][0], int(k == 0)) for k, (_, first) in enumerate(firsts)]
     invited = F.broadcast(spark.createDataFrame(guests, "doc long, host int, late int"))
     own = F.struct(F.col("part"), F.lit(0).alias("late"), F.lit(False).alias("guest"))
     other = F.struct(F.col("host").alias("part"), F.col("late"), F.lit(True).alias("guest"))
     seats = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, other))
-    return ranged.join(invited, "doc", "left").select("doc", "text", F.explode(seats).alias("s")).select(
+    return ranged.join(invited.withColumnRenamed("doc", "_first"), F.col("doc").eqNullSafe(F.col("_first")), "left").select("doc", "text", F.explode(seats).alias("s")).select(
         "s.part", "s.late", "doc", "text", "s.guest")
 
 
@@ -192,14 +192,16 @@ def edited_fingerprints(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id
     """Fingerprints of every text and of its edited text, whose last half comes from the next document.
 
     Rows: ``doc``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``,
-    ``near_next``. Documents are ordered by id and text; the first follows the last. Null is empty.
+    ``near_next``. Documents are ordered by id and text, those without an id first; the first follows the last. A null text
+    is empty; repeated rows are rows of their own.
     """
     arrow_batches(docs.sparkSession)
     if docs.isEmpty():
         seated = docs.sparkSession.createDataFrame([], "part int, late int, doc long, text string, guest boolean")
     else:
         seated = with_next(docs, doc_id, text)
-    ordered = seated.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "late", "doc", "guest", "text")
+    # One part to a partition: hashing their numbers would put several into one.
+    ordered = seated.repartitionById(partitions(docs.sparkSession) + 1, F.col("part")).sortWithinPartitions("part", "late", "doc", "guest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, last = lexicon.band(), None
