@@ -4,7 +4,12 @@ A page is a sequence of words and tags. Tags score negative; words score the log
 such a place (block element, or kind of side matter they stand in) are main text. Both are learned from
 pages that label themselves with an article or main element, on top of a prior for places that
 these pages do not show. One linear scan finds the contiguous region with the highest sum. The region is
-completed to the article element and the blocks it lies in, and side matter inside it is left out.
+completed to the blocks and the article elements it touches, and side matter inside it is left out.
+
+Side matter is what elements or names say it is, unless they wrap the page: a form or a name that holds most of
+the page's words (and most of its articles' words) is a wrapper and says nothing. Null, empty and text-free pages have an empty
+text; malformed, deeply nested and very long pages are read in one pass; repeated rows are rows of their own; only the columns
+named are read.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _HIDDEN = re.compile(r"\shidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
+FIELDS = frozenset("form fieldset label legend".split())  # words right inside these are not what a form wraps
+
 PRIOR_WEIGHT = 50.0  # words' worth of prior in each place
 TAG = -0.5  # prior score of a tag
 SIDE_WORDS = 1  # words of one piece of side matter that count: an advert must not split a long article
@@ -58,29 +65,75 @@ def side_kind(name: str, attributes: str) -> str | None:
         return None
     if _HIDDEN.search(attributes):
         return "hidden"
-    if name in ROOT or name in ("body", "html"):
+    if name in ("body", "html"):
         return None
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
         for word in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()):
-            if word in _NAMED:
+            if word in _NAMED and (name not in ROOT or _NAMED[word] == "comment"):
                 return _NAMED[word]
     return None
 
 
+def may_wrap(name: str, why: str | None) -> bool:
+    """Whether an element that counts as side matter may turn out to wrap the page."""
+    return why is not None and (name == "form" or name not in SIDE and why not in ("hidden", "comment"))
+
+
 class Piece:
-    """Text between two tags: its block, its place (what it is scored by) and whether it is side matter."""
+    """Text between two tags: its block, its place (what it is scored by) and whether it is side matter.
+
+    ``root`` numbers the innermost article (positive) or main element (negative) it lies in, ``aside`` the innermost element
+    that may be side matter.
+    """
 
-    __slots__ = ("at", "stop", "text", "block", "place", "side", "tags", "root", "words")
+    __slots__ = ("at", "stop", "text", "block", "place", "side", "tags", "root", "words", "aside")
 
-    def __init__(self, at, stop, text, block, place, side, tags, root):
+    def __init__(self, at, stop, text, block, place, side, tags, root, aside=0):
         self.at, self.stop, self.text, self.block, self.place, self.side, self.tags, self.root = at, stop, text, block, place, side, tags, root
-        self.words = len(text.split())
+        self.words, self.aside = len(text.split()), aside
+
+
+class Asides:
+    """The elements of a page that may be side matter; number 0 is the page itself."""
+
+    def __init__(self):
+        self.why: list[str | None] = [None]
+        self.above, self.wraps = [0], [False]
+
+    def add(self, why: str, above: int, wraps: bool) -> int:
+        self.why.append(why)
+        self.above.append(above)
+        self.wraps.append(wraps)
+        return len(self.why) - 1
+
+    def settle(self, parts: list[Piece]) -> list[str | None]:
+        """For each element, why texts in it are side matter; wrappers of most of the page count as not there."""
+        n = len(self.why)
+        if not any(self.wraps):
+            return self.why
+        sure = [False] * n  # inside something that can't be a wrapper
+        for k in range(1, n):
+            sure[k] = not self.wraps[k] or sure[self.above[k]]
+        held, rooted = [0] * n, [0] * n
+        for p in parts:
+            if not sure[p.aside] and p.place not in FIELDS:
+                held[p.aside] += p.words
+                rooted[p.aside] += p.words if p.root else 0
+        for k in range(n - 1, 0, -1):
+            held[self.above[k]] += held[k]
+            rooted[self.above[k]] += rooted[k]
+        why = list(self.why)
+        for k in range(1, n):
+            if self.wraps[k] and 2 * held[k] > held[0] and 2 * rooted[k] >= rooted[0]:
+                why[k] = why[self.above[k]]
+        return why
 
 
 def pieces(page: str) -> list[Piece]:
     """All texts of a page in order, with the number of tags before each."""
     found: list[Piece] = []
-    stack: list[tuple[str, str | None]] = []  # open elements that hold blocks, and why they are side matter
+    stack: list[tuple[str, int, str]] = [("", 0, "body")]  # open elements that hold blocks, innermost aside and block in each
+    asides, opened = Asides(), Counter()
     roots: list[int] = []
     block = tags = n_roots = at = link = 0
     leaf = "body"
@@ -88,23 +141,33 @@ def pieces(page: str) -> list[Piece]:
     def text(stop: int) -> None:
         nonlocal tags
         if stop > at:
-            body = html.unescape(page[at:stop])
-            side = next((why for _, why in reversed(stack) if why), None)
-            place = f"side:{side}" if side else f"link:{leaf}" if link else leaf
-            found.append(Piece(at, stop, body, block, place, bool(side), tags, roots[-1] if roots else 0))
+            place = f"link:{leaf}" if link else leaf
+            found.append(Piece(at, stop, html.unescape(page[at:stop]), block, place, False, tags, roots[-1] if roots else 0, stack[-1][1]))
             tags = 0
 
-    def close(depth: int) -> None:
-        while len(stack) > depth:
-            if stack.pop()[0] in ROOT:
+    def close(name: str) -> None:
+        """Close the innermost open element of this name and what is open inside it."""
+        while opened[name]:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last in ROOT:
                 roots.pop()
+            if last == name:
+                return
+
+    def settled() -> list[Piece]:
+        why = asides.settle(found)
+        for p in found:
+            if why[p.aside]:
+                p.side, p.place = True, f"side:{why[p.aside]}"
+        return found
 
     n, pos = len(page), 0
     while True:
         match = _TOKEN.search(page, pos)
         if not match:
             text(n)
-            return found
+            return settled()
         text(match.start())
         at = pos = match.end()
         name = match[2].lower() if match[2] else ""
@@ -120,34 +183,32 @@ def pieces(page: str) -> list[Piece]:
         if match[1]:
             if name == "a":
                 link = 0
-            if name not in BLOCK and not any(tag == name for tag, _ in stack):
+            if name not in BLOCK and not opened[name]:
                 continue
             block += name in BLOCK
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                close(depth)
-            leaf = next((tag for tag, _ in reversed(stack) if tag in BLOCK), "body")
+            close(name)
+            leaf = stack[-1][2]
             continue
         why = side_kind(name, match[3])
         if name in BLOCK:
             block += 1
             link = 0
             leaf = name
-            if stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
+            if stack[-1][0] == "p":
+                close("p")
             if name == "body":
-                close(next((i for i, (tag, _) in enumerate(stack) if tag == "head"), len(stack)))
-            if name in ("li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
-                close(len(stack) - 1)
-            if name not in VOID and not match[3].endswith("/"):
-                stack.append((name, why))
-                if name in ROOT:
-                    n_roots += 1
-                    roots.append(n_roots)
+                close("head")
+            if name in ("li", "dd", "dt", "td", "th", "tr") and stack[-1][0] == name:
+                close(name)
         elif name == "a":
             link = 1
-        elif why and name not in VOID and not match[3].endswith("/"):
-            stack.append((name, why))
+        if (why or name in BLOCK) and name != "a" and name not in VOID and not match[3].endswith("/"):
+            above = stack[-1][1]
+            stack.append((name, asides.add(why, above, may_wrap(name, why)) if why else above, name if name in BLOCK else stack[-1][2]))
+            opened[name] += 1
+            if name in ROOT:
+                n_roots += 1
+                roots.append(n_roots if name == "article" else -n_roots)
 
 
 def place_counts(page: str) -> Counter:
@@ -218,19 +279,21 @@ def main_text(page: str, weights: Weights) -> tuple[str, int, int]:
     for p in parts[first: last + 1]:
         if not p.side:
             inside[p.root] += p.words
-    root = inside.most_common(1)[0][0] if inside else 0
-    if root:
-        own = [i for i, p in enumerate(parts) if p.root == root]
-        first, last = own[0], own[-1]
+    touched = {root for root, words in inside.items() if root and words}
+    if touched and 2 * inside[0] <= inside.total():
+        # Articles are completed; of a main element around them only the title is taken.
+        kept = {root for root in touched if root > 0} or touched
+        own = [p for p in parts if not p.side and (p.root in kept or p.root in touched and p.place == "h1")]
     else:
         while first and parts[first - 1].block == parts[first].block:
             first -= 1
         while last + 1 < len(parts) and parts[last + 1].block == parts[last].block:
             last += 1
+        own = [p for p in parts[first: last + 1] if not p.side]
+    if not own:
+        return "", 0, 0
     lines, block = [], None
-    for p in parts[first: last + 1]:
-        if p.side:
-            continue
+    for p in own:
         if p.block == block:
             lines[-1].append(p.text)
         else:
@@ -238,7 +301,7 @@ def main_text(page: str, weights: Weights) -> tuple[str, int, int]:
             block = p.block
     # Texts of one block are joined as they stand; tags inside a block are no white space, line breaks are.
     kept = (" ".join("".join(x).split()) for x in lines)
-    return "\n".join(x for x in kept if x), parts[first].at, parts[last].stop
+    return "\n".join(x for x in kept if x), own[0].at, own[-1].stop
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
