@@ -160,3 +160,68 @@ def polyline_length(points: Column) -> Column:
 def polyline_depth(points: Column) -> Column:
     ys = F.transform(points, lambda p: p[1])
     return F.coalesce(F.array_max(ys) - F.array_min(ys), F.lit(0.0))
+
+
+def analysis_box(image_w: Column, image_h: Column, top: Column, bottom: Column, margins: Column, own: Column | None = None) -> Column:
+    """Fixed box inside a plate: between two shares of its height, less margins; ``own`` wins where it is given.
+
+    ``margins`` is struct<top, bottom, left, right> of shares; those of the height refer to the part between the two.
+    """
+    first, last = F.bround(image_h * top), F.bround(image_h * bottom)
+    part = last - first
+    up, down, left, right = (F.bround(margins[n] * size) for n, size in (("top", part), ("bottom", part), ("left", image_w), ("right", image_w)))
+    one = F.lit(1.0)
+    fixed = box_from_bounds(left, first + up, F.greatest(one, image_w - left - right), F.greatest(one, part - up - down), image_w, image_h)
+    return fixed if own is None else F.coalesce(own, fixed)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def search_frame(image_w: Column, image_h: Column, degrees: Column, own: Column) -> Column:
+    """struct<w, h, m>: where plates are looked for, with the map from the image: the ``own`` box, or the turned image."""
+    def frame(found: Column, m: str) -> Column:
+        return _let(found, lambda v: F.struct(v["out_w"].alias("w"), v["out_h"].alias("h"), v[m].alias("m")))
+
+    return F.when(own.isNotNull(), frame(box_extraction(own, image_w, image_h), "to_crop")).otherwise(frame(rotation(image_w, image_h, degrees), "m"))
+
+
+def search_box(image_w: Column, image_h: Column, degrees: Column, own: Column) -> Column:
+    """The search frame as a box of the image."""
+    whole = box(*[F.lit(v) for v in (0.5, 0.5, 1.0, 1.0, 0.0)])
+    return F.coalesce(own, box_unrotate(whole, image_w, image_h, degrees))
+
+
+def plate_outline(bounds: Column, m: Column) -> Column:
+    """Corners in the image of a plate that fills ``bounds`` (x, y, width, height) of the search frame, clockwise."""
+    def corners(b: Column, back: Column) -> Column:
+        right, low = b["x"] + b["width"], b["y"] + b["height"]
+        return F.array(*[
+            F.struct((affine_x(back, x - 0.5, y - 0.5) + 0.5).alias("x"), (affine_y(back, x - 0.5, y - 0.5) + 0.5).alias("y"))
+            for x, y in ((b["x"], b["y"]), (right, b["y"]), (right, low), (b["x"], low))])
+
+    return _let(F.struct(bounds.alias("b"), _let(m, affine_inverse).alias("back")), lambda v: corners(v["b"], v["back"]))
+
+
+def plate_crop(outline: Column, m: Column) -> Column:
+    """struct<x, y, width, height, to_plate>: upright bounds of an outline in the search frame, and the map from the image."""
+    def bounds(m: Column, line: Column) -> Column:
+        xs = F.transform(line, lambda p: affine_x(m, p["x"] - 0.5, p["y"] - 0.5) + 0.5)
+        ys = F.transform(line, lambda p: affine_y(m, p["x"] - 0.5, p["y"] - 0.5) + 0.5)
+        return F.array(*[F.bround(f(v)).cast("int") for v in (xs, ys) for f in (F.array_min, F.array_max)])
+
+    def crop(m: Column, e: Column) -> Column:
+        moved = F.transform(m, lambda v, i: F.when(i == 2, v - e[0]).when(i == 5, v - e[2]).otherwise(v))
+        return F.struct(e[0].alias("x"), e[2].alias("y"), (e[1] - e[0]).alias("width"), (e[3] - e[2]).alias("height"), moved.alias("to_plate"))
+
+    given = F.struct(m.alias("m"), outline.alias("o"))
+    return _let(given, lambda v: _let(F.struct(v["m"].alias("m"), bounds(v["m"], v["o"]).alias("e")), lambda w: crop(w["m"], w["e"])))
+
+
+def plate_box(bounds: Column, image_w: Column, image_h: Column, degrees: Column) -> Column:
+    """Bounds of a plate found in the turned image, as a box of the image."""
+    turned = rotation(image_w, image_h, degrees)
+    found = box_from_bounds(bounds["x"], bounds["y"], bounds["width"], bounds["height"], turned["out_w"], turned["out_h"])
+    return box_unrotate(found, image_w, image_h, degrees)

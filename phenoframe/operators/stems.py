@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from phenoframe.functions import geometry
 
 
 def _split_points(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
@@ -75,3 +77,34 @@ def cluster_stems(regions: DataFrame, image: Sequence[str], count: int) -> DataF
     found = median("cx").join(median("cy"), [*image, "cluster"]).join(area, [*image, "cluster"])
     order = Window.partitionBy(*image).orderBy("x", "cluster")  # ``count`` rows per image
     return found.select(*image, (F.row_number().over(order) - 1).alias("slot"), "x", "y", "area")
+
+
+def outdated_groups(images: DataFrame, state: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, reason): groups whose stored maps can't be used again and that need the whole preparation.
+
+    ``images`` has group, to_crop and to_stored (six numbers each); ``state`` group, prepare_hash (null if never stored) and
+    stored_hash. One image without a map is enough, as a group is prepared as a whole.
+    """
+    maps = images.groupBy(*group).agg(F.max(F.coalesce(F.size("to_stored"), F.lit(-1)) != 6).alias("_lacks"))
+    changed = F.col("stored_hash").isNotNull() & ~F.col("stored_hash").eqNullSafe(F.col("prepare_hash"))
+    reason = F.when(F.col("_lacks"), "no stored map").when(F.coalesce(changed, F.lit(False)), "settings changed")
+    return maps.join(state, list(group), "left").select(*group, reason.alias("reason")).where("reason is not null")
+
+
+def redetect_stems(
+    regions: DataFrame, images: DataFrame, state: DataFrame, group: Sequence[str], image: Sequence[str], count: int,
+) -> DataFrame:
+    """:func:`cluster_stems` in the coordinates of stored pixels, without preparing the images again.
+
+    ``regions`` are those of plates; positions go through ``to_crop`` of their image, are rounded, and move by the whole
+    pixels that the stored map ``to_stored`` lies further. Groups listed by :func:`outdated_groups` give no rows.
+    """
+    usable = images.join(outdated_groups(images, state, group), list(group), "left_anti").select(*image, "to_crop", "to_stored")
+    found = cluster_stems(regions.join(usable.select(*image), list(image), "left_semi"), image, count).join(usable, list(image))
+
+    def stored(place: Column, k: int) -> Column:
+        return (F.bround(place) + F.bround(F.col("to_stored")[k] - F.col("to_crop")[k])).cast("int")
+
+    x, y = F.col("x"), F.col("y")
+    return found.select(
+        *image, "slot", stored(geometry.affine_x(F.col("to_crop"), x, y), 2).alias("x"), stored(geometry.affine_y(F.col("to_crop"), x, y), 5).alias("y"), "area")
