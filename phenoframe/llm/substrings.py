@@ -5,9 +5,12 @@ All windows of ``length`` bytes that share content must meet, without moving eve
 1. Each window is represented by its least-hashed 16-byte string, its anchor. Equal windows have equal
    anchors at equal places, and about one byte in eighteen is an anchor. Per block of documents, each anchor
    is reported once with the smallest document that has it.
-2. Anchors found in one document only are dropped; the others are told to their documents.
-3. For those, the stretch of windows around the anchor is sent to the anchor's bucket. Stretches with equal
-   bytes inside a block are settled there, so frequent passages travel once per block.
+2. Anchors found in one document only are dropped; the others are told to their documents. Anchors that very many
+   stretches have, by counts over all documents in a table of fixed size, need no report: they are shared.
+3. For shared anchors, the stretch of windows around the anchor is sent to the anchor's bucket. Stretches with equal
+   bytes inside a block are settled there, so frequent passages travel once per block. Stretches of very frequent
+   anchors are dealt window by window, by a hash of the whole window, so that no bucket grows with the corpus; equal
+   windows of a block are settled before.
 4. In a bucket all windows are sorted: a multikey quicksort on eight-byte characters to a shallow depth,
    then blind tries over what is still tied. Tries branch on single bytes and skip what is common,
    and all tries of a bucket grow level by level together. Windows that stay together are equal; the ones
@@ -27,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm import spans
-from phenoframe.llm.session import arrow_batches
+from phenoframe.llm.session import arrow_batches, partitions
 
 ANCHOR = 16
 SHALLOW = 2  # characters of eight bytes that the quicksort looks at
@@ -35,6 +38,9 @@ BUCKET_BYTES = 2 << 20
 REPORT_BYTES = 2 << 20  # texts that are reported and settled together
 _WORD = np.uint64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # stands for a null id, before all others
+SLOT_BITS = 22  # of the table in which stretches are counted by anchor
+PART_BITS = 14  # slots of one row of counts
+HOT = 4096  # stretches with one anchor that still meet in its bucket
 
 
 def _load8(raw: np.ndarray, big: bool = False) -> np.ndarray:
@@ -78,6 +84,60 @@ def _keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes & ~_WORD) | (hashes & np.uint64(buckets - 1))
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    """Place in the table of counts; the upper half of an anchor's hash is small, so the lower one is taken."""
+    return (hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+
+def _count(length: int):
+    """A task's stretches by the slot of their anchor, as rows (part, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int32)
+        for batch in batches:
+            raw, off = spans.text_bytes(batch.column(0))
+            for i, j in spans.blocks(off, REPORT_BYTES):
+                slot, n = np.unique(_slot(stretches(raw[off[i]: off[j]], off[i: j + 1] - off[i], length)[3]), return_counts=True)
+                total[slot] += n.astype(np.int32)
+        for k, part in enumerate(total.reshape(-1, 1 << PART_BITS)):
+            if part.any():
+                packed = pa.compress(part.tobytes(), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _above(limit: int):
+    """Which slots of the parts that a task holds have more than ``limit`` stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total.setdefault(part, np.zeros(1 << PART_BITS, np.int64))
+                total[part] += np.frombuffer(pa.decompress(counts, 4 << PART_BITS, "zstd", asbytes=True), np.int32)
+        for part, n in total.items():
+            bits = np.packbits(n > limit).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.binary())], ["part", "bits"])
+
+    return run
+
+
+def hot_slots(plain: DataFrame, length: int, limit: int) -> np.ndarray:
+    """Bitmap (512 kB, whatever the corpus) of slots whose anchors have more than ``limit`` stretches in all documents."""
+    counts = plain.select("text").mapInArrow(spans.tidy(_count(length)), "part int, counts binary")
+    above = counts.repartition(partitions(plain.sparkSession), "part").mapInArrow(spans.tidy(_above(limit)), "part int, bits binary")
+    out = np.zeros((1 << (SLOT_BITS - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
+    for row in above.collect():
+        out[row.part] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def _is_hot(hot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = _slot(hashes)
+    return (hot[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers as byte planes, which compress well when neighbours are alike."""
     return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -124,7 +184,7 @@ def _passing(schema: pa.Schema, docs: pa.Array, values: pa.Array, buckets: int)
     return pa.RecordBatch.from_arrays([bucket, *between, docs, values], schema=schema)
 
 
-def _report(length: int, buckets: int):
+def _report(length: int, buckets: int, hot: np.ndarray):
     """Anchors of each block by bucket, and those that two of its documents have, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +195,11 @@ def _report(length: int, buckets: int):
                 row, _, _, hashes = stretches(raw[off[i]: off[j]], off[i: j + 1] - off[i], length)
                 if not len(row):
                     continue
-                keys, docs = _keys(hashes, buckets), ids[i + row]
+                keys, docs, often = _keys(hashes, buckets), ids[i + row], _is_hot(hot, hashes)
+                yield _passing(REPORT, *_per_doc(docs[often], keys[often]), buckets)  # shared, whatever others report
+                keys, docs = keys[~often], docs[~often]
+                if not len(keys):
+                    continue
                 order = np.argsort(keys)
                 keys, docs = keys[order], docs[order]
                 at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -189,7 +253,29 @@ SENT = pa.schema([
     ("doc", pa.int64()), ("spans", pa.binary())])
 
 
-def _send(length: int, buckets: int):
+def _repeats(part: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which stretches have the bytes of one of a smaller document (the smallest keeps its own)."""
+    body = spans.span_hashes(part, start, start + size)
+    order = np.lexsort((at, docs, body))
+    head = np.zeros(len(order), np.int64)
+    new = np.r_[True, body[order][1:] != body[order][:-1]][: len(order)]
+    head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    same = (head != np.arange(len(order))) & (docs != docs[head]) & (size == size[head])
+    found = np.flatnonzero(same)
+    if len(found):
+        first = np.cumsum(size[found]) - size[found]
+        inner = np.arange(int(size[found].sum())) - np.repeat(first, size[found])
+        equal = part[np.repeat(start[found], size[found]) + inner] == part[np.repeat(start[head[found]], size[found]) + inner]
+        same[found] = np.logical_and.reduceat(equal, first)
+    return same
+
+
+def _deal(part: np.ndarray, start: np.ndarray, buckets: int, length: int) -> np.ndarray:
+    """Bucket of each window by its whole content."""
+    return (spans.span_hashes(part, start, start + length) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _send(length: int, buckets: int, hot: np.ndarray):
     """Stretches of shared anchors by bucket; spans that the block itself proves repeated, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,24 +293,31 @@ def _send(length: int, buckets: int):
                 mine = np.arange(j - i, dtype=np.uint64) * place
                 known = [np.frombuffer(b"".join(told[i + r] or ()), np.uint64) + mine[r: r + 1] for r in range(j - i)]
                 use = np.isin(keys + row.astype(np.uint64) * place, np.concatenate(known))
-                row, start, windows, keys = row[use], start[use], windows[use], keys[use]
+                row, start, windows, keys, often = row[use], start[use], windows[use], keys[use], _is_hot(hot, hashes[use])
                 if not len(row):
                     continue
                 size = windows + length - 1
                 docs, at = ids[i + row], start - local[row]
-                # Equal bytes: keep the smallest document's, the rest is repeated.
-                body = spans.span_hashes(part, start, start + size)
-                order = np.lexsort((at, docs, body))
-                head = np.zeros(len(order), np.int64)
-                new = np.r_[True, body[order][1:] != body[order][:-1]]
-                head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                same = (head != np.arange(len(order))) & (docs != docs[head]) & (size == size[head])
-                for k in np.flatnonzero(same):
-                    if not np.array_equal(part[start[k]: start[k] + size[k]], part[start[head[k]]: start[head[k]] + size[k]]):
-                        same[k] = False
+                same = _repeats(part, start, size, docs, at)
                 yield _passing(SENT, *_spans_of(docs[same], at[same], at[same] + size[same]), buckets)
-                keep = np.flatnonzero(~same)
-                bucket = (keys[keep] & _WORD).astype(np.int64)
+                bucket = (keys & _WORD).astype(np.int64)
+                wide = np.flatnonzero(~same & often)
+                if len(wide):  # one by one, and equal ones settled
+                    each = np.repeat(wide, windows[wide])
+                    inner = np.arange(len(each)) - np.repeat(np.cumsum(windows[wide]) - windows[wide], windows[wide])
+                    begin, place, one = start[each] + inner, at[each] + inner, np.full(len(each), length)
+                    again = _repeats(part, begin, one, docs[each], place)
+                    yield _passing(SENT, *_spans_of(docs[each][again], place[again], place[again] + length), buckets)
+                    rest = np.flatnonzero(~same & ~often)
+                    each, begin, place, one = each[~again], begin[~again], place[~again], one[~again]
+                    bucket = np.r_[bucket[rest], _deal(part, begin, buckets, length)]
+                    docs, start, at, size = np.r_[docs[rest], docs[each]], np.r_[start[rest], begin], np.r_[at[rest], place], np.r_[size[rest], one]
+                    keep = np.arange(len(docs))
+                else:
+                    keep = np.flatnonzero(~same)
+                    bucket = bucket[keep]
+                if not len(keep):
+                    continue
                 by = keep[np.argsort(bucket, kind="stable")]
                 bucket = np.sort(bucket)
                 stop = np.cumsum(size[by])
@@ -424,7 +517,8 @@ def _cut(batch: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, with_bytes: bool = True
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, with_bytes: bool = True,
+    hot: int = HOT,
 ) -> DataFrame:
     """One row per document row: ``doc``, ``n_bytes``, ``n_removed``, ``spans``, ``kept_sha256`` and, unless
     declined, ``kept`` (bytes).
@@ -432,6 +526,8 @@ def remove_repeats(
     Bytes covered by a ``length``-byte string that also starts in a document with a smaller id are removed;
     strings are judged on the whole input and never cross documents. Null is empty. Ids are integers; a null
     id counts as the smallest. Rows that repeat an id do not remove each other's bytes. ``length`` is at least 16.
+    Anchors with more than ``hot`` stretches (or eight times the mean of a slot, if that is more) do not meet in one bucket;
+    the setting changes no result.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
@@ -442,11 +538,12 @@ def remove_repeats(
     plain = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, (total // BUCKET_BYTES).bit_length())
+    often = hot_slots(plain, length, max(hot, 16 * total // ((length - ANCHOR + 2) << SLOT_BITS)))
     report = plain.mapInArrow(
-        spans.tidy(_report(length, buckets)), "bucket long, heads binary, docs binary, many binary, doc long, keys binary")
+        spans.tidy(_report(length, buckets, often)), "bucket long, heads binary, docs binary, many binary, doc long, keys binary")
     told = report.groupBy("bucket").applyInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys"))
     sent = plain.join(told, "doc", "left").where(F.size("keys") > 0).select("doc", "text", "keys").mapInArrow(
-        spans.tidy(_send(length, buckets)),
+        spans.tidy(_send(length, buckets, often)),
         "bucket long, bytes binary, sizes binary, docs binary, starts binary, doc long, spans binary")
     found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "doc long, spans binary")
     found = found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))

@@ -206,6 +206,44 @@ def test_repeats_are_removed(spark, real, awkward, length):
         assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_hot_anchors_are_dealt_by_window(spark):
+    draw = np.random.default_rng(11)
+    word = lambda n: "".join(draw.choice(list("abcdef "), n))
+    passage = word(300)
+    rows = [(i, word(int(draw.integers(0, 90))) + passage[int(draw.integers(0, 9)):] + word(90)) for i in range(400)]
+    rows += [(1000 + i, "a" * (40 + 7 * i)) for i in range(30)] + [(2000, None), (2001, ""), (2002, passage + passage)]
+    want = sorted(cover(rows, 50))
+    for hot in (0, 20, substrings.HOT):
+        got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), hot=hot).collect()
+        assert sorted((r.doc, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == want
+
+
+def test_one_passage_does_not_fill_a_bucket(spark):
+    """Windows of a passage that all documents hold spread over the buckets, however many documents there are."""
+    draw = np.random.default_rng(5)
+    passage = bytes(draw.integers(97, 123, 200, dtype=np.uint8))
+    largest = []
+    for n in (500, 2000):
+        texts = [bytes(draw.integers(97, 123, 60, dtype=np.uint8)) + passage for _ in range(n)]
+        raw, off = np.frombuffer(b"".join(texts), np.uint8), 260 * np.arange(n + 1)
+        row, start, windows, hashes = substrings.stretches(raw, off, 50)
+        slot, count = np.unique(substrings._slot(hashes), return_counts=True)
+        bits = np.zeros(1 << substrings.SLOT_BITS, bool)
+        bits[slot[count > 100]] = True
+        hot = np.packbits(bits)
+        buckets = 1 << (n // 8).bit_length()
+        batch = pa.RecordBatch.from_arrays([
+            pa.array(range(n)), pa.array([x.decode() for x in texts]),
+            pa.array([[np.unique(substrings._keys(hashes[row == k], buckets)).tobytes()] for k in range(n)])], ["doc", "text", "keys"])
+        sizes = {}
+        for sent in substrings._send(50, buckets, hot)(iter([batch])):
+            for b, z in zip(sent.column(0).to_pylist(), sent.column(2).to_pylist()):
+                if z is not None:
+                    sizes[b] = sizes.get(b, 0) + int(np.frombuffer(z, "<u4").sum())
+        largest.append(max(sizes.values()))
+    assert largest[1] < 1.5 * largest[0]
+
+
 def test_null_id_counts_as_the_smallest(spark):
     text = "the same sentence of more than fifty bytes stands in both documents here"
     got = substrings.remove_repeats(frame(spark, [row(None, text), row(1, text)])).collect()
