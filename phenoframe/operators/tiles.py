@@ -61,28 +61,38 @@ def pixels_to_tiles(px: DataFrame, channels: Sequence[str], width: int, height:
 
     Rows outside the image are not placed; ``outside`` lists them.
     """
+    images = px.select("image_id").distinct().select("image_id", F.lit(width).alias("width"), F.lit(height).alias("height"))
+    return sized_tiles(px, channels, images, size)
+
+
+def sized_tiles(px: DataFrame, channels: Sequence[str], images: DataFrame, size: int = SIZE) -> DataFrame:
+    """Tiles of all ``images`` (image_id, width, height) from pixel rows; unset pixels are zero, and images may be empty."""
     names = list(channels)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
+        width, height = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
         h, w = min(size, height - ty * size), min(size, width - tx * size)
         block = np.zeros((h, w, len(names)), np.uint8)
         block[pdf["y"] - ty * size, pdf["x"] - tx * size] = pdf[names].to_numpy()
         row = (str(pdf["image_id"].iloc[0]), ty, tx, ty * size, tx * size, h, w, 0, 0, len(names), width, height, block.tobytes())
         return pd.DataFrame([row], columns=NAMES)
 
-    placed = px.select(
-        F.col("image_id").cast("string").alias("image_id"), "x", "y", *names,
-        F.floor(F.col("y") / size).cast("int").alias("ty"), F.floor(F.col("x") / size).cast("int").alias("tx"),
-    ).where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
-    one = F.expr(f"inline(transform(sequence(0, {-(-height // size) - 1}), i -> struct(i as ty)))")
-    grid = px.select(F.col("image_id").cast("string").alias("image_id")).distinct().select("image_id", one)
-    grid = grid.select("image_id", "ty", F.explode(F.sequence(F.lit(0), F.lit(-(-width // size) - 1))).alias("tx"))
+    shapes = images.select(F.col("image_id").cast("string").alias("image_id"), F.col("width").cast("int"), F.col("height").cast("int"))
+    placed = px.select(F.col("image_id").cast("string").alias("image_id"), "x", "y", *names).join(shapes, "image_id").where(
+        "x between 0 and width - 1 and y between 0 and height - 1").select(
+        "image_id", "width", "height", "x", "y", *names,
+        F.floor(F.col("y") / size).cast("int").alias("ty"), F.floor(F.col("x") / size).cast("int").alias("tx"))
+
+    def steps(length):
+        return F.explode(F.sequence(F.lit(0), F.floor((F.col(length) - 1) / size).cast("int")))
+
+    grid = shapes.where("width > 0 and height > 0").withColumn("ty", steps("height")).withColumn("tx", steps("width"))
     # The first pixel of every tile is present, so empty tiles exist too.
     corners = grid.select(
-        "image_id", (F.col("tx") * size).alias("x"), (F.col("ty") * size).alias("y"), *[F.lit(0).alias(c) for c in names], "ty", "tx"
+        "image_id", "width", "height", (F.col("tx") * size).alias("x"), (F.col("ty") * size).alias("y"), *[F.lit(0).alias(c) for c in names], "ty", "tx"
     )
-    filled = placed.unionByName(corners).groupBy("image_id", "ty", "tx", "x", "y").agg(*[F.max(c).alias(c) for c in names])
+    filled = placed.unionByName(corners).groupBy("image_id", "width", "height", "ty", "tx", "x", "y").agg(*[F.max(c).alias(c) for c in names])
     return filled.groupBy("image_id", "ty", "tx").applyInPandas(build, TILES)
 
 
@@ -225,13 +235,13 @@ def edge_pixels(tiles: DataFrame, low: float = 100, high: float = 200, size: int
     return labelled.join(strong, ["image_id", "label"], "left_semi").select("image_id", "x", "y")
 
 
-def extract_pixels(px: DataFrame, boxes: DataFrame, image: str, value: str) -> DataFrame:
-    """Crop and rotate pixel rows by bilinear sampling: (image, x, y, value).
+def extract_pixels(px: DataFrame, boxes: DataFrame, image: str, value: str | Sequence[str]) -> DataFrame:
+    """Crop and rotate pixel rows by bilinear sampling: (image, x, y, value or values).
 
     ``boxes`` has (image, out_w, out_h, to_source): one affine map from output to source pixels
     per image. Positions outside the source count as zero. Aligned crops fall on single pixels.
     """
-    m = F.col("to_source")
+    m, values = F.col("to_source"), [value] if isinstance(value, str) else list(value)
     grid = boxes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1))).withColumn(
         "x", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1))
     )
@@ -250,9 +260,9 @@ def extract_pixels(px: DataFrame, boxes: DataFrame, image: str, value: str) -> D
     wanted = src.select(image, "x", "y", F.explode(F.filter(corners, lambda c: c["wt"] > 0)).alias("_c")).select(
         image, "x", "y", "_c.cx", "_c.cy", "_c.wt"
     )
-    source = px.select(image, F.col("x").alias("cx"), F.col("y").alias("cy"), F.col(value).alias("_v"))
+    source = px.select(image, F.col("x").alias("cx"), F.col("y").alias("cy"), *[F.col(v).alias(f"_v_{v}") for v in values])
     return wanted.join(source, [image, "cx", "cy"]).groupBy(image, "x", "y").agg(
-        F.round(F.sum(F.col("_v") * F.col("wt"))).cast("int").alias(value)
+        *[F.round(F.sum(F.col(f"_v_{v}") * F.col("wt"))).cast("int").alias(v) for v in values]
     )
 
 
