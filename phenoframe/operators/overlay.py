@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -45,6 +45,24 @@ def invalidate(state: DataFrame, group: str, changed: DataFrame, stages: Sequenc
     )
 
 
+def copy_to_all(
+    settings: DataFrame, state: DataFrame, group: str, values: dict[str, Column], hashes: Callable[[DataFrame], DataFrame], stages: dict[str, str | None],
+) -> tuple[DataFrame, DataFrame]:
+    """(settings, state) after ``values`` are written into the settings of every group.
+
+    ``hashes`` adds the hash columns; ``stages`` names, in order, each stage and the hash column it depends on (null: none
+    of its own). A group's stage and all later ones are marked as not done only if that hash changed.
+    """
+    copied = settings.withColumns(values)
+    names = [h for h in stages.values() if h]
+    before = hashes(settings).select(group, *[F.col(h).alias(f"_{h}") for h in names])
+    both = hashes(copied).join(before, group)
+    for stage, name in stages.items():
+        if name:
+            state = invalidate(state, group, both.where(~F.col(name).eqNullSafe(F.col(f"_{name}"))), list(stages), stage)
+    return copied, state
+
+
 def latest_versions(overrides: DataFrame, image: str, version: str) -> DataFrame:
     """Newest override per image; a newest version that is a tombstone removes the override."""
     payload = [c for c in overrides.columns if c != image]

@@ -48,6 +48,20 @@ def append_overrides(rows: DataFrame, target: str) -> None:
     rows.write.mode("append").parquet(target)
 
 
+def save_masks(mask: DataFrame, groups: DataFrame, target: str, group: str = "group_id") -> None:
+    """Replace the stored masks of ``groups`` by their pixels (group, width, height, x, y); other groups stay as they are.
+
+    A group without pixels gets one row of nulls, so its former mask goes; pixels of groups that are not listed are not written.
+    """
+    rows = groups.select(group).distinct().join(mask.select(group, "width", "height", "x", "y"), group, "left")
+    save_stage(rows, target, group)
+
+
+def load_masks(spark: SparkSession, target: str) -> DataFrame:
+    """Pixels of all stored masks."""
+    return load_stage(spark, target).where("x is not null")
+
+
 def delete_mask(mask: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     return mask.join(groups.select(group).distinct(), group, "left_anti")
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from phenoframe.operators import tiles
 from phenoframe.plans import prepared
-from phenoframe.plans.prepare import CHANNELS, prepare
+from phenoframe.plans.prepare import prepare
+from phenoframe.sources import sinks
 
 def no_box():
     return F.lit(None).cast("struct<cx:double,cy:double,w:double,h:double,deg:double>")
@@ -83,3 +84,15 @@ def test_no_images(spark, done):
     images = spark.createDataFrame([], "image_id string, width int, height int, degrees double").withColumns({"search": no_box(), "own": no_box()})
     empty = prepare(px, images, prepared.PARAMS, radius=4, size=16)
     assert empty.images.count() == empty.stems.count() == empty.process.count() == 0
+
+
+def test_masks_are_replaced_by_group(spark, tmp_path):
+    kind, target = "group_id string, width int, height int, x int, y int", str(tmp_path / "masks")
+    groups = spark.createDataFrame([("a",), ("b",)], "group_id string")
+    sinks.save_masks(spark.createDataFrame([("a", 9, 9, 1, 1), ("a", 9, 9, 2, 1), ("b", 9, 9, 3, 3), ("c", 9, 9, 0, 0)], kind), groups, target)
+    read = lambda: {(r.group_id, r.x, r.y) for r in sinks.load_masks(spark, target).collect()}
+    assert read() == {("a", 1, 1), ("a", 2, 1), ("b", 3, 3)}
+    sinks.save_masks(spark.createDataFrame([("b", 9, 9, 4, 4)], kind), groups.where("group_id = 'b'"), target)
+    assert read() == {("a", 1, 1), ("a", 2, 1), ("b", 4, 4)}
+    sinks.save_masks(spark.createDataFrame([], kind), groups.where("group_id = 'a'"), target)
+    assert read() == {("b", 4, 4)}
