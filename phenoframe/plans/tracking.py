@@ -174,10 +174,10 @@ def link_candidates(spark, folder):
     return matching.link_candidates(*part_ends(spark, folder), ["img"], 40).withColumn("cost", F.round("cost", 6))
 
 
-@query("least_cost_parent", f"WITH {ENDS} SELECT img, child, arg_min(parent, cost) AS parent, round(min(cost), 6) AS cost FROM cost GROUP BY 1, 2")
+@query("least_cost_parent", f"WITH {ENDS} SELECT img, child, arg_min(parent, (round(cost, 6), parent)) AS parent, round(min(cost), 6) AS cost FROM cost GROUP BY 1, 2")
 def least_cost_parent(spark, folder):
-    pairs = matching.link_candidates(*part_ends(spark, folder), ["img"], 40)
-    return matching.least_cost(pairs, ["img"]).withColumn("cost", F.round("cost", 6))
+    """Costs that agree to a millionth are equal; the smaller parent is taken then."""
+    return matching.least_cost(link_candidates(spark, folder), ["img"])
 
 
 @query("mutual_nearest", f"""WITH {ENDS}, c AS (SELECT img, child, parent, CAST(round(cost, 0) AS BIGINT) AS d FROM cost),
