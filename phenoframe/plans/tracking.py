@@ -133,13 +133,13 @@ def cumulative_offsets(spark, folder):
 VISIBLE = f"""WITH {SERIES}, p AS (SELECT user_id, pos, CAST(pos * 3 AS DOUBLE) AS x, CAST(floor(value) AS DOUBLE) AS y FROM ev), hid AS (SELECT DISTINCT user_id, CAST(pos * 3 AS INTEGER) AS mx, CAST(floor(value) AS INTEGER) AS my FROM ev WHERE value > 60 AND user_id % 3 <> 0),
 n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
 k AS (SELECT *, CASE WHEN nx IS NULL THEN 1 ELSE greatest(1, CAST(ceil(greatest(abs(nx - x), abs(ny - y))) AS INTEGER)) END AS cnt FROM n),
-s AS (SELECT user_id, pos, st.st AS step, x + coalesce((nx - x) * (st.st / CAST(cnt AS DOUBLE)), 0.0) AS x, y + coalesce((ny - y) * (st.st / CAST(cnt AS DOUBLE)), 0.0) AS y FROM k, range(0, 600) st(st) WHERE st.st < cnt),
+s AS (SELECT user_id, pos, st.st AS step, x + coalesce((nx - x) * (st.st / CAST(cnt AS DOUBLE)), 0.0) AS x, y + coalesce((ny - y) * (st.st / CAST(cnt AS DOUBLE)), 0.0) AS y FROM (SELECT *, unnest(range(0, cnt)) AS st FROM k) st),
 h AS (SELECT s.*, hid.mx IS NOT NULL AS hidden FROM s LEFT JOIN hid ON hid.user_id = s.user_id AND hid.mx = round_even(s.x, 0) AND hid.my = round_even(s.y, 0)),
 any_h AS (SELECT user_id, bool_or(hidden) AS touched FROM h GROUP BY 1),
 r AS (SELECT h.*, CASE WHEN NOT hidden AND coalesce(lag(hidden) OVER (PARTITION BY user_id ORDER BY pos, step), true) THEN 1 ELSE 0 END AS st FROM h),
 g AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY pos, step) AS piece FROM r)
-SELECT user_id, CAST(piece AS BIGINT) AS piece, count(*) AS n_points, round(sum(x), 3) AS sum_x FROM g JOIN any_h USING (user_id) WHERE touched AND NOT hidden GROUP BY 1, 2
-UNION ALL SELECT user_id, 1, count(*), round(sum(x), 3) FROM p JOIN any_h USING (user_id) WHERE NOT touched GROUP BY 1"""
+SELECT user_id, CAST(piece AS BIGINT) AS piece, count(*) AS n_points, CAST((sum(CAST(floor(x * 1000000 + 0.5) AS BIGINT)) + 500) // 1000 AS DOUBLE) / 1000 AS sum_x FROM g JOIN any_h USING (user_id) WHERE touched AND NOT hidden GROUP BY 1, 2
+UNION ALL SELECT user_id, 1, count(*), CAST((sum(CAST(floor(x * 1000000 + 0.5) AS BIGINT)) + 500) // 1000 AS DOUBLE) / 1000 FROM p JOIN any_h USING (user_id) WHERE NOT touched GROUP BY 1"""
 
 
 @query("visible_runs", VISIBLE)
@@ -149,7 +149,14 @@ def visible_runs(spark, folder):
     )
     mask = points.where("value > 60 and user_id % 3 <> 0").select("user_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
     pieces = runs.visible_runs(points.drop("value"), mask, ["user_id"], "pos", ["user_id"])
-    return pieces.groupBy("user_id", "piece").agg(F.count(F.lit(1)).alias("n_points"), F.round(F.sum("x"), 3).alias("sum_x"))
+    return piece_sums(pieces)
+
+
+def piece_sums(pieces):
+    """Sums in whole millionths, rounded half up: a sum of doubles would depend on the order of the rows."""
+    millionths = F.sum(F.floor(F.col("x") * 1000000 + 0.5))
+    return pieces.groupBy("user_id", "piece").agg(F.count(F.lit(1)).alias("n_points"), millionths.alias("_s")).select(
+        "user_id", "piece", "n_points", (F.expr("(_s + 500) div 1000").cast("double") / 1000).alias("sum_x"))
 
 
 ENDS = """kid AS (SELECT p_partkey AS child, p_partkey % 7 AS img, CAST(p_partkey * 13 % 400 AS INTEGER) AS x, CAST(p_partkey * 29 % 300 AS INTEGER) AS y, CAST(p_size * 7 AS DOUBLE) AS angle FROM part WHERE p_partkey % 2 = 0),
