@@ -8,7 +8,7 @@ from phenoframe.operators import ownership
 from phenoframe.plans.registry import query, table
 
 SPLIT = """p AS (SELECT l_orderkey % 11 AS img, l_orderkey AS seg, l_linenumber AS pos, l_partkey % 61 AS x, l_suppkey % 7 * 9 + l_linenumber AS y FROM lineitem
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1),
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1),
 s AS (SELECT DISTINCT img, seg FROM p),
 r AS (SELECT s.img, s.seg, w.owner, o.seg AS parent FROM s, LATERAL (SELECT unnest(CASE WHEN s.seg % 4 = 0 THEN [s.seg % 3, 3] ELSE [s.seg % 3] END) AS owner) w
   LEFT JOIN s o ON o.seg = s.seg - 11 * 32 AND s.seg % 5 <> 0),
@@ -46,7 +46,7 @@ def historical_fragments(spark, folder):
     key, line = F.col("l_orderkey"), table(spark, folder, "lineitem")
     x, y = F.col("l_partkey") % 61, F.col("l_suppkey") % 7 * 9 + F.col("l_linenumber")
     points = line.groupBy((key % 11).alias("img"), key.alias("seg"), F.col("l_linenumber").alias("pos")).agg(
-        F.min_by(F.struct(x.alias("x"), y.alias("y")), "l_partkey").alias("p")).select("img", "seg", "pos", "p.x", "p.y")
+        F.min_by(F.struct(x.alias("x"), y.alias("y")), F.struct("l_partkey", "l_suppkey")).alias("p")).select("img", "seg", "pos", "p.x", "p.y")
     seg = F.col("seg")
     owners = F.when(seg % 4 == 0, F.array(seg % 3, F.lit(3).cast("long"))).otherwise(F.array(seg % 3))
     segments = points.select("img", "seg").distinct()
