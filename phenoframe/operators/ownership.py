@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.operators.runs import fragments
+from phenoframe.operators.spatial import nearest
 from phenoframe.runtime import cut
 
 
@@ -48,10 +49,11 @@ def historical_fragments(
     entries = places.withColumn("owner", F.explode(F.array_except("_label", "_team"))).groupBy(*of).agg(
         F.min_by(F.struct("x", "y"), "pos").alias("_in"))
     ends = points.groupBy(*at).agg(F.max_by(F.struct("x", "y"), "pos").alias("_end")).join(routed.select(*of).distinct(), at)
-    near = (F.col("_end.x") - F.col("_in.x")) ** 2 + (F.col("_end.y") - F.col("_in.y")) ** 2
-    guests = entries.join(ends.withColumnRenamed("seg", "parent"), [*keys, "owner"]).where(
-        (F.col("parent") != F.col("seg")) & (F.col("_end.y") <= F.col("_in.y"))).groupBy(*of).agg(
-        F.min_by("parent", F.struct(near, F.col("parent"))).alias("parent"))
+    # An owner that is a guest in a segment has no end there, so no segment becomes its own parent.
+    asked = cut(entries.select(*of, "_in.x", "_in.y"), "entries")
+    lower = ends.select(*keys, "owner", "_end.x", "_end.y", F.col("seg").alias("parent"))
+    found = nearest(asked, lower, [*keys, "owner"], above=True, rank="parent")
+    guests = asked.join(found.select(*keys, "owner", "x", "y", "parent"), [*keys, "owner", "x", "y"]).select(*of, "parent")
     everyone = cut(routed.groupBy(*of).agg(F.min("parent").alias("parent")).unionByName(guests), "owners")
 
     allowed = _sets(everyone, at, _allowed=F.col("owner"))

@@ -66,9 +66,12 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, keys: S
     return points.join(found, [*keys, "x", "y"], "left")
 
 
-def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], *, above: bool = False, rank: str | None = None) -> DataFrame:
     """Exact nearest target at any distance and for any coordinates.
 
+    With ``above`` only targets with ``ty <= y`` count, and positions without one have no row. ``rank`` names a column of the
+    targets whose smallest value decides between equal distances and is returned; without it (ty, tx) decides.
+
     Targets form a pyramid of occupied cells, as high as they are spread. Each position starts with the top cell and
     descends level by level, keeping only the cells that can still hold its nearest target: the
     smallest upper bound of a position discards every cell whose lower bound exceeds it. A few
@@ -76,7 +79,10 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataF
     Returns (keys, x, y, tx, ty, d2).
     """
     # The pyramid stands on the smallest target coordinates; points may lie anywhere.
-    base = cut(targets.select(*keys, "x", "y").distinct(), "targets")
+    if rank:
+        base = cut(targets.groupBy(*keys, "x", "y").agg(F.min(rank).alias("_rank")), "targets")
+    else:
+        base = cut(targets.select(*keys, "x", "y").distinct(), "targets")
     x0, y0, x1, y1 = base.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     x0, y0, x1, y1 = (0, 0, 0, 0) if x0 is None else (x0, y0, x1, y1)
     kinds = dict(base.dtypes)
@@ -94,10 +100,10 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataF
         size, parent = 1 << (CELL_BITS * level), 1 << (CELL_BITS * (level + 1))
         cx, cy = corner(size)
         px, py = corner(parent)
-        cells = base.select(*keys, cx.alias("_cx"), cy.alias("_cy"), px.alias("_px"), py.alias("_py")).distinct()
+        cells = base.groupBy(*keys, cx.alias("_cx"), cy.alias("_cy"), px.alias("_px"), py.alias("_py")).agg(F.min("y").alias("_top"))
         # At most 64 children per parent cell.
         children = cells.groupBy(*keys, "_px", "_py").agg(
-            F.collect_list(F.struct("_cx", "_cy")).alias("_children")
+            F.collect_list(F.struct("_cx", "_cy", "_top")).alias("_children")
         )
 
         def bound(c: Column, p: str, far: bool) -> Column:
@@ -110,10 +116,12 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataF
             dx, dy = bound(child["_cx"], "x", far), bound(child["_cy"], "y", far)
             return dx * dx + dy * dy
 
+        # A cell whose topmost target lies deeper holds none; any other keeps one within its upper bound.
+        usable = F.filter("_children", lambda c: c["_top"] <= F.col("y")) if above else F.col("_children")
         joined = found.join(children, [*keys, "_px", "_py"]).select(
             *keys, "x", "y",
             F.transform(
-                "_children",
+                usable,
                 lambda c: F.struct(squared(c, False).alias("near"), squared(c, True).alias("far"), c["_cx"].alias("cx"), c["_cy"].alias("cy")),
             ).alias("_c"),
         )
@@ -127,9 +135,12 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataF
             *keys, "x", "y", F.explode(F.filter("_c", lambda c: c["near"] <= F.col("_far"))).alias("_k")
         ).select(*keys, "x", "y", F.col("_k.cx").alias("_px"), F.col("_k.cy").alias("_py"))
     d2 = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
-    best = found.groupBy(*keys, "x", "y").agg(F.min(F.struct(d2.alias("d2"), F.col("_py"), F.col("_px"))).alias("_b"))
+    if rank:
+        found = found.join(base.select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), "_rank"), [*keys, "_px", "_py"])
+    order = ["_rank"] if rank else []
+    best = found.groupBy(*keys, "x", "y").agg(F.min(F.struct(d2.alias("d2"), *order, F.col("_py"), F.col("_px"))).alias("_b"))
     place = {"x": F.col("x") + x0, "y": F.col("y") + y0, "tx": F.col("_b._px") + x0, "ty": F.col("_b._py") + y0}
-    return best.select(*keys, *[v.cast(kinds[k[-1]]).alias(k) for k, v in place.items()], F.col("_b.d2").alias("d2"))
+    return best.select(*keys, *[v.cast(kinds[k[-1]]).alias(k) for k, v in place.items()], F.col("_b.d2").alias("d2"), *[F.col("_b._rank").alias(rank) for _ in order])
 
 
 def minimum_gap(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
