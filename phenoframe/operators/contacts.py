@@ -215,8 +215,9 @@ def arrival_sections(routes: DataFrame, sections: DataFrame, segments: DataFrame
     own = profile.select(*keys, F.col("seg").alias("parent"), interior_width(F.col("widths")).alias("_own"))
     across = -F.sin(normal) * F.col("parent_x") + F.cos(normal) * F.col("parent_y")
     width = F.coalesce("_w", "_own")
-    return routes.join(segments.select(*keys, "seg", "upper_angle"), [*keys, "seg"]).join(held, [*keys, "parent", "owner"], "left").join(
-        own, [*keys, "parent"], "left").select(
+    # Tables by segment look small to the planner where arrays or exploded rows stand behind them; they are never broadcast.
+    return routes.join(segments.select(*keys, "seg", "upper_angle").hint("merge"), [*keys, "seg"]).join(
+        held.hint("merge"), [*keys, "parent", "owner"], "left").join(own.hint("merge"), [*keys, "parent"], "left").select(
         *routes.columns, width.alias("width"), F.when(width.isNotNull(), across + F.coalesce("offset", F.lit(0.0))).alias("center"))
 
 
@@ -235,13 +236,14 @@ def carried_sections(
     at = [*keys, "seg"]
     shared = arrival_sections(routes, sections, segments, profile, keys)
     past = sections.groupBy(*keys, F.col("seg").alias("parent")).agg(F.max("parallel").alias("_par"), F.max("travelled").alias("_trav"))
-    shared = shared.join(past, [*keys, "parent"], "left")
+    shared = shared.join(past.hint("merge"), [*keys, "parent"], "left")
     facts = shared.groupBy(*at).agg(
         F.count(F.lit(1)).alias("_n"), F.count("width").alias("_known"), F.min(F.col("center") - F.col("width") / 2).alias("_left"),
         F.max(F.col("center") + F.col("width") / 2).alias("_right"), F.max("width").alias("_widest"), F.sum("width").alias("_all"),
         F.coalesce(F.max("_par"), F.lit(False)).alias("_par"), F.coalesce(F.max("_trav"), F.lit(0.0)).alias("_trav"), F.collect_list("angle").alias("_angles"))
     spread = F.array_max(F.transform("_angles", lambda a: F.array_max(F.transform("_angles", lambda b: turn(a, b)))))
-    marked = facts.join(profile.where("widths is not null"), at).join(proven.select(*at, F.lit(True).alias("_proof")).distinct(), at, "left")
+    marked = facts.join(profile.where("widths is not null").hint("merge"), at).join(
+        proven.select(*at, F.lit(True).alias("_proof")).distinct().hint("merge"), at, "left")
     window = F.greatest(F.lit(1), F.rint(F.col("_widest") / F.greatest(spacing(F.col("path")), F.lit(TINY))).cast("int"))
     marked = marked.withColumns({"_window": window, "_excess": F.col("_right") - F.col("_left") - F.col("_widest"), "_sine": F.sin(F.radians(spread / 2))})
     observed = median(_part(F.col("widths"), F.lit(0), 2 * F.col("_window")))
@@ -253,6 +255,6 @@ def carried_sections(
     per_segment = marked.where("_n = 1 or _known = _n").select(
         *at, F.when(~many, interior_width(F.col("widths"))).alias("_alone"), ((F.col("_left") + F.col("_right")) / 2).alias("_middle"), scale.alias("_scale"),
         many.alias("bundle"), (many & (beyond | F.col("_par"))).alias("parallel"), F.when(many, travelled).otherwise(0.0).alias("travelled"))
-    return shared.join(per_segment, at).select(
+    return shared.join(per_segment.hint("merge"), at).select(
         *at, "owner", F.coalesce("_alone", "width").alias("width"),
         F.when(F.col("bundle"), (F.col("center") - F.col("_middle")) * F.col("_scale")).otherwise(0.0).alias("offset"), "bundle", "parallel", "travelled")
