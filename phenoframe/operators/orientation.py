@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from phenoframe.operators.forest import chain_members, chain_totals
+from phenoframe.operators.forest import descending
 from phenoframe.runtime import cut
 
 
@@ -35,9 +35,8 @@ def upward_tips(segments: DataFrame, links: DataFrame, owned: DataFrame, held: D
     pairs = tips.join(arrivals, [*keys, "lower_junction"]).where("arrival <> seg").join(marked, [*keys, "arrival"], "left").where(
         "_tip is null or arrival > seg").select(*at, "arrival", near.alias("near"))
     pairs = cut(pairs, "pairs")
-    _, jumps = chain_totals(linked.select(*at, "parent"), keys, "seg", "parent", circles=True)
-    above = chain_members(pairs.select(*keys, "arrival", F.col("arrival").alias("seg")).distinct(), jumps, keys, "seg")
-    rooted = pairs.join(above.select(*keys, "arrival", "seg").distinct(), [*at, "arrival"], "left_anti")
+    below = descending(pairs, linked, keys, "seg", "parent", "arrival", "seg")
+    rooted = pairs.join(below, [*at, "arrival"], "left_anti")
     return rooted.groupBy(*at).agg(F.min_by("arrival", F.struct("near", "arrival")).alias("anchor"))
 
 
