@@ -12,16 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from phenoframe.operators import chains, components, contacts, pixels
+from phenoframe.operators import chains, components, contacts, matching, pixels
 from phenoframe.operators.evidence import gap_gate, least_turn, line_direction
-from phenoframe.operators.matching import link_candidates
 from phenoframe.operators.runs import next_point
 from phenoframe.operators.skeleton import widths
+from phenoframe.operators.spatial import nearest
 from phenoframe.runtime import cut
 
 # Weights of the routing score.
 ORDER_WEIGHT = 1e-6
 FOREIGN_WEIGHT = 180.0
+NOTHING = -(1 << 62)
 
 
 def end_junctions(ends: DataFrame, junctions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -93,72 +94,99 @@ def link_rounds(
     candidate stay unowned. ``stems`` has (keys, owner, x, y).
     """
     keys = list(keys)
-    children = segments.select(*keys, F.col("seg").alias("child"), F.col("upper_x").alias("x"), F.col("upper_y").alias("y"), F.col("upper_angle").alias("angle"))
-    lower = segments.where("not lower_is_tip").select(
-        *keys, F.col("seg").alias("parent"), F.col("lower_x").alias("x"), F.col("lower_y").alias("y"),
-        F.col("lower_angle").alias("angle"), F.lit(False).alias("is_stem"),
-    )
+    # Open segments whose upper ends agree have the same candidates and are decided as one; only a segment that does
+    # not descend could meet its own lower end, and stays alone. Without the gate every part fits any other.
+    part = F.col("component").cast("long") if gate else F.lit(None).cast("long")
+    flat = F.col("lower_y") <= F.col("upper_y")
+    same = [*keys, "x", "y", "angle", "_part", "_self"]
+    tops = segments.join(forced.select(*keys, "seg"), [*keys, "seg"], "left_anti").select(
+        *keys, "seg", F.col("upper_x").alias("x"), F.col("upper_y").alias("y"), F.col("upper_angle").alias("angle"),
+        F.coalesce(part, F.lit(NOTHING)).alias("_part"), F.coalesce(F.when(flat, F.col("seg")), F.lit(NOTHING)).alias("_self"))
+    classes = cut(tops.groupBy(*same).agg(F.min("seg").alias("child")), "classes")
+    members = cut(tops.join(classes, same).select(*keys, "seg", "child"), "members")
+    children = classes.select(*keys, "child", "x", "y", "angle", F.when(F.col("_part") != NOTHING, F.col("_part")).alias("part"))
     # Stems take negative ids, so they can never collide with pixel codes.
-    roots = stems.select(*keys, (-1 - F.col("owner")).cast("long").alias("parent"), "x", "y", F.lit(90.0).alias("angle"), F.lit(True).alias("is_stem"))
-    places = lower.unionByName(roots).select(*keys, "parent", F.col("x").alias("parent_x"), F.col("y").alias("parent_y"))
-    pairs = link_candidates(children, lower.unionByName(roots), keys, spacing).where("child <> parent")
-    pairs = cut(pairs, "pairs")
+    roots = stems.select(*keys, (-1 - F.col("owner")).cast("long").alias("seg"), F.col("owner").cast("int").alias("owner"), "x", "y")
+    given = cut(
+        roots.select(*keys, "seg", "owner").unionByName(forced.select(*keys, "seg", F.col("owner").cast("int").alias("owner"))), "owned")
+    lower = segments.where("not lower_is_tip").select(
+        *keys, "seg", F.col("lower_x").alias("x"), F.col("lower_y").alias("y"), F.col("lower_angle").alias("angle"), F.lit(False).alias("is_stem"),
+        part.alias("part"), flat.alias("flat"))
+    ends = lower.unionByName(roots.select(
+        *keys, "seg", "x", "y", F.lit(90.0).alias("angle"), F.lit(True).alias("is_stem"), F.lit(None).cast("long").alias("part"), F.lit(False).alias("flat")))
+    places = ends.select(*keys, F.col("seg").alias("parent"), F.col("x").alias("parent_x"), F.col("y").alias("parent_y"))
+    parents = ends.join(given, [*keys, "seg"], "left").join(members.withColumnRenamed("child", "open"), [*keys, "seg"], "left")
+    parents = cut(parents.where("owner is not null or open is not null").withColumnRenamed("seg", "parent"), "parents")
+    pairs, dead = _useful_links(children, parents, keys, spacing)
     if gate:
-        comps = segments.select(*keys, "seg", "component")
-        named = pairs.join(comps.select(*keys, F.col("seg").alias("child"), F.col("component").alias("child_label")), [*keys, "child"]).join(
-            comps.select(*keys, F.col("seg").alias("parent"), F.col("component").alias("parent_label")), [*keys, "parent"], "left"
-        )
-        rooted = named.where("parent_label is null or child_label is null")
-        judged = gap_gate(named.where("parent_label is not null and child_label is not null"), labelled, keys)
-        pairs = cut(rooted.unionByName(judged).select(*keys, "child", "parent", "cost"), "gated")
-    owned = cut(
-        stems.select(*keys, (-1 - F.col("owner")).cast("long").alias("seg"), F.col("owner").cast("int").alias("owner"), F.lit(None).cast("long").alias("parent"))
-        .unionByName(forced.select(*keys, "seg", F.col("owner").cast("int").alias("owner"), F.lit(None).cast("long").alias("parent"))),
-        "owned",
-    )
-    open_ = cut(segments.select(*keys, "seg").join(forced.select(*keys, "seg"), [*keys, "seg"], "left_anti"), "open")
+        rooted = pairs.where("parent_part is null or part is null")
+        judged = pairs.where("parent_part is not null and part is not null").withColumnsRenamed({"part": "child_label", "parent_part": "parent_label"})
+        judged = gap_gate(judged, labelled, keys).withColumnsRenamed({"child_label": "part", "parent_label": "parent_part"})
+        pairs = cut(rooted.unionByName(judged), "gated")
+    pairs = pairs.select(*keys, "child", "parent", "open", "owner", "cost")
+    rounds = []
     while True:
-        state = pairs.join(open_.select(*keys, F.col("seg").alias("child")), [*keys, "child"]).join(
-            owned.select(*keys, F.col("seg").alias("parent"), "owner"), [*keys, "parent"], "left"
-        ).join(open_.select(*keys, F.col("seg").alias("parent"), F.lit(True).alias("_open")), [*keys, "parent"], "left")
-        best = state.groupBy(*keys, "child").agg(
+        best = pairs.groupBy(*keys, "child").agg(
             F.min(F.when(F.col("owner").isNotNull(), F.struct("cost", "parent", "owner"))).alias("_b"),
-            F.min(F.when(F.col("_open"), F.col("cost"))).alias("_wait"),
-        )
-        won = cut(
-            best.where("_b is not null and (_wait is null or _b.cost <= _wait)").select(
-                *keys, F.col("child").alias("seg"), F.col("_b.owner").alias("owner"), F.col("_b.parent").alias("parent")
-            ),
-            "won",
+            F.min(F.when(F.col("owner").isNull(), F.col("cost"))).alias("_wait"),
         )
+        won = best.where("_b is not null and (_wait is null or _b.cost <= _wait)").select(*keys, "child", F.col("_b.owner").alias("owner"), F.col("_b.parent").alias("parent"))
         # Nothing owned is reachable any more once no open candidate is left either.
-        lost = best.where("_b is null and _wait is null").select(*keys, F.col("child").alias("seg"))
-        none = open_.join(pairs.select(*keys, F.col("child").alias("seg")).distinct(), [*keys, "seg"], "left_anti")
-        gone = won.select(*keys, "seg").unionByName(lost).unionByName(none)
-        left = cut(open_.join(gone, [*keys, "seg"], "left_anti"), "open")
-        if left.count() == open_.count():
+        lost = dead.join(pairs.select(*keys, "child").distinct(), [*keys, "child"], "left_anti").select(
+            *keys, "child", F.lit(None).cast("int").alias("owner"), F.lit(None).cast("long").alias("parent"))
+        decided = cut(won.unionByName(lost), "decided")
+        if decided.isEmpty():
             break
-        owned, open_ = cut(owned.unionByName(won), "owned"), left
-    linked = owned.where("parent is not null").join(places, [*keys, "parent"], "left")
-    held = _nearest_owned(owned.where("parent is null and seg >= 0"), owned, segments, places, keys)
-    return linked.select(*keys, "seg", "owner", "parent", "parent_x", "parent_y").unionByName(held)
+        rounds.append(decided.where("owner is not null"))
+        dead = cut(dead.join(decided.select(*keys, "child"), [*keys, "child"], "left_anti"), "dead")
+        news = decided.select(*keys, F.col("child").alias("open"), F.col("owner").alias("_now"), F.lit(True).alias("_known"))
+        # An owner's name makes a candidate usable; a lost one is dropped.
+        pairs = cut(pairs.join(decided.select(*keys, "child"), [*keys, "child"], "left_anti").join(news, [*keys, "open"], "left").where(
+            "_known is null or _now is not null").select(*keys, "child", "parent", "open", F.coalesce("owner", "_now").alias("owner"), "cost"), "pairs")
+    linked = children.select(*keys, "child", F.lit(None).cast("int").alias("owner"), F.lit(None).cast("long").alias("parent")).where("false")
+    for found in rounds:
+        linked = linked.unionByName(found)
+    linked = cut(members.join(linked, [*keys, "child"]).select(*keys, "seg", "owner", "parent"), "linked")
+    held = _nearest_owned(given.where("seg >= 0"), given.unionByName(linked.select(*keys, "seg", "owner")), segments, places, keys)
+    return linked.join(places, [*keys, "parent"], "left").select(*keys, "seg", "owner", "parent", "parent_x", "parent_y").unionByName(held)
+
+
+def _useful_links(children: DataFrame, parents: DataFrame, keys: Sequence[str], spacing: float) -> tuple[DataFrame, DataFrame]:
+    """The candidates that can decide a child or make it wait, and the children (keys, child) that no owner can reach surely.
+
+    A candidate that is owned, or is sure to be, will be preferred to all that cost more: neither do they win, nor does the
+    child wait for them. So no child needs candidates beyond the cheapest of these. Children without any keep all.
+    """
+    usable = parents.where("owner is not null")
+    rest, bounds = cut(children, "children"), []
+    while True:
+        bound = matching.cheapest_cost(rest, usable, keys, spacing)
+        rest = cut(rest.join(bound.select(*keys, "child"), [*keys, "child"], "left_anti"), "rest")
+        bound = cut(bound, "reached")
+        bounds.append(bound)
+        if rest.isEmpty() or bound.isEmpty():
+            break
+        usable = parents.join(bound.select(*keys, F.col("child").alias("open")), [*keys, "open"], "left_semi")
+    known = bounds[0]
+    for bound in bounds[1:]:
+        known = known.unionByName(bound)
+    pairs = matching.links_up_to(children.join(known, [*keys, "child"], "left"), parents, keys, spacing)
+    return cut(pairs, "pairs"), rest.select(*keys, "child")
 
 
 def _nearest_owned(held, owned, segments, places, keys) -> DataFrame:
-    """Parents of segments kept by history: nearest earlier end of the same owner."""
-    tops = segments.select(*keys, "seg", "upper_x", "upper_y")
-    own = held.select(*keys, "seg", "owner").join(tops, [*keys, "seg"])
+    """Parents of segments kept by history: nearest earlier end of the same owner, by Manhattan distance, the smaller parent first.
+
+    Earlier is what begins higher up; a stem is earlier than what begins inside the image.
+    """
+    tops = segments.select(*keys, "seg", F.col("upper_x").alias("x"), F.col("upper_y").alias("y"))
+    own = cut(held.select(*keys, "seg", "owner").join(tops, [*keys, "seg"]), "held")
     ends = owned.select(*keys, F.col("seg").alias("parent"), "owner").join(places, [*keys, "parent"]).join(
         segments.select(*keys, F.col("seg").alias("parent"), F.col("upper_y").alias("_top")), [*keys, "parent"], "left"
-    )
-    # The nearest end by Manhattan distance lies in one of the four quadrants; owners of a group
-    # hold few ends, and the minimum is taken map-side.
-    pairs = own.join(ends, [*keys, "owner"]).where("seg <> parent and coalesce(_top, -1) < upper_y")
-    gap = F.abs(F.col("parent_x") - F.col("upper_x")) + F.abs(F.col("parent_y") - F.col("upper_y"))
-    best = pairs.groupBy(*keys, "seg", "owner").agg(F.min(F.struct(gap.alias("g"), F.col("parent"), F.col("parent_x"), F.col("parent_y"))).alias("_b"))
-    return own.select(*keys, "seg", "owner").join(best, [*keys, "seg", "owner"], "left").select(
-        *keys, "seg", "owner", F.col("_b.parent").alias("parent"), F.col("_b.parent_x").alias("parent_x"), F.col("_b.parent_y").alias("parent_y")
-    )
+    ).select(*keys, "owner", "parent", F.col("parent_x").alias("x"), F.col("parent_y").alias("y"), (F.coalesce("_top", F.lit(-1)) + 1).alias("after"))
+    found = nearest(own, ends, [*keys, "owner"], rank="parent", gate="after", manhattan=True)
+    return own.join(found, [*keys, "owner", "x", "y"], "left").select(
+        *keys, "seg", "owner", "parent", F.col("tx").alias("parent_x"), F.col("ty").alias("parent_y"))
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -66,11 +66,16 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, keys: S
     return points.join(found, [*keys, "x", "y"], "left")
 
 
-def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], *, above: bool = False, rank: str | None = None) -> DataFrame:
+def nearest(
+    points: DataFrame, targets: DataFrame, keys: Sequence[str], *, above: bool = False, rank: str | None = None, gate: str | None = None,
+    manhattan: bool = False,
+) -> DataFrame:
     """Exact nearest target at any distance and for any coordinates.
 
-    With ``above`` only targets with ``ty <= y`` count, and positions without one have no row. ``rank`` names a column of the
-    targets whose smallest value decides between equal distances and is returned; without it (ty, tx) decides.
+    With ``above`` only targets with ``ty <= y`` count, with ``gate`` only those whose column of that name is at most ``y``;
+    positions without one have no row. ``rank`` names a column of the targets whose smallest value decides between equal
+    distances and is returned; without it (ty, tx) decides. With ``manhattan`` the distance is the sum of both differences,
+    and ``d2`` holds it unsquared.
 
     Targets form a pyramid of occupied cells, as high as they are spread. Each position starts with the top cell and
     descends level by level, keeping only the cells that can still hold its nearest target: the
@@ -79,14 +84,16 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], *, above
     Returns (keys, x, y, tx, ty, d2).
     """
     # The pyramid stands on the smallest target coordinates; points may lie anywhere.
+    limited = gate or ("y" if above else None)
+    base = targets.select(*keys, "x", "y", F.col(limited or "y").alias("_gate"), *([F.col(rank).alias("_rank")] if rank else []))
     if rank:
-        base = cut(targets.groupBy(*keys, "x", "y").agg(F.min(rank).alias("_rank")), "targets")
+        base = cut(base.groupBy(*keys, "x", "y", "_gate").agg(F.min("_rank").alias("_rank")), "targets")
     else:
-        base = cut(targets.select(*keys, "x", "y").distinct(), "targets")
+        base = cut(base.distinct(), "targets")
     x0, y0, x1, y1 = base.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     x0, y0, x1, y1 = (0, 0, 0, 0) if x0 is None else (x0, y0, x1, y1)
     kinds = dict(base.dtypes)
-    base = base.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+    base = base.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0, "_gate": F.col("_gate") - y0})
     points = points.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
     levels = 1
     while (1 << (CELL_BITS * levels)) <= max(x1 - x0, y1 - y0):
@@ -100,7 +107,7 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], *, above
         size, parent = 1 << (CELL_BITS * level), 1 << (CELL_BITS * (level + 1))
         cx, cy = corner(size)
         px, py = corner(parent)
-        cells = base.groupBy(*keys, cx.alias("_cx"), cy.alias("_cy"), px.alias("_px"), py.alias("_py")).agg(F.min("y").alias("_top"))
+        cells = base.groupBy(*keys, cx.alias("_cx"), cy.alias("_cy"), px.alias("_px"), py.alias("_py")).agg(F.min("_gate").alias("_top"))
         # At most 64 children per parent cell.
         children = cells.groupBy(*keys, "_px", "_py").agg(
             F.collect_list(F.struct("_cx", "_cy", "_top")).alias("_children")
@@ -114,10 +121,10 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], *, above
 
         def squared(child: Column, far: bool) -> Column:
             dx, dy = bound(child["_cx"], "x", far), bound(child["_cy"], "y", far)
-            return dx * dx + dy * dy
+            return dx + dy if manhattan else dx * dx + dy * dy
 
-        # A cell whose topmost target lies deeper holds none; any other keeps one within its upper bound.
-        usable = F.filter("_children", lambda c: c["_top"] <= F.col("y")) if above else F.col("_children")
+        # A cell whose smallest gate lies deeper holds no target; any other keeps one within its upper bound.
+        usable = F.filter("_children", lambda c: c["_top"] <= F.col("y")) if limited else F.col("_children")
         joined = found.join(children, [*keys, "_px", "_py"]).select(
             *keys, "x", "y",
             F.transform(
@@ -134,9 +141,11 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], *, above
         found = merged.select(
             *keys, "x", "y", F.explode(F.filter("_c", lambda c: c["near"] <= F.col("_far"))).alias("_k")
         ).select(*keys, "x", "y", F.col("_k.cx").alias("_px"), F.col("_k.cy").alias("_py"))
-    d2 = (F.col("x") - F.col("_px")) * (F.col("x") - F.col("_px")) + (F.col("y") - F.col("_py")) * (F.col("y") - F.col("_py"))
+    dx, dy = F.col("x") - F.col("_px"), F.col("y") - F.col("_py")
+    d2 = F.abs(dx) + F.abs(dy) if manhattan else dx * dx + dy * dy
     if rank:
-        found = found.join(base.select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), "_rank"), [*keys, "_px", "_py"])
+        found = found.join(base.select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), "_gate", "_rank"), [*keys, "_px", "_py"])
+        found = found.where("_gate <= y") if limited else found
     order = ["_rank"] if rank else []
     best = found.groupBy(*keys, "x", "y").agg(F.min(F.struct(d2.alias("d2"), *order, F.col("_py"), F.col("_px"))).alias("_b"))
     place = {"x": F.col("x") + x0, "y": F.col("y") + y0, "tx": F.col("_b._px") + x0, "ty": F.col("_b._py") + y0}
