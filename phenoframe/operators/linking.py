@@ -542,22 +542,26 @@ def _publish(routes, todo, flows, lowers, decided, keys, upgrades=None) -> DataF
     ).select(*keys, "seg", "owner", F.lit(True).alias("_proven")).distinct()
     if upgrades is not None:
         beyond = beyond.unionByName(upgrades.select(*keys, "seg", "owner", F.lit(True).alias("_proven"))).distinct()
-    kept = routes.join(facts, [*keys, "seg"]).join(beyond, [*keys, "seg", "owner"], "left").where(
+    kept = cut(routes.join(facts, [*keys, "seg"]).join(beyond, [*keys, "seg", "owner"], "left").where(
         "support_owner is null or support_owner = owner or _proven"
-    ).select(*routes.columns)
+    ).select(*routes.columns), "kept")
     have = kept.select(*keys, "seg", "owner")
     # A fragment nothing reaches needs majority support; any reached one keeps its old owner.
     reached = routes.select(*keys, "seg").distinct().withColumn("_reached", F.lit(True))
-    missing = facts.join(decided, [*keys, "seg"], "left_semi").where("support_owner is not null").join(reached, [*keys, "seg"], "left").where("_reached or share >= 0.5").select(
+    missing = cut(facts.join(decided, [*keys, "seg"], "left_semi").where("support_owner is not null").join(reached, [*keys, "seg"], "left").where("_reached or share >= 0.5").select(
         *keys, "seg", F.col("support_owner").cast("int").alias("owner"), "upper_x", "upper_y"
-    ).join(have, [*keys, "seg", "owner"], "left_anti")
+    ).join(have, [*keys, "seg", "owner"], "left_anti"), "missing")
     spots = flows.where("until is null").join(lowers.select(*keys, "seg", F.col("lower_x").alias("fx"), F.col("lower_y").alias("fy")), [*keys, "seg"]).select(
         *keys, F.col("seg").alias("parent"), "owner", "fx", "fy", "angle"
     )
-    d2 = (F.col("fx") - F.col("upper_x")) ** 2 + (F.col("fy") - F.col("upper_y")) ** 2
-    restored = missing.join(spots, [*keys, "owner"]).where("fy <= upper_y").groupBy(*keys, "seg", "owner").agg(
-        F.min(F.struct(d2.alias("d2"), F.col("parent"), F.col("fx"), F.col("fy"), F.col("angle"))).alias("_b")
-    ).select(*keys, "seg", "owner", F.col("_b.parent").alias("parent"), F.col("_b.fx").alias("parent_x"), F.col("_b.fy").alias("parent_y"), F.col("_b.angle").alias("angle"), F.lit(None).cast("int").alias("until"))
+    # The nearest flow of the owner that ends no deeper than the fragment begins, the smaller segment first.
+    found = nearest(
+        missing.select(*keys, "owner", F.col("upper_x").alias("x"), F.col("upper_y").alias("y")),
+        spots.select(*keys, "owner", "parent", F.col("fx").alias("x"), F.col("fy").alias("y")), [*keys, "owner"], above=True, rank="parent")
+    headings = spots.groupBy(*keys, "owner", "parent").agg(F.min("angle").alias("angle"))
+    restored = missing.join(found.withColumnsRenamed({"x": "upper_x", "y": "upper_y"}), [*keys, "owner", "upper_x", "upper_y"]).join(
+        headings, [*keys, "owner", "parent"]).select(
+        *keys, "seg", "owner", "parent", F.col("tx").alias("parent_x"), F.col("ty").alias("parent_y"), "angle", F.lit(None).cast("int").alias("until"))
     every = kept.unionByName(restored)
     # A single owner leaves along the segment's own direction, shared owners keep theirs.
     count = every.where("until is null").groupBy(*keys, "seg").agg(F.count_distinct("owner").alias("_n"))
