@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from phenoframe.functions import geometry as g
 from phenoframe.operators import stems
 from phenoframe.plans.registry import query, table
+from phenoframe.runtime import cut
 
 # Quarter turns and boxes without rotation: maps are whole numbers and halves, so both sides agree to the last digit.
 CROPS = """s AS (SELECT p_partkey AS id, CAST(40 + 2 * (p_partkey % 30) AS DOUBLE) AS w, CAST(30 + 2 * p_size AS DOUBLE) AS h, p_partkey % 4 AS q, p_partkey % 3 = 0 AS own FROM part),
@@ -28,11 +29,14 @@ def plate_crop(spark, folder):
         key.alias("id"), (40 + 2 * (key % 30)).cast("double").alias("w"), (30 + 2 * F.col("p_size")).cast("double").alias("h"),
         (key % 4 * 90.0).alias("deg"), F.when(key % 3 == 0, g.box(*[F.lit(v) for v in (0.5, 0.5, 0.5, 0.5, 0.0)])).alias("own"))
     size = F.col("w"), F.col("h"), F.col("deg"), F.col("own")
-    rows = rows.withColumn("frame", g.search_frame(*size)).withColumn("bounds", F.struct(
+    # Parts are small rows with much work each, so they are dealt to all cores; each map is worked out once and written.
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, "id")
+    rows = cut(rows.withColumn("frame", g.search_frame(*size)).withColumn("search", g.search_box(*size)), "frames")
+    rows = rows.withColumn("bounds", F.struct(
         (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"),
         (F.col("frame.w") - F.col("id") % 7 - 3).alias("width"), (F.col("frame.h") - F.col("id") % 5 - 2).alias("height")))
-    rows = rows.withColumn("outline", g.plate_outline(F.col("bounds"), F.col("frame.m")))
-    rows = rows.withColumn("crop", g.plate_crop(F.col("outline"), F.col("frame.m"))).withColumn("search", g.search_box(*size))
+    rows = cut(rows.withColumn("outline", g.plate_outline(F.col("bounds"), F.col("frame.m"))), "outlines")
+    rows = cut(rows.withColumn("crop", g.plate_crop(F.col("outline"), F.col("frame.m"))), "crops")
     shift = F.col("crop.to_plate")
     return rows.select("*", F.posexplode("outline").alias("corner", "p")).select(
         "id", F.col("corner").cast("long").alias("corner"), F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"), F.col("frame.w").alias("frame_w"),
