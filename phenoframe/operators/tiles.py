@@ -11,12 +11,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from phenoframe.runtime import cut, spread
 from phenoframe.schema import TILES
 
 SIZE = 512
 NAMES = [f.name for f in TILES.fields]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+_TILE = pa.schema([(f.name, _KINDS[f.dataType.simpleString()]) for f in TILES.fields])
 _PIECE = "image_id string, ty int, tx int, py int, px int, h int, w int, channels int, width int, height int, data binary"
 
 
@@ -42,7 +46,7 @@ def outside(px: DataFrame, width: int, height: int) -> DataFrame:
 
 def cut_tiles(images: DataFrame, size: int = SIZE) -> DataFrame:
     """Split (image_id, width, height, channels, data) rows into tiles."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
@@ -53,7 +57,11 @@ def cut_tiles(images: DataFrame, size: int = SIZE) -> DataFrame:
                         rows.append((r.image_id, y // size, x // size, y, x, *block.shape[:2], 0, 0, r.channels, r.width, r.height, block.tobytes()))
                 yield pd.DataFrame(rows, columns=NAMES)
 
-    return images.mapInPandas(cut, TILES)
+    return images.mapInPandas(split, TILES)
+
+
+def _tile(row: tuple) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _TILE)], schema=_TILE)
 
 
 def pixels_to_tiles(px: DataFrame, channels: Sequence[str], width: int, height: int, size: int = SIZE) -> DataFrame:
@@ -69,14 +77,14 @@ def sized_tiles(px: DataFrame, channels: Sequence[str], images: DataFrame, size:
     """Tiles of all ``images`` (image_id, width, height) from pixel rows; unset pixels are zero, and images may be empty."""
     names = list(channels)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        width, height = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
+    def build(group: pa.Table) -> pa.Table:
+        image, ty, tx, width, height = (group.column(c)[0].as_py() for c in ("image_id", "ty", "tx", "width", "height"))
         h, w = min(size, height - ty * size), min(size, width - tx * size)
         block = np.zeros((h, w, len(names)), np.uint8)
-        block[pdf["y"] - ty * size, pdf["x"] - tx * size] = pdf[names].to_numpy()
-        row = (str(pdf["image_id"].iloc[0]), ty, tx, ty * size, tx * size, h, w, 0, 0, len(names), width, height, block.tobytes())
-        return pd.DataFrame([row], columns=NAMES)
+        at = group.column("y").to_numpy() - ty * size, group.column("x").to_numpy() - tx * size
+        for k, name in enumerate(names):
+            block[(*at, k)] = group.column(name).to_numpy()
+        return _tile((image, ty, tx, ty * size, tx * size, h, w, 0, 0, len(names), width, height, block.tobytes()))
 
     shapes = images.select(F.col("image_id").cast("string").alias("image_id"), F.col("width").cast("int"), F.col("height").cast("int"))
     placed = px.select(F.col("image_id").cast("string").alias("image_id"), "x", "y", *names).join(shapes, "image_id").where(
@@ -93,7 +101,7 @@ def sized_tiles(px: DataFrame, channels: Sequence[str], images: DataFrame, size:
         "image_id", "width", "height", (F.col("tx") * size).alias("x"), (F.col("ty") * size).alias("y"), *[F.lit(0).alias(c) for c in names], "ty", "tx"
     )
     filled = placed.unionByName(corners).groupBy("image_id", "width", "height", "ty", "tx", "x", "y").agg(*[F.max(c).alias(c) for c in names])
-    return filled.groupBy("image_id", "ty", "tx").applyInPandas(build, TILES)
+    return spread(filled, "image_id", "ty", "tx").groupBy("image_id", "ty", "tx").applyInArrow(build, TILES)
 
 
 def tile_pixels(tiles: DataFrame, names: Sequence[str], keep_zero: bool = False) -> DataFrame:
@@ -115,8 +123,8 @@ def tile_pixels(tiles: DataFrame, names: Sequence[str], keep_zero: bool = False)
     return tiles.mapInPandas(expand, schema)
 
 
-def _pieces(tiles: DataFrame, radius: int) -> DataFrame:
-    """Every tile for itself and the strips its neighbours need."""
+def _pieces(tiles: DataFrame, radius: int, size: int) -> DataFrame:
+    """Every tile for itself and the strips its neighbours inside the image need."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -124,13 +132,14 @@ def _pieces(tiles: DataFrame, radius: int) -> DataFrame:
                 block = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.channels)
                 for dy in (-1, 0, 1):
                     for dx in (-1, 0, 1):
+                        if not (0 <= (r.ty + dy) * size < r.height and 0 <= (r.tx + dx) * size < r.width):
+                            continue
                         ys = {-1: slice(0, radius), 0: slice(None), 1: slice(max(0, r.h - radius), r.h)}[dy]
                         xs = {-1: slice(0, radius), 0: slice(None), 1: slice(max(0, r.w - radius), r.w)}[dx]
                         part = block[ys, xs]
                         oy, ox = (ys.start or 0), (xs.start or 0)
                         rows.append((r.image_id, r.ty + dy, r.tx + dx, r.y0 + oy, r.x0 + ox, *part.shape[:2], r.channels, r.width, r.height, part.tobytes()))
-            frame = pd.DataFrame(rows, columns=["image_id", "ty", "tx", "py", "px", "h", "w", "channels", "width", "height", "data"])
-            yield frame[(frame["ty"] >= 0) & (frame["tx"] >= 0)]
+            yield pd.DataFrame(rows, columns=["image_id", "ty", "tx", "py", "px", "h", "w", "channels", "width", "height", "data"])
 
     return tiles.mapInPandas(split, _PIECE)
 
@@ -143,43 +152,47 @@ def filter_tiles(tiles: DataFrame, radius: int, apply: Callable[[np.ndarray, int
     if radius > size:
         raise ValueError("the filter radius must not exceed the tile size")
 
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        y0, x0 = int(first["ty"]) * size, int(first["tx"]) * size
-        width, height, channels = int(first["width"]), int(first["height"]), int(first["channels"])
-        if y0 >= height or x0 >= width:
-            return pd.DataFrame([], columns=NAMES)
+    def assemble(group: pa.Table) -> pa.Table:
+        parts = group.to_pylist()
+        image, ty, tx, width, height, channels = (parts[0][c] for c in ("image_id", "ty", "tx", "width", "height", "channels"))
+        y0, x0 = ty * size, tx * size
         h, w = min(size, height - y0), min(size, width - x0)
         top, left = max(0, y0 - radius), max(0, x0 - radius)
         bottom, right = min(height, y0 + h + radius), min(width, x0 + w + radius)
         area = np.zeros((bottom - top, right - left, channels), np.uint8)
-        for r in pdf.itertuples():
-            part = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.channels)
-            area[r.py - top:r.py - top + r.h, r.px - left:r.px - left + r.w] = part
+        for r in parts:
+            part = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"], r["channels"])
+            area[r["py"] - top:r["py"] - top + r["h"], r["px"] - left:r["px"] - left + r["w"]] = part
         pad = ((radius - (y0 - top), y0 + h + radius - bottom), (radius - (x0 - left), x0 + w + radius - right), (0, 0))
         result = apply(np.pad(area, pad, mode="edge"), radius)
         result = result.reshape(h, w, -1).astype(np.uint8)
-        row = (first["image_id"], int(first["ty"]), int(first["tx"]), y0, x0, h, w, 0, 0, result.shape[2], width, height, result.tobytes())
-        return pd.DataFrame([row], columns=NAMES)
+        return _tile((image, ty, tx, y0, x0, h, w, 0, 0, result.shape[2], width, height, result.tobytes()))
 
-    return _pieces(tiles, radius).groupBy("image_id", "ty", "tx").applyInPandas(assemble, TILES)
+    keys = ("image_id", "ty", "tx")
+    return spread(_pieces(tiles, radius, size), *keys).groupBy(*keys).applyInArrow(assemble, TILES)
 
 
 def _box_count(mask: np.ndarray, radius: int) -> np.ndarray:
-    total = np.zeros((mask.shape[0] + 1, mask.shape[1] + 1), np.int32)
-    total[1:, 1:] = mask.cumsum(0, dtype=np.int32).cumsum(1)
+    total = np.zeros((*mask.shape[:-2], mask.shape[-2] + 1, mask.shape[-1] + 1), np.int32)
+    total[..., 1:, 1:] = mask.cumsum(-2, dtype=np.int32).cumsum(-1)
     k = 2 * radius + 1
-    return total[k:, k:] - total[:-k, k:] - total[k:, :-k] + total[:-k, :-k]
+    return total[..., k:, k:] - total[..., :-k, k:] - total[..., k:, :-k] + total[..., :-k, :-k]
 
 
 def _median(channel: np.ndarray, radius: int) -> np.ndarray:
-    """Exact window median: the lowest level that half of the window does not exceed."""
+    """Exact window median: the lowest level that half of the window does not exceed.
+
+    Levels are counted in blocks of about a million places.
+    """
     shape = (channel.shape[0] - 2 * radius, channel.shape[1] - 2 * radius)
     out, found = np.zeros(shape, np.uint8), np.zeros(shape, bool)
     need = ((2 * radius + 1) ** 2 + 1) // 2
-    for level in np.unique(channel):
-        hit = ~found & (_box_count(channel <= level, radius) >= need)
-        out[hit], found = level, found | hit
+    levels, many = np.unique(channel), max(1, 2**20 // channel.size)
+    for k in range(0, len(levels), many):
+        some = levels[k:k + many]
+        hit = _box_count(channel <= some[:, None, None], radius) >= need
+        new = ~found & hit.any(axis=0)
+        out[new], found = some[hit.argmax(axis=0)][new], found | new
         if found.all():
             break
     return out
@@ -229,7 +242,7 @@ def edge_pixels(tiles: DataFrame, low: float = 100, high: float = 200, size: int
     """(image_id, x, y): weak edge pixels connected to a strong one, and the strong ones."""
     from phenoframe.operators.components import label_pixels
 
-    marks = tile_pixels(filter_tiles(tiles, 2, _edge_levels(low, high), size), ["level"])
+    marks = cut(tile_pixels(filter_tiles(tiles, 2, _edge_levels(low, high), size), ["level"]), "marks")
     labelled = label_pixels(marks, ["image_id"]).join(marks, ["image_id", "x", "y"])
     strong = labelled.where("level = 2").select("image_id", "label").distinct()
     return labelled.join(strong, ["image_id", "label"], "left_semi").select("image_id", "x", "y")

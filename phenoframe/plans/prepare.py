@@ -31,7 +31,7 @@ class Prepared(NamedTuple):
 
     def edges(self, size: int = tiles.SIZE) -> DataFrame:
         """(image_id, x, y) of the edges; ``size`` is that of the tiles."""
-        return tiles.edge_pixels(cut(self.process, "process"), size=size)
+        return tiles.edge_pixels(self.process, size=size)
 
 
 def _mask(px: DataFrame, shapes: DataFrame, lower: tuple, upper: tuple) -> DataFrame:

@@ -9,6 +9,7 @@ from phenoframe.operators import overlay, tiles
 from phenoframe.params import Crop, Green, Params
 from phenoframe.plans.prepare import CHANNELS, prepare
 from phenoframe.plans.registry import query, table
+from phenoframe.runtime import cut
 
 # One image of 48 by 40 for each 4,000 order keys: a blue plate, three stems (two in each fourth image) and one bright
 # pixel for each line item on the plate. Odd images are upside down. A grown stem that reaches the border of its plate
@@ -68,6 +69,7 @@ def prepared_stems(spark, folder):
 def prepared_pixels(spark, folder):
     """Grey level and edge pixels of each prepared scene (``tests/test_prepare.py`` holds them against a plain version)."""
     done = prepare(*scenes(spark, folder), PARAMS, radius=4, size=32)
+    done = done._replace(process=cut(done.process, "process"))  # read for the grey levels and for the edges
     grey = tiles.tile_pixels(done.process, ["v"]).groupBy("image_id").agg(F.sum("v").alias("grey"))
     edges = done.edges(32).groupBy("image_id").agg(F.count(F.lit(1)).alias("edges"))
     return done.images.select("image_id").join(grey, "image_id", "left").join(edges, "image_id", "left").na.fill(0)

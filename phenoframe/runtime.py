@@ -36,3 +36,12 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/phenoframe/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal ``df`` by ``keys`` to as many tasks as shuffles have.
+
+    Adaptive execution judges partitions by their bytes and joins small ones into a single task. That is wrong before
+    steps whose work is large for few bytes: Python on groups, or rows that expand to many.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
