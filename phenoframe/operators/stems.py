@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.functions import geometry
+from phenoframe.runtime import spread
 
 
 def _split_points(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
@@ -49,20 +50,23 @@ def cluster_stems(regions: DataFrame, image: Sequence[str], count: int) -> DataF
     )
     columns = centred.groupBy(*image, "cx").agg(F.count(F.lit(1)).alias("n"))
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cx", kind="stable")
-        if pdf["n"].sum() < count:
-            return pdf.assign(cluster=0, parts=1).iloc[:0]
-        if len(pdf) >= count:
-            return pdf.assign(cluster=_split_points(pdf["cx"].to_numpy(float), pdf["n"].to_numpy(float), count), parts=1)
-        n, parts = pdf["n"].to_numpy(), np.ones(len(pdf), int)
-        for _ in range(count - len(pdf)):
-            parts[int(np.argmax(np.where(parts < n, n / parts, 0)))] += 1
-        return pdf.assign(cluster=np.cumsum(parts) - parts, parts=parts)
+    def cluster(group: pa.Table) -> pa.Table:
+        group = group.sort_by("cx")
+        cx, n = group.column("cx").to_numpy(), group.column("n").to_numpy()
+        parts = np.ones(len(cx), int)
+        if n.sum() < count:
+            group, number, parts = group.slice(0, 0), parts[:0], parts[:0]
+        elif len(cx) >= count:
+            number = _split_points(cx, n.astype(float), count)
+        else:
+            for _ in range(count - len(cx)):
+                parts[int(np.argmax(np.where(parts < n, n / parts, 0)))] += 1
+            number = np.cumsum(parts) - parts
+        return group.append_column("cluster", pa.array(number, pa.int32())).append_column("parts", pa.array(parts, pa.int32()))
 
     kinds = dict(columns.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns.columns) + ", cluster int, parts int"
-    found = centred.join(columns.groupBy(*image).applyInPandas(cluster, schema), [*image, "cx"])
+    found = centred.join(spread(columns, *image).groupBy(*image).applyInArrow(cluster, schema), [*image, "cx"])
     # Columns in several parts exist only in images with fewer columns than stems.
     down = Window.partitionBy(*image, "cx").orderBy("cy", "area")
     split = found.where("parts > 1").withColumn("cluster", F.col("cluster") + F.floor((F.row_number().over(down) - 1) * F.col("parts") / F.col("n")).cast("int"))

@@ -255,9 +255,9 @@ def extract_pixels(px: DataFrame, boxes: DataFrame, image: str, value: str | Seq
     per image. Positions outside the source count as zero. Aligned crops fall on single pixels.
     """
     m, values = F.col("to_source"), [value] if isinstance(value, str) else list(value)
-    grid = boxes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1))).withColumn(
-        "x", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1))
-    )
+    # Boxes are few and their pixels many: rows of the grid are dealt to all tasks before they grow to pixels.
+    lines = spread(boxes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1))), image, "y")
+    grid = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1)))
     src = grid.select(
         image, "x", "y", F.round(m[0] * F.col("x") + m[1] * F.col("y") + m[2], 9).alias("_sx"),
         F.round(m[3] * F.col("x") + m[4] * F.col("y") + m[5], 9).alias("_sy"),

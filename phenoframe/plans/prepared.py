@@ -9,7 +9,7 @@ from phenoframe.operators import overlay, tiles
 from phenoframe.params import Crop, Green, Params
 from phenoframe.plans.prepare import CHANNELS, prepare
 from phenoframe.plans.registry import query, table
-from phenoframe.runtime import cut
+from phenoframe.runtime import cut, spread
 
 # One image of 48 by 40 for each 4,000 order keys: a blue plate, three stems (two in each fourth image) and one bright
 # pixel for each line item on the plate. Odd images are upside down. A grown stem that reaches the border of its plate
@@ -32,7 +32,8 @@ def scenes(spark, folder):
     bright = line.groupBy((F.floor(F.col("l_orderkey") / 4000)).alias("i"), (F.col("l_partkey") % 48).cast("int").alias("x"), (F.col("l_orderkey") % 40).cast("int").alias("y")).agg(
         F.max("l_quantity").cast("int").alias("v"))
     images = line.select(F.floor(F.col("l_orderkey") / 4000).alias("i")).distinct()
-    grid = images.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    lines = spread(images.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39)))), "i", "y")
+    grid = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(47))))
     px = grid.join(bright, ["i", "x", "y"], "left")
     on_plate = x.between(4, 43 - i % 3) & y.between(3, 36)
     stem = F.lit(False)
