@@ -86,7 +86,7 @@ def sample_colour(px: DataFrame, picks: DataFrame, image: Sequence[str]) -> Data
 def erase_regions(px: DataFrame, regions: DataFrame, image: Sequence[str], channels: Sequence[str]) -> DataFrame:
     """Set the channels of all region pixels to zero."""
     marks = regions.select(*image, "x", "y", F.lit(True).alias("_hit")).distinct()
-    joined = px.join(marks, [*image, "x", "y"], "left")
+    joined = px.join(marks.hint("merge"), [*image, "x", "y"], "left")
     return joined.select(
         *[F.when(F.col("_hit"), F.lit(0)).otherwise(F.col(c)).alias(c) if c in channels else F.col(c) for c in px.columns]
     )

@@ -243,7 +243,7 @@ def edge_pixels(tiles: DataFrame, low: float = 100, high: float = 200, size: int
     from phenoframe.operators.components import label_pixels
 
     marks = cut(tile_pixels(filter_tiles(tiles, 2, _edge_levels(low, high), size), ["level"]), "marks")
-    labelled = label_pixels(marks, ["image_id"]).join(marks, ["image_id", "x", "y"])
+    labelled = label_pixels(marks, ["image_id"]).join(marks.hint("merge"), ["image_id", "x", "y"])
     strong = labelled.where("level = 2").select("image_id", "label").distinct()
     return labelled.join(strong, ["image_id", "label"], "left_semi").select("image_id", "x", "y")
 
@@ -274,7 +274,8 @@ def extract_pixels(px: DataFrame, boxes: DataFrame, image: str, value: str | Seq
         image, "x", "y", "_c.cx", "_c.cy", "_c.wt"
     )
     source = px.select(image, F.col("x").alias("cx"), F.col("y").alias("cy"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    return wanted.join(source, [image, "cx", "cy"]).groupBy(image, "x", "y").agg(
+    # Spark's size of ``wanted`` is that of the boxes, so it would be broadcast however many pixels they hold.
+    return wanted.join(source.hint("merge"), [image, "cx", "cy"]).groupBy(image, "x", "y").agg(
         *[F.round(F.sum(F.col(f"_v_{v}") * F.col("wt"))).cast("int").alias(v) for v in values]
     )
 
