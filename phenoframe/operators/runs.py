@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.operators.ordered import ordered_columns, runs
+from phenoframe.runtime import cut
 
 CHUNK = 4096
+TILE = 8  # pixels along a side; a tile of mask is one number of 64 bits
 
 
 def sustained_runs(
@@ -96,19 +98,48 @@ def path_length(points: DataFrame, path: Sequence[str], index: str, x: str, y: s
     )
 
 
-def densify(points: DataFrame, path: Sequence[str], index: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Samples along each polyline at most one pixel apart: (path, index, step, x, y)."""
-    joined = next_point(points, path, index, x, y)
+def _spans(points: DataFrame, path: Sequence[str], index: str, x: str, y: str) -> DataFrame:
+    """Each point with its successor and the number of samples (``_count``) from it on, before the next."""
     count = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("_nx") - F.col(x)), F.abs(F.col("_ny") - F.col(y)))).cast("int"))
     # The end point of a piece belongs to the next piece; the last point stands alone.
-    steps = F.when(F.col("_nx").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), count - 1))
-    sampled = joined.withColumn("_count", count).withColumn("step", F.explode(steps))
-    part = F.col("step") / F.col("_count")
-    return sampled.select(
-        *path, index, "step",
-        (F.col(x) + F.coalesce((F.col("_nx") - F.col(x)) * part, F.lit(0.0))).alias("x"),
-        (F.col(y) + F.coalesce((F.col("_ny") - F.col(y)) * part, F.lit(0.0))).alias("y"),
-    )
+    return next_point(points, path, index, x, y).withColumn("_count", F.when(F.col("_nx").isNull(), 1).otherwise(count))
+
+
+def _sample(at: str, after: str, step: Column) -> Column:
+    return F.col(at) + F.coalesce((F.col(after) - F.col(at)) * (step / F.col("_count")), F.lit(0.0))
+
+
+def densify(points: DataFrame, path: Sequence[str], index: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Samples along each polyline at most one pixel apart: (path, index, step, x, y)."""
+    sampled = _spans(points, path, index, x, y).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    step = F.col("step")
+    return sampled.select(*path, index, "step", _sample(x, "_nx", step).alias("x"), _sample(y, "_ny", step).alias("y"))
+
+
+def _hidden_steps(spans: DataFrame, mask: DataFrame, path: Sequence[str], index: str, group: Sequence[str]) -> DataFrame:
+    """(path, index, _hidden): the samples of each span that lie on the mask, ascending; spans without any have no row.
+
+    Mask and spans meet in tiles, so samples are made where a tile holds mask and never moved.
+    """
+    def tile(x, y):
+        return F.shiftleft(F.shiftright(x, 3).cast("long"), 32).bitwiseOR(F.shiftright(y, 3).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def bit(x, y):
+        return x.bitwiseAND(F.lit(7)) * 8 + y.bitwiseAND(F.lit(7))
+
+    def pixel(step):
+        return [F.rint(_sample(at, after, step)).cast("int") for at, after in (("x", "_nx"), ("y", "_ny"))]
+
+    here = [F.col(c).cast("int") for c in ("x", "y")]
+    marks = mask.select(*group, tile(*here).alias("_tile"), bit(*here).alias("_bit")).groupBy(*group, "_tile").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits"))
+    last, first, step = F.col("_count") - 1, F.col("_first"), F.col("step")
+    enters = spans.withColumn("_first", F.explode(F.sequence(F.lit(0), last))).withColumn("_tile", tile(*pixel(first))).where(
+        (first == 0) | ~tile(*pixel(first - 1)).eqNullSafe(F.col("_tile")))
+    # Samples are more than half a pixel apart, so at most 17 in a row lie in a tile. Spark takes the rows of both sides for few.
+    steps = enters.hint("merge").join(marks, [*group, "_tile"]).withColumn("step", F.explode(F.sequence(first, F.least(first + 2 * TILE, last))))
+    on = F.call_function("shiftright", F.col("_bits"), bit(*pixel(step))).bitwiseAND(F.lit(1)) == 1
+    return steps.where((tile(*pixel(step)) == F.col("_tile")) & on).groupBy(*path, index).agg(F.sort_array(F.collect_list("step")).alias("_hidden"))
 
 
 def visible_runs(
@@ -116,23 +147,27 @@ def visible_runs(
 ) -> DataFrame:
     """Pieces of each polyline outside the mask: (path, piece, index, step, x, y).
 
-    A polyline that never meets the mask keeps its own vertices; others are densified.
+    A polyline that never meets the mask keeps its own vertices; others are densified. Pieces are numbered from the
+    vertices, each with the runs of visible samples up to the next; the samples are made last.
     """
-    samples = densify(points, path, index)
-    marks = mask.select(*group, F.col("x").alias("_px"), F.col("y").alias("_py"), F.lit(True).alias("_masked")).distinct()
-    tested = (
-        samples.withColumn("_px", F.bround("x").cast("int")).withColumn("_py", F.bround("y").cast("int"))
-        .join(marks, [*group, "_px", "_py"], "left")
-        .withColumn("_hidden", F.coalesce("_masked", F.lit(False)))
-    )
-    touched = tested.where("_hidden").select(*path).distinct()
-    whole = points.join(touched, list(path), "left_anti").select(
+    spans = cut(_spans(points.select(*path, index, "x", "y"), path, index, "x", "y"), "spans")
+    hidden = cut(_hidden_steps(spans, mask, path, index, group), "hidden")
+    touched = hidden.select(*path).distinct()
+    whole = spans.join(touched, list(path), "left_anti").select(
         *path, F.lit(1).cast("long").alias("piece"), index, F.lit(0).alias("step"),
         F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
     )
-    cut = tested.join(touched, list(path), "left_semi").select(*path, index, "step", "x", "y", "_hidden")
-    cut = ordered_columns(cut, path, [index, "step"], lags={"_was": F.col("_hidden")}, **kw)
-    starts = F.when(~F.col("_hidden") & F.coalesce("_was", F.lit(True)), 1).otherwise(0)
-    cut = ordered_columns(cut.withColumn("_start", starts), path, [index, "step"], sums={"piece": F.col("_start")}, **kw)
-    pieces = cut.where("not _hidden").select(*path, F.col("piece").cast("long").alias("piece"), index, "step", "x", "y")
-    return whole.unionByName(pieces)
+    none = F.array().cast("array<int>")
+    rows = spans.join(touched, list(path), "left_semi").join(hidden, [*path, index], "left").withColumn("_hidden", F.coalesce("_hidden", none))
+    between = F.zip_with(
+        F.concat(F.array(F.lit(-1)), F.col("_hidden")), F.concat(F.col("_hidden"), F.array(F.col("_count"))),
+        lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    rows = rows.withColumn("_runs", F.filter(between, lambda r: r["first"] <= r["last"])).drop("_hidden")
+    ends_hidden = F.coalesce(F.try_element_at("_runs", F.lit(-1))["last"] < F.col("_count") - 1, F.lit(True))
+    rows = ordered_columns(rows, path, [index], lags={"_was": ends_hidden}, **kw)
+    goes_on = F.coalesce((F.get("_runs", F.lit(0))["first"] == 0) & ~F.col("_was"), F.lit(False))
+    rows = ordered_columns(rows.withColumn("_starts", F.size("_runs") - goes_on.cast("int")), path, [index], sums={"_upto": F.col("_starts")}, **kw)
+    pieces = rows.select("*", F.posexplode("_runs").alias("_at", "_run")).withColumn(
+        "piece", (F.col("_upto") - F.size("_runs") + 1 + F.col("_at")).cast("long")).withColumn("step", F.explode(F.sequence("_run.first", "_run.last")))
+    step = F.col("step")
+    return whole.unionByName(pieces.select(*path, "piece", index, "step", _sample("x", "_nx", step).alias("x"), _sample("y", "_ny", step).alias("y")))

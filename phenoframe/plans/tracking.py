@@ -144,7 +144,7 @@ UNION ALL SELECT user_id, 1, count(*), CAST((sum(CAST(floor(x * 1000000 + 0.5) A
 
 @query("visible_runs", VISIBLE)
 def visible_runs(spark, folder):
-    points = event_series(spark, folder).select(
+    points = cut(event_series(spark, folder), "series").select(
         "user_id", "pos", (F.col("pos") * 3).cast("double").alias("x"), F.floor("value").cast("double").alias("y"), "value"
     )
     mask = points.where("value > 60 and user_id % 3 <> 0").select("user_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
