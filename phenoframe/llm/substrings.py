@@ -2,6 +2,8 @@
 
 All windows of ``length`` bytes that share content must meet, without moving every suffix:
 
+0. A document whose whole text a smaller one has, by SHA-256, goes as a whole and takes no part: all that it could
+   prove repeated, the smaller one proves.
 1. Each window is represented by its least-hashed 16-byte string, its anchor. Equal windows have equal
    anchors at equal places, and about one byte in eighteen is an anchor. Per block of documents, each anchor
    is reported once with the smallest document that has it.
@@ -11,10 +13,10 @@ All windows of ``length`` bytes that share content must meet, without moving eve
    bytes inside a block are settled there, so frequent passages travel once per block. Stretches of very frequent
    anchors are dealt window by window, by a hash of the whole window, so that no bucket grows with the corpus; equal
    windows of a block are settled before.
-4. In a bucket all windows are sorted: a multikey quicksort on eight-byte characters to a shallow depth,
-   then blind tries over what is still tied. Tries branch on single bytes and skip what is common,
-   and all tries of a bucket grow level by level together. Windows that stay together are equal; the ones
-   that do not belong to the smallest document are repeats.
+4. In a bucket stretches with equal bytes are settled by the smallest document. The windows of what is left are
+   sorted: a multikey quicksort on eight-byte characters to a shallow depth, then blind tries over what is still tied.
+   Tries branch on single bytes and skip what is common, and all tries of a bucket grow level by level together.
+   Windows that stay together are equal; the ones that do not belong to the smallest document are repeats.
 5. Repeated windows become spans, and spans are cut from their documents.
 """
 
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm import spans
-from phenoframe.llm.session import arrow_batches, partitions
+from phenoframe.llm.session import arrow_batches, cut, partitions
 
 ANCHOR = 16
 SHALLOW = 2  # characters of eight bytes that the quicksort looks at
@@ -40,13 +42,15 @@ _WORD = np.uint64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # stands for a null id, before all others
 SLOT_BITS = 22  # of the table in which stretches are counted by anchor
 PART_BITS = 14  # slots of one row of counts
+FIRST_BITS = 25  # of the filter of first documents
 HOT = 4096  # stretches with one anchor that still meet in its bucket
 
 
 def _load8(raw: np.ndarray, big: bool = False) -> np.ndarray:
     """The eight bytes from every position as one number."""
-    view = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (raw.strides[0],) * 2)
-    whole = np.ascontiguousarray(view).view(np.uint64).ravel()
+    raw, whole = np.ascontiguousarray(raw), np.empty(max(0, len(raw) - 7), np.uint64)
+    for k in range(min(8, len(whole))):
+        whole[k::8] = np.frombuffer(raw, np.uint64, len(whole[k::8]), k)
     return whole.byteswap(inplace=True) if big == (sys.byteorder == "little") else whole
 
 
@@ -67,16 +71,14 @@ def stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
         span *= 2
     if span < reach:
         least = np.minimum(least[: span - reach], least[reach - span:])
-    anchor = (least & _WORD).astype(np.int64)  # one for each window start
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor)]
-    inside = off[row + 1] - np.arange(len(anchor)) >= length
-    start = np.flatnonzero(inside)
-    if not len(start):
-        return none, none, none, np.zeros(0, np.uint64)
-    anchor, row = anchor[start], row[start]
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
-    first = np.flatnonzero(new)
-    return row[first], start[first], np.diff(np.r_[first, len(start)]), value[anchor[first]]
+    anchor = least.astype(np.uint32)  # one for each window start
+    first = np.union1d(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, off[:-1][off[:-1] < len(anchor)])
+    row = np.searchsorted(off, first, side="right") - 1
+    # The windows of a text end before its last bytes.
+    windows = np.minimum(np.r_[first[1:], len(anchor)], off[row + 1] - length + 1) - first
+    used = windows > 0
+    first = first[used]
+    return row[used], first, windows[used], value[anchor[first]]
 
 
 def _keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -89,16 +91,15 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
-def _count(length: int):
+def _count(length: int, firsts: np.ndarray | None = None):
     """A task's stretches by the slot of their anchor, as rows (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int32)
         for batch in batches:
-            raw, off = spans.text_bytes(batch.column(0))
+            raw, off = spans.text_bytes(_only(batch, firsts).column(1))
             for i, j in spans.blocks(off, REPORT_BYTES):
-                slot, n = np.unique(_slot(stretches(raw[off[i]: off[j]], off[i: j + 1] - off[i], length)[3]), return_counts=True)
-                total[slot] += n.astype(np.int32)
+                np.add.at(total, _slot(stretches(raw[off[i]: off[j]], off[i: j + 1] - off[i], length)[3]), 1)
         for k, part in enumerate(total.reshape(-1, 1 << PART_BITS)):
             if part.any():
                 packed = pa.compress(part.tobytes(), "zstd", asbytes=True)
@@ -123,9 +124,9 @@ def _above(limit: int):
     return run
 
 
-def hot_slots(plain: DataFrame, length: int, limit: int) -> np.ndarray:
+def hot_slots(plain: DataFrame, length: int, limit: int, firsts: np.ndarray | None = None) -> np.ndarray:
     """Bitmap (512 kB, whatever the corpus) of slots whose anchors have more than ``limit`` stretches in all documents."""
-    counts = plain.select("text").mapInArrow(spans.tidy(_count(length)), "part int, counts binary")
+    counts = plain.select("doc", "text").mapInArrow(spans.tidy(_count(length, firsts)), "part int, counts binary")
     above = counts.repartition(partitions(plain.sparkSession), "part").mapInArrow(spans.tidy(_above(limit)), "part int, bits binary")
     out = np.zeros((1 << (SLOT_BITS - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
     for row in above.collect():
@@ -138,6 +139,65 @@ def _is_hot(hot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (hot[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
 
 
+def _marks(digests: Iterator[bytes], docs: np.ndarray) -> np.ndarray:
+    """Places of each (text, document) in the table of first documents: two rows of numbers."""
+    text = np.frombuffer(b"".join(digests), np.uint64).reshape(len(docs), 4)
+    mixed = spans.mix(np.stack([text[:, 0], text[:, 1]]) ^ spans.mix(docs.astype(np.int64).view(np.uint64)))
+    return (mixed & np.uint64((1 << FIRST_BITS) - 1)).astype(np.int64)
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table of a task's first documents, as rows (part, bits)."""
+    table = np.zeros(1 << FIRST_BITS, bool)
+    for batch in batches:
+        table[_marks(batch.column(0).to_pylist(), batch.column(1).to_numpy())] = True
+    for k, part in enumerate(table.reshape(-1, 8 << PART_BITS)):
+        if part.any():
+            packed = pa.compress(np.packbits(part).tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["part", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the table that a task holds, put together."""
+    table: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            table.setdefault(part, np.zeros(1 << PART_BITS, np.uint8))
+            table[part] |= np.frombuffer(pa.decompress(bits, 1 << PART_BITS, "zstd", asbytes=True), np.uint8)
+    for part, bits in table.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+
+def first_documents(texts: DataFrame) -> np.ndarray | None:
+    """Bloom filter (4 MB, whatever the corpus) of the documents that are the smallest with their text; None if all are.
+
+    ``texts``: digest, first, last. What the filter does not hold is a copy of a smaller document; a copy that it holds
+    by chance is only worked on in vain.
+    """
+    if texts.where("first < last").isEmpty():
+        return None
+    parts = texts.select("digest", "first").mapInArrow(spans.tidy(_place), "part int, bits binary")
+    whole = parts.repartition(partitions(texts.sparkSession), "part").mapInArrow(spans.tidy(_either), "part int, bits binary")
+    out = np.zeros((1 << (FIRST_BITS - PART_BITS - 3), 1 << PART_BITS), np.uint8)
+    for row in whole.collect():
+        out[row.part] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def _first(batch: pa.RecordBatch, firsts: np.ndarray | None) -> np.ndarray:
+    """Which rows (doc, text) are not known to be copies of a smaller document."""
+    if firsts is None or not len(batch):
+        return np.ones(len(batch), bool)
+    raw, off = spans.text_bytes(batch.column(1))
+    digests = (hashlib.sha256(raw[a:b]).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist()))
+    place = _marks(digests, batch.column(0).to_numpy())
+    return (firsts[place >> 3] >> (7 - (place & 7)) & 1).all(axis=0)
+
+
+def _only(batch: pa.RecordBatch, firsts: np.ndarray | None) -> pa.RecordBatch:
+    return batch if firsts is None else batch.filter(pa.array(_first(batch, firsts)))
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers as byte planes, which compress well when neighbours are alike."""
     return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -184,11 +244,11 @@ def _passing(schema: pa.Schema, docs: pa.Array, values: pa.Array, buckets: int)
     return pa.RecordBatch.from_arrays([bucket, *between, docs, values], schema=schema)
 
 
-def _report(length: int, buckets: int, hot: np.ndarray):
+def _report(length: int, buckets: int, hot: np.ndarray, firsts: np.ndarray | None = None):
     """Anchors of each block by bucket, and those that two of its documents have, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (_only(b, firsts) for b in batches):
             raw, off = spans.text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             for i, j in spans.blocks(off, REPORT_BYTES):
@@ -473,25 +533,29 @@ def _sort_bucket(length: int):
         raw = np.frombuffer(b"".join(
             pa.decompress(x, int(z.sum()), "zstd", asbytes=True) for x, z in zip(part.column("bytes").to_pylist(), sizes)), np.uint8)
         docs, at = join("docs", _numbers), join("starts", lambda x: np.frombuffer(x, "<u8")).astype(np.int64)
-        base, windows = np.cumsum(size) - size, size - length + 1
-        which = np.repeat(np.arange(len(size)), windows)
+        base = np.cumsum(size) - size
+        same = _repeats(raw, base, size, docs, at)  # copies of a stretch are settled by its first one
+        settled, rest = np.flatnonzero(same), np.flatnonzero(~same)
+        windows = size[rest] - length + 1
+        which = np.repeat(rest, windows)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
         repeated = np.flatnonzero(repeated_windows(raw, base[which] + inner, docs[which], length))
         which, begin = which[repeated], (at[which] + inner)[repeated]
-        return _pairs(*_spans_of(docs[which], begin, begin + length), "spans", passed)
+        begin, end = np.r_[begin, at[settled]], np.r_[begin + length, at[settled] + size[settled]]
+        return _pairs(*_spans_of(docs[np.r_[which, settled]], begin, end), "spans", passed)
 
     return run
 
 
-def _finish(with_bytes: bool):
+def _finish(with_bytes: bool, length: int = 50, firsts: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _cut(batch, with_bytes)
+            yield _cut(batch, with_bytes, length, _first(batch, firsts))
 
     return run
 
 
-def _cut(batch: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
+def _cut(batch: pa.RecordBatch, with_bytes: bool, length: int, first: np.ndarray) -> pa.RecordBatch:
     raw, off = spans.text_bytes(batch.column(1))
     removed, runs, digest, kept = [], [], [], []
     for i, found in enumerate(batch.column(2).to_pylist()):
@@ -500,6 +564,8 @@ def _cut(batch: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
         if found:
             pairs = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in found])
             pairs = merge(pairs[np.argsort(pairs[:, 0], kind="stable")])
+        elif not first[i] and len(body) >= length:
+            pairs = np.array([[0, len(body)]])
         keep = np.ones(len(body), bool)
         for a, b in pairs:
             keep[a:b] = False
@@ -536,11 +602,14 @@ def remove_repeats(
     # Without nulls the two joins read the same shuffle of the texts.
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     plain = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = cut(plain.groupBy(F.unhex(F.sha2("text", 256)).alias("digest")).agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.octet_length("text")).alias("size")), "texts")
+    firsts = first_documents(texts)  # copies are worth no work, and would make common anchors of rare ones
+    total = texts.agg(F.sum("size")).first()[0] or 0
     buckets = 1 << max(4, (total // BUCKET_BYTES).bit_length())
-    often = hot_slots(plain, length, max(hot, 16 * total // ((length - ANCHOR + 2) << SLOT_BITS)))
+    often = hot_slots(plain, length, max(hot, 16 * total // ((length - ANCHOR + 2) << SLOT_BITS)), firsts)
     report = plain.mapInArrow(
-        spans.tidy(_report(length, buckets, often)), "bucket long, heads binary, docs binary, many binary, doc long, keys binary")
+        spans.tidy(_report(length, buckets, often, firsts)), "bucket long, heads binary, docs binary, many binary, doc long, keys binary")
     told = report.groupBy("bucket").applyInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys"))
     sent = plain.join(told, "doc", "left").where(F.size("keys") > 0).select("doc", "text", "keys").mapInArrow(
         spans.tidy(_send(length, buckets, often)),
@@ -548,6 +617,6 @@ def remove_repeats(
     found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "doc long, spans binary")
     found = found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
     out = plain.join(found, "doc", "left").select("doc", "text", "spans").mapInArrow(
-        spans.tidy(_finish(with_bytes)),
+        spans.tidy(_finish(with_bytes, length, firsts)),
         "doc long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string" + ", kept binary" * with_bytes)
     return out.withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
