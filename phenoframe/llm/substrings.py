@@ -38,6 +38,7 @@ ANCHOR = 16
 SHALLOW = 2  # characters of eight bytes that the quicksort looks at
 BUCKET_BYTES = 2 << 20
 REPORT_BYTES = 2 << 20  # texts that are reported and settled together
+PIECE_BYTES = 256 << 10  # texts that are hashed together: what a step makes of them stays in a core's cache
 _WORD = np.uint64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # stands for a null id, before all others
 SLOT_BITS = 22  # of the table in which stretches are counted by anchor
@@ -56,6 +57,14 @@ def _load8(raw: np.ndarray, big: bool = False) -> np.ndarray:
 
 def stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, first window, windows, anchor hash) of every run of windows that share an anchor."""
+    parts = []
+    for i, j in spans.blocks(off, PIECE_BYTES):
+        row, first, windows, hashes = _stretches(raw[off[i]: off[j]], off[i: j + 1] - off[i], length)
+        parts.append((row + i, first + off[i], windows, hashes))
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(c) for c in zip(_stretches(raw[:0], off[:1], length), *parts))
+
+
+def _stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none, none, none, np.zeros(0, np.uint64)
