@@ -36,8 +36,9 @@ from phenoframe.llm.session import arrow_batches, cut, partitions
 
 ANCHOR = 16
 SHALLOW = 2  # characters of eight bytes that the quicksort looks at
-BUCKET_BYTES = 2 << 20
-REPORT_BYTES = 2 << 20  # texts that are reported and settled together
+BUCKET_BYTES = 8 << 20  # a block has a row for each bucket, so few large buckets, which are sorted in parts
+PART_SHIFT, SORTED_PARTS = 30, 4  # bits of a hash that give the part of a bucket
+REPORT_BYTES = 3 << 20  # texts that are reported and settled together
 PIECE_BYTES = 256 << 10  # texts that are hashed together: what a step makes of them stays in a core's cache
 _WORD = np.uint64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # stands for a null id, before all others
@@ -275,13 +276,13 @@ def _report(length: int, buckets: int, hot: np.ndarray, firsts: np.ndarray | Non
                 low, high = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
                 many = low != high
                 bucket = (keys[at] & _WORD).astype(np.int64)
+                shared = np.repeat(many, np.diff(np.r_[at, len(keys)]))
                 by = np.argsort(bucket, kind="stable")
+                heads, low, many, bucket = (keys[at[by]] >> np.uint64(32)).astype("<u4"), low[by], many[by], bucket[by]
                 rows = [
-                    (int(bucket[by[a]]), (keys[at][by[a:b]] >> np.uint64(32)).astype("<u4").tobytes(),
-                     _planes(low[by[a:b]]), np.packbits(many[by[a:b]]).tobytes(), None, None)
-                    for a, b in _split(bucket[by])
+                    (int(bucket[a]), heads[a:b].tobytes(), _planes(low[a:b]), np.packbits(many[a:b]).tobytes(), None, None)
+                    for a, b in _split(bucket)
                 ]
-                shared = np.repeat(many, np.diff(np.r_[at, len(keys)]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), REPORT.types)], schema=REPORT)
                 yield _passing(REPORT, *_per_doc(docs[shared], keys[shared]), buckets)
 
@@ -319,7 +320,7 @@ def _shared(key, part):
 
 SENT = pa.schema([
     ("bucket", pa.int64()), ("bytes", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()),
-    ("doc", pa.int64()), ("spans", pa.binary())])
+    ("parts", pa.binary()), ("doc", pa.int64()), ("spans", pa.binary())])
 
 
 def _repeats(part: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -339,9 +340,10 @@ def _repeats(part: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.nda
     return same
 
 
-def _deal(part: np.ndarray, start: np.ndarray, buckets: int, length: int) -> np.ndarray:
-    """Bucket of each window by its whole content."""
-    return (spans.span_hashes(part, start, start + length) & np.uint64(buckets - 1)).astype(np.int64)
+def _deal(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and, in the lowest bits, its part."""
+    part = (hashes >> np.uint64(PART_SHIFT)) & np.uint64(SORTED_PARTS - 1)
+    return ((hashes & np.uint64(buckets - 1)) * np.uint64(SORTED_PARTS) + part).astype(np.int64)
 
 
 def _send(length: int, buckets: int, hot: np.ndarray):
@@ -362,14 +364,15 @@ def _send(length: int, buckets: int, hot: np.ndarray):
                 mine = np.arange(j - i, dtype=np.uint64) * place
                 known = [np.frombuffer(b"".join(told[i + r] or ()), np.uint64) + mine[r: r + 1] for r in range(j - i)]
                 use = np.isin(keys + row.astype(np.uint64) * place, np.concatenate(known))
-                row, start, windows, keys, often = row[use], start[use], windows[use], keys[use], _is_hot(hot, hashes[use])
+                row, start, windows, hashes = row[use], start[use], windows[use], hashes[use]
+                often = _is_hot(hot, hashes)
                 if not len(row):
                     continue
                 size = windows + length - 1
                 docs, at = ids[i + row], start - local[row]
                 same = _repeats(part, start, size, docs, at)
                 yield _passing(SENT, *_spans_of(docs[same], at[same], at[same] + size[same]), buckets)
-                bucket = (keys & _WORD).astype(np.int64)
+                bucket = _deal(hashes, buckets)
                 wide = np.flatnonzero(~same & often)
                 if len(wide):  # one by one, and equal ones settled
                     each = np.repeat(wide, windows[wide])
@@ -379,7 +382,7 @@ def _send(length: int, buckets: int, hot: np.ndarray):
                     yield _passing(SENT, *_spans_of(docs[each][again], place[again], place[again] + length), buckets)
                     rest = np.flatnonzero(~same & ~often)
                     each, begin, place, one = each[~again], begin[~again], place[~again], one[~again]
-                    bucket = np.r_[bucket[rest], _deal(part, begin, buckets, length)]
+                    bucket = np.r_[bucket[rest], _deal(spans.span_hashes(part, begin, begin + length), buckets)]
                     docs, start, at, size = np.r_[docs[rest], docs[each]], np.r_[start[rest], begin], np.r_[at[rest], place], np.r_[size[rest], one]
                     keep = np.arange(len(docs))
                 else:
@@ -389,6 +392,7 @@ def _send(length: int, buckets: int, hot: np.ndarray):
                     continue
                 by = keep[np.argsort(bucket, kind="stable")]
                 bucket = np.sort(bucket)
+                inner, bucket = (bucket % SORTED_PARTS).astype(np.uint8), bucket // SORTED_PARTS
                 stop = np.cumsum(size[by])
                 body = part[np.repeat(start[by] - (stop - size[by]), size[by]) + np.arange(stop[-1])]
                 rows = []
@@ -396,7 +400,7 @@ def _send(length: int, buckets: int, hot: np.ndarray):
                     k = by[a:b]
                     rows.append((
                         int(bucket[a]), pa.compress(body[stop[a] - size[by[a]]: stop[b - 1]].tobytes(), "zstd", asbytes=True),
-                        size[k].astype("<u4").tobytes(), _planes(docs[k]), at[k].astype("<u8").tobytes(), None, None))
+                        size[k].astype("<u4").tobytes(), _planes(docs[k]), at[k].astype("<u8").tobytes(), inner[a:b].tobytes(), None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SENT.types)], schema=SENT)
 
     return run
@@ -531,6 +535,20 @@ def repeated_windows(raw: np.ndarray, start: np.ndarray, docs: np.ndarray, lengt
     return repeated
 
 
+def _sort_part(raw: np.ndarray, size: np.ndarray, docs: np.ndarray, at: np.ndarray, length: int) -> tuple[pa.Array, pa.Array]:
+    """Repeated spans of each document among stretches that lie one behind the other in ``raw``."""
+    base = np.cumsum(size) - size
+    same = _repeats(raw, base, size, docs, at)  # copies of a stretch are settled by its first one
+    settled, rest = np.flatnonzero(same), np.flatnonzero(~same)
+    windows = size[rest] - length + 1
+    which = np.repeat(rest, windows)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    repeated = np.flatnonzero(repeated_windows(raw, base[which] + inner, docs[which], length))
+    which, begin = which[repeated], (at[which] + inner)[repeated]
+    begin, end = np.r_[begin, at[settled]], np.r_[begin + length, at[settled] + size[settled]]
+    return _spans_of(docs[np.r_[which, settled]], begin, end)
+
+
 def _sort_bucket(length: int):
     def run(key, part):
         part, passed = _parts(part)
@@ -542,16 +560,14 @@ def _sort_bucket(length: int):
         raw = np.frombuffer(b"".join(
             pa.decompress(x, int(z.sum()), "zstd", asbytes=True) for x, z in zip(part.column("bytes").to_pylist(), sizes)), np.uint8)
         docs, at = join("docs", _numbers), join("starts", lambda x: np.frombuffer(x, "<u8")).astype(np.int64)
-        base = np.cumsum(size) - size
-        same = _repeats(raw, base, size, docs, at)  # copies of a stretch are settled by its first one
-        settled, rest = np.flatnonzero(same), np.flatnonzero(~same)
-        windows = size[rest] - length + 1
-        which = np.repeat(rest, windows)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        repeated = np.flatnonzero(repeated_windows(raw, base[which] + inner, docs[which], length))
-        which, begin = which[repeated], (at[which] + inner)[repeated]
-        begin, end = np.r_[begin, at[settled]], np.r_[begin + length, at[settled] + size[settled]]
-        return _pairs(*_spans_of(docs[np.r_[which, settled]], begin, end), "spans", passed)
+        base, number = np.cumsum(size) - size, join("parts", lambda x: np.frombuffer(x, np.uint8))
+        found = [passed.select(["doc", "spans"])]
+        for k in np.flatnonzero(np.bincount(number)):
+            own = np.flatnonzero(number == k)
+            stop = np.cumsum(size[own])
+            body = raw[np.repeat(base[own] - (stop - size[own]), size[own]) + np.arange(stop[-1])]
+            found.append(pa.table(_sort_part(body, size[own], docs[own], at[own], length), names=["doc", "spans"]))
+        return pa.concat_tables(found)
 
     return run
 
@@ -622,7 +638,7 @@ def remove_repeats(
     told = report.groupBy("bucket").applyInArrow(_shared, "doc long, keys binary").groupBy("doc").agg(F.collect_list("keys").alias("keys"))
     sent = plain.join(told, "doc", "left").where(F.size("keys") > 0).select("doc", "text", "keys").mapInArrow(
         spans.tidy(_send(length, buckets, often)),
-        "bucket long, bytes binary, sizes binary, docs binary, starts binary, doc long, spans binary")
+        "bucket long, bytes binary, sizes binary, docs binary, starts binary, parts binary, doc long, spans binary")
     found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "doc long, spans binary")
     found = found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
     out = plain.join(found, "doc", "left").select("doc", "text", "spans").mapInArrow(
